@@ -1,0 +1,20 @@
+"""Comparison reports over benchmark-like tables: self-joins with averages, per-key aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def compare_builds(base: DataFrame, other: DataFrame, keys: list[str], show: list[str], metrics: list[str]) -> DataFrame:
+    """Join two builds on all keys, average each metric over the join's rows per shown group.
+
+    The average runs over the join product: a key with k1 and k2 repeats weighs k1 * k2. Instead of
+    making that product, both sides are first summed per key; the product's sums follow from them."""
+    sums = lambda df, tag: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{tag}"), *(a for m in metrics for a in (F.sum(m).alias(f"{m}_{tag}"), F.count(m).alias(f"{m}_{tag}_n"))))
+    both = sums(base, "base").join(sums(other, "other"), keys)
+    mean = lambda m, own, far: (F.sum(F.col(f"{m}_{own}") * F.col(f"n_{far}")) / F.sum(F.col(f"{m}_{own}_n") * F.col(f"n_{far}"))).alias(f"avg_{m}_{own}")
+    out = both.groupBy(*show).agg(*(mean(m, a, b) for m in metrics for a, b in (("base", "other"), ("other", "base"))))
+    for m in metrics:
+        out = out.withColumn(f"ratio_{m}", F.try_divide(f"avg_{m}_other", f"avg_{m}_base"))
+    return out.orderBy(*show)
