@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import simhash
+from tessera.llm import bpe, classifier, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op3_quality_classifier": classifier.op3_quality_classifier,
+        "op6_mixing": mixing.op6_mixing,
+        "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_simhash": simhash.op8_simhash,
+        "op9_secret_scan": secrets.op9_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_mixing": mixing.OP6_SQL,
+    }
