@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import bpe, classifier, mixing, secrets, simhash
+from tessera.llm import bpe, classifier, mixing, secrets, simhash, suffix
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op3_quality_classifier": classifier.op3_quality_classifier,
+        "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_simhash": simhash.op8_simhash,

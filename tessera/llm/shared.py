@@ -23,11 +23,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}/{name}"
 
 
+#: Makes Spark delete a query's shuffle files when it ends, rather than when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to scratch and read it back: cuts lineage, survives lost executors."""
+    """Write df to scratch and read it back: cuts lineage, survives lost executors, frees its shuffle files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
