@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import bpe, classifier, mixing, secrets, simhash, suffix
+from tessera.llm import bpe, classifier, mixing, phrases, secrets, simhash, suffix
 
 
 def queries() -> dict[str, Callable]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable]:
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_simhash": simhash.op8_simhash,
         "op9_secret_scan": secrets.op9_secret_scan,
+        "op10_phrase_fingerprint": phrases.op10_phrase_fingerprint,
     }
 
 
