@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import bpe, classifier, mixing, phrases, secrets, simhash, suffix
+from tessera.llm import bpe, classifier, mixing, phrases, rules, secrets, simhash, suffix
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_quality_rules": rules.op2_quality_rules,
         "op3_quality_classifier": classifier.op3_quality_classifier,
         "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op6_mixing": mixing.op6_mixing,
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": rules.OP2_SQL,
         "op6_mixing": mixing.OP6_SQL,
     }
