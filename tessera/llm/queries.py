@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import bpe, classifier, mixing, phrases, rules, secrets, simhash, suffix
+from tessera.llm import bpe, chat, classifier, mixing, phrases, rules, secrets, simhash, suffix
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_chat_format": chat.op1_chat_format,
         "op2_quality_rules": rules.op2_quality_rules,
         "op3_quality_classifier": classifier.op3_quality_classifier,
         "op4_suffix_dedup": suffix.op4_suffix_dedup,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat_format": chat.OP1_SQL,
         "op2_quality_rules": rules.OP2_SQL,
         "op6_mixing": mixing.OP6_SQL,
     }
