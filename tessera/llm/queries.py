@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import bpe, chat, classifier, mixing, phrases, rules, secrets, simhash, suffix
+from tessera.llm import bpe, chat, classifier, mixing, phrases, rules, secrets, simhash, suffix, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op2_quality_rules": rules.op2_quality_rules,
         "op3_quality_classifier": classifier.op3_quality_classifier,
         "op4_suffix_dedup": suffix.op4_suffix_dedup,
+        "op5_arc_to_warc": warc.op5_arc_to_warc,
         "op6_mixing": mixing.op6_mixing,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_simhash": simhash.op8_simhash,
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat.OP1_SQL,
         "op2_quality_rules": rules.OP2_SQL,
+        "op5_arc_to_warc": warc.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
     }
