@@ -1,33 +1,4 @@
-"""All queries over the reference operators, with their SQL."""
+"""All queries over the engine's own operators."""
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from tessera.plans.relational import compare_builds
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return put
-
-
-@query(
-    "bench_compare",
-    """SELECT b.event_type, round(avg(b.value), 6) AS avg_value_base, round(avg(c.value), 6) AS avg_value_other, round(avg(c.value) / avg(b.value), 6) AS ratio_value
-    FROM events b JOIN events c ON b.user_id = c.user_id AND b.event_type = c.event_type
-    WHERE b.ts < TIMESTAMP '2024-01-16' AND c.ts >= TIMESTAMP '2024-01-16' GROUP BY 1""",
-)
-def bench_compare(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cut = F.lit("2024-01-16").cast("timestamp")
-    out = compare_builds(events.where(F.col("ts") < cut), events.where(F.col("ts") >= cut), ["user_id", "event_type"], ["event_type"], ["value"])
-    return out.select("event_type", *(F.round(c, 6).alias(c) for c in ("avg_value_base", "avg_value_other", "ratio_value")))
+from tessera.plans import bench  # noqa: F401
+from tessera.registry import COVERS, ORACLE, QUERIES  # noqa: F401
