@@ -62,7 +62,7 @@ def _(t):
     """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'pp' || p_size WHEN p_size % 5 = 0 THEN 'tg' || p_size % 3 ELSE 'pp' || p_size || '+tg' || (p_size % 3) END
       || CASE WHEN p_size % 7 > 0 THEN '@d' || p_size % 7 ELSE '' END AS test_name, CASE WHEN p_size > 10 THEN 'Yes' ELSE 'No' END AS large,
       CASE WHEN p_size % 2 = 0 THEN '2x ' || p_brand ELSE p_brand || ', other' END AS gpu,
-      round(p_retailprice / 1073741824.0, 12) AS size_gib, regexp_replace(replace(p_type, 'STEEL', 'S'), '^STANDARD ', '') AS short_type FROM part""",
+      round(p_retailprice / 1073741824.0, 12) AS size_gib, regexp_replace(replace(p_type, 'ECONOMY', 'ECO'), '^SM', '') AS short_type FROM part""",
 )
 def _(t):
     p = t("part").withColumn("n_prompt", F.when((F.col("p_size") % 3 != 0) & (F.col("p_size") % 5 == 0), 0).otherwise(F.col("p_size")))
@@ -70,7 +70,7 @@ def _(t):
     p = p.withColumn("gpus", F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit(", "), "p_brand")).otherwise(F.concat("p_brand", F.lit(", other"))))
     return p.select(
         "p_partkey", C.test_name("n_prompt", "n_gen", "depth").alias("test_name"), C.yes_no(F.col("p_size") > 10).alias("large"), C.collapsed("gpus").alias("gpu"),
-        F.round(F.col("p_retailprice") / 1073741824.0, 12).alias("size_gib"), F.regexp_replace(F.replace(F.col("p_type"), F.lit("STEEL"), F.lit("S")), "^STANDARD ", "").alias("short_type"),
+        F.round(F.col("p_retailprice") / 1073741824.0, 12).alias("size_gib"), F.regexp_replace(F.replace(F.col("p_type"), F.lit("ECONOMY"), F.lit("ECO")), "^SM", "").alias("short_type"),
     )
 
 
