@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -23,62 +24,61 @@ from pyspark.sql import types as T
 from tessera.llm.shared import table
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pre-tokens up to this many characters are remembered, at most CACHED of them in each worker.
-CACHE_CHARS, CACHED = 48, 300_000
+#: Pre-tokens up to this many characters are remembered, in two generations of CACHED at most in each worker.
+CACHE_CHARS, CACHED = 48, 400_000
+
+
+_BITS = tuple(1 << i for i in range(256))
 
 
 class RankQueue:
-    """Positions by rank; ranks are below `size`. pop() gives the smallest rank's smallest position."""
+    """Positions by rank; ranks are below `size`. pop() gives the smallest rank's smallest position.
+
+    Words have 256 bits, so two levels serve 65,536 ranks, and `top` is one word of the second."""
 
     def __init__(self, size: int):
-        self.levels = []
-        while True:
-            size = -(-size // 64)
-            self.levels.append([0] * max(1, size))
-            if size <= 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
+        if size > 1 << 16:
+            raise ValueError("two levels serve 65,536 ranks")
+        self.words = [0] * (-(-size // 256))
+        self.top = 0
+        self.buckets: list[list[int]] = [[] for _ in range(size)]
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
+        bucket = self.buckets[rank]
+        if bucket:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for words in self.levels:
-            word, bit = rank >> 6, rank & 63
-            was = words[word]
-            words[word] = was | 1 << bit
-            if was:
-                break
-            rank = word
+        else:
+            bucket.append(position)
+            word = rank >> 8
+            self.words[word] |= _BITS[rank & 255]
+            self.top |= 1 << word
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.buckets:
+        top = self.top
+        if not top:
             return None
-        rank = 0
-        for words in reversed(self.levels):
-            word = words[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        low = bits & -bits
+        rank = word << 8 | low.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for words in self.levels:
-                word = at >> 6
-                words[word] &= ~(1 << (at & 63))
-                if words[word]:
-                    break
-                at = word
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        bits ^= low
+        self.words[word] = bits
+        if not bits:
+            self.top = top ^ (1 << word)
+        return rank, bucket.pop()
 
 
 class Bpe(dict):
-    """Maps a pre-token to its ids; as a dict it remembers short ones."""
+    """Maps a pre-token to its ids; as a dict it remembers short ones.
+
+    A full generation becomes the old one, from which what is asked for again comes back."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
+        self.old: dict[str, list[int]] = {}
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
         self.token = [b""] * self.size
@@ -88,11 +88,13 @@ class Bpe(dict):
         # White space as the Unicode property has it; Python's own \s has four control characters more.
         self.find = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.queue = RankQueue(self.size)  # empty again after each merge
+        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = self.merge(piece.encode())
+        ids = self.old.get(piece) or self.merge(piece.encode())
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHED:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -105,36 +107,59 @@ class Bpe(dict):
         n = len(piece)
         after = list(range(1, n + 1))  # where a node's symbol ends: the next node
         before = list(range(-1, n - 1))
-        pair: list[int] = [-1] * n  # the rank of a node's symbol with the next one, -1 if none
-        queue = self.queue
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+        pairs, get = self.pairs, ranks.get
+        pair = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # the rank of a node's symbol with the next one, -1 if none
+        pair.append(-1)
+        # The queue's push and pop, written out: as calls they take half of the time of a short pre-token.
+        words, buckets, top = self.queue.words, self.queue.buckets, 0
+        for i, rank in enumerate(pair):
+            if rank >= 0:
+                if buckets[rank]:
+                    buckets[rank].append(i)  # ascending, so a heap
+                else:
+                    buckets[rank].append(i)
+                    words[rank >> 8] |= _BITS[rank & 255]
+                    top |= _BITS[rank >> 8]
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            rank = word << 8 | low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
+                words[word] = bits = bits ^ low
+                if not bits:
+                    top ^= _BITS[word]
             if pair[i] != rank:
                 continue  # stale: merged away, or its neighbour has changed
             gone = after[i]
-            end = after[gone]
-            after[i] = end
+            after[i] = end = after[gone]
             pair[gone] = -1
-            pair[i] = -1
             if end < n:
                 before[end] = i
-                new = ranks.get(piece[i : after[end]])
-                if new is not None:
-                    pair[i] = new
-                    queue.push(new, i)
+                pair[i] = new = get(piece[i : after[end]], -1)
+                if new >= 0:
+                    if buckets[new]:
+                        heappush(buckets[new], i)
+                    else:
+                        buckets[new].append(i)
+                        words[new >> 8] |= _BITS[new & 255]
+                        top |= _BITS[new >> 8]
+            else:
+                pair[i] = -1
             left = before[i]
-            if left >= 0:
-                new = ranks.get(piece[left:end])
-                if new is None:
-                    pair[left] = -1
-                elif new != pair[left]:
-                    pair[left] = new
-                    queue.push(new, left)
+            if left >= 0 and (new := get(piece[left:end], -1)) != pair[left]:
+                pair[left] = new
+                if new >= 0:
+                    if buckets[new]:
+                        heappush(buckets[new], left)
+                    else:
+                        buckets[new].append(left)
+                        words[new >> 8] |= _BITS[new & 255]
+                        top |= _BITS[new >> 8]
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -148,6 +173,17 @@ class Bpe(dict):
         return b"".join(map(self.token.__getitem__, ids))
 
 
+_ENCODERS: dict[str, Bpe] = {}
+
+
+def _encoder(key: str, sent) -> Bpe:
+    """The worker's encoder for a query's vocabulary; it outlives a task, and only the last one is kept."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Bpe(*sent.value)
+    return _ENCODERS[key]
+
+
 def load(path: str | None = None) -> dict[bytes, int]:
     """The ranks in a .tiktoken file; by default the public 50k vocabulary."""
     if path is None:
@@ -172,12 +208,13 @@ def encoded(docs: DataFrame, columns: list[str] | None = None, ranks: dict[bytes
     the driver. Repeated rows are encoded each; extra columns are left aside."""
     keep = columns or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast((ranks or load(), pattern or default_pattern()))
+    key = uuid.uuid4().hex
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def op(batches):
-        bpe = Bpe(*sent.value)
+        bpe = _encoder(key, sent)
         for b in batches:
             n, sha, back, own = [], [], [], []
             for text in b.column(b.num_columns - 1).to_pylist():
