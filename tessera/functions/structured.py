@@ -197,7 +197,7 @@ def schema_to_pattern(schema: dict, root: dict | None = None, depth: int = 6) ->
         if depth <= 0:
             return r"(?!)"
         at = root
-        for part in schema["$ref"].lstrip("#/").split("/"):
+        for part in filter(None, schema["$ref"].lstrip("#/").split("/")):
             at = at[part]
         return schema_to_pattern(at, root, depth - 1)
     if "const" in schema:
