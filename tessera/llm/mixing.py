@@ -126,5 +126,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = mix(docs).where("passes > 0").groupBy("doc_id", "size").agg(F.max("passes").alias("passes"))
     rest = rest.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.sequence(F.lit(1), "passes").alias("mix_passes"))
     sized = docs.withColumn("mix_words", words())
-    out = sized.join(rest, sized["doc_id"].eqNullSafe(rest["mix_id"]) & (F.col("mix_words") == F.col("mix_size")))
+    # The hint keeps texts from being sorted, and the plan the same whether ids are few or many.
+    out = sized.join(rest.hint("shuffle_hash"), sized["doc_id"].eqNullSafe(rest["mix_id"]) & (F.col("mix_words") == F.col("mix_size")))
     return out.withColumn("mix_pass", F.explode("mix_passes")).select(*(out[c] for c in docs.columns))

@@ -209,6 +209,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without a doc_id can't be named by a component and stay."""
     found = stored(near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")), "kept")
     found = found.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("kept_id")))
-    out = docs.join(found.distinct(), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    # The hint keeps texts from being sorted, and the plan the same whether ids are few or many.
+    out = docs.join(found.distinct().hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
     again = found.where("kept_id is not null").groupBy("kept_id").count().where("count > 1").limit(1).count()
     return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null")) if again else out
