@@ -58,39 +58,50 @@ def _least(h: np.ndarray, wide: int) -> np.ndarray:
 
 def cut(data: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     """Records of documents that stand one after another in data: (start, windows, hash of minimizer, place of it in the record, document number)."""
-    wide = length - ANCHOR + 1
+    wide = length - ANCHOR + 1  # below 256: a hash's last byte gives way to its place, modulo 256
     starts, counts, hashes, places, owners = [], [], [], [], []
     for lo in range(0, max(0, len(data) - length + 1), _STEP):
         h = _hashes(data[lo : lo + _STEP + length - 1])
+        h &= np.uint64(0xFFFFFFFFFFFFFF00)
+        h |= (np.arange(lo, lo + len(h)) & 255).astype(np.uint64)
         least = _least(h, wide)
-        at = np.arange(lo, lo + len(least))
-        doc = np.searchsorted(ends, at, side="right")
-        inside = at + length <= ends[doc]
-        new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])]
+        value = least >> np.uint64(8)
+        n = len(least)
+        one, two = np.searchsorted(ends, [lo, lo + n - 1], side="right")
+        edge = np.concatenate(([lo], ends[one:two], [lo + n])) - lo  # where documents begin in this stretch
+        new = np.empty(n, bool)
+        new[0] = True
+        np.not_equal(value[1:], value[:-1], out=new[1:])
+        new[edge[:-1]] = True
+        inside = np.ones(n, bool)
+        for e in ends[one : np.searchsorted(ends, lo + n + length, side="right") + 1] - lo:  # the last windows of a document would leave it
+            inside[max(0, e - length + 1) : max(0, min(e, n))] = False
+            if 0 <= e - length + 1 < n:
+                new[e - length + 1] = True
         first = np.flatnonzero(new)
-        count = np.diff(np.r_[first, len(least)])
+        count = np.diff(np.append(first, n))
         ok = inside[first]
         first, count = first[ok], count[ok]
-        place = np.full(len(first), -1)
-        for k in range(wide):
-            place[(place < 0) & (h[first + k] == least[first])] = k
         starts.append(first + lo)
         counts.append(count)
-        hashes.append(least[first])
-        places.append(place)
-        owners.append(doc[first])
+        hashes.append(value[first])
+        places.append(((least[first] & np.uint64(255)).astype(np.int64) - (first + lo)) & 255)
+        owners.append(one + np.searchsorted(edge[1:-1], first, side="right"))
     join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
     return join(starts, np.int64), join(counts, np.int64), join(hashes, np.uint64), join(places, np.int64), join(owners, np.int64)
 
 
 def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, bytes) of the slices of data, one after another."""
-    offsets = np.r_[0, np.cumsum(size)]
-    step = np.ones(offsets[-1], np.int64)
+    """(offsets, bytes) of the slices of data, one after another; no slice is empty."""
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    kind = np.int32 if max(len(data), offsets[-1]) < 2**31 else np.int64
+    step = np.ones(offsets[-1], kind)
     if len(start):
         step[0] = start[0]
         step[offsets[1:-1]] = start[1:] - start[:-1] - size[:-1] + 1
-    return offsets, data[np.cumsum(step)] if len(start) else np.zeros(0, np.uint8)
+        np.cumsum(step, out=step)
+    return offsets, data[step]
 
 
 def _codes(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -156,23 +167,33 @@ def _merge_scan(level: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(level[at] == keys, at, -1)
 
 
-#: A payload: how many records, bytes of text; then documents, variants, places, windows, minimizers' places; then the bytes.
+#: A payload: how many records, bytes of text; then documents, places, windows, variants, minimizers' places; then the text.
 _HEAD = struct.Struct("<qq")
+_FIELDS = (np.int64, np.int64, np.int32, np.int16, np.int16)
+
+
+def _planes(x: np.ndarray, kind) -> bytes:
+    """Differences of neighbours, first bytes first, then second ones, and so on: mostly zeros, which compress."""
+    d = np.diff(x.astype(kind), prepend=kind(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, d.itemsize).T).tobytes()
 
 
 def _pack(doc, variant, pos, count, place, data) -> bytes:
-    raw = b"".join((_HEAD.pack(len(doc), len(data)), doc.astype("<i8").tobytes(), variant.astype("<i2").tobytes(), pos.astype("<i8").tobytes(), count.astype("<i4").tobytes(), place.astype("<i2").tobytes(), data.tobytes()))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    raw = b"".join((_HEAD.pack(len(doc), len(data)), *(_planes(x, k) for x, k in zip((doc, pos, count, variant, place), _FIELDS, strict=True)), data.tobytes()))
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(payload: bytes):
     raw = zstandard.ZstdDecompressor().decompress(payload)
     n, m = _HEAD.unpack_from(raw)
-    out, at = [], _HEAD.size
-    for kind in ("<i8", "<i2", "<i8", "<i4", "<i2"):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
-    return [*out, np.frombuffer(raw, np.uint8, m, at)]
+    got, at = [], _HEAD.size
+    for kind in _FIELDS:
+        wide = np.dtype(kind).itemsize
+        d = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).ravel()
+        got.append(np.cumsum(d, dtype=kind))
+        at += n * wide
+    doc, pos, count, variant, place = got
+    return doc, variant, pos, count, place, np.frombuffer(raw, np.uint8, m, at)
 
 
 def _block(texts: list[bytes], docs: np.ndarray, variants: np.ndarray, parts: int, length: int):
@@ -192,7 +213,7 @@ def _block(texts: list[bytes], docs: np.ndarray, variants: np.ndarray, parts: in
         for part, rows in _dealt((docs[owner[again]] & 0x7FFFFFFF) % parts, np.flatnonzero(again)):
             yield part, 1, _pack(docs[owner[rows]], variants[owner[rows]], pos[rows], count[rows], place[rows], data[:0])
     keep = np.flatnonzero(~again)
-    for part, rows in _dealt(((minimizer[keep] >> np.uint64(11)) % np.uint64(parts)).astype(np.int64), keep):
+    for part, rows in _dealt(((minimizer[keep] >> np.uint64(3)) % np.uint64(parts)).astype(np.int64), keep):
         yield part, 0, _pack(docs[owner[rows]], variants[owner[rows]], pos[rows], count[rows], place[rows], _slices(data, start[rows], size[rows])[1])
 
 
@@ -303,8 +324,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans are the maximal runs of such bytes. Null texts count as empty. Rows that repeat a doc_id are judged each by
     its own text, and never against each other. A row without a doc_id has no smaller one, and is smaller than none: it stays
     whole. Extra columns are left aside; an empty table gives an empty result."""
-    if length < ANCHOR + 8:
-        raise ValueError(f"length must be at least {ANCHOR + 8}")
+    if not ANCHOR + 8 <= length < 256:
+        raise ValueError(f"length must be from {ANCHOR + 8} to 255")
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
