@@ -27,6 +27,11 @@ def compare_builds(base: DataFrame, other: DataFrame, keys: list[str], show: lis
     return out.orderBy(*show)
 
 
+def half_up(c, places: int) -> Column:
+    """A value rounded in plain double arithmetic, so that any engine gives the same bits."""
+    return F.floor(c * 10.0**places + 0.5) / 10.0**places
+
+
 def varying_columns(df: DataFrame) -> DataFrame:
     """(column_name, shown): shown unless the column has one value throughout, null being a value. One pass, no distinct counts."""
     flags = [((F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count(F.lit(1))))).alias(c) for c in df.columns]

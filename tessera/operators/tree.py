@@ -14,8 +14,9 @@ def _view(df: DataFrame, name: str) -> None:
 
 
 def path(spark, messages: DataFrame, leaf: str | None = None, conv=None) -> DataFrame:
-    """R2: the messages from a leaf up to its root, system first, then by time. Unknown leaf: the latest message of the conversation."""
+    """R2: the messages from a leaf up to its root, system first, then by time. Unknown leaf: the latest message of the conversation, or nothing if none is named."""
     _view(messages, "_messages")
+    conv = -1 if conv is None else int(conv)
     start = f"SELECT id, parent, 0 AS up FROM _messages WHERE id = '{leaf}'" if leaf is not None and messages.where(F.col("id") == leaf).limit(1).count() else f"(SELECT id, parent, 0 AS up FROM _messages WHERE convId = {conv} ORDER BY timestamp DESC, id LIMIT 1)"
     got = spark.sql(f"WITH RECURSIVE p(id, parent, up) AS ({start} UNION ALL SELECT m.id, m.parent, p.up + 1 FROM p JOIN _messages m ON m.id = p.parent) SELECT id, up FROM p")
     return messages.join(got, "id").orderBy(F.when(F.col("role") == "system", 0).otherwise(1), "timestamp")

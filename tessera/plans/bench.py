@@ -105,20 +105,20 @@ def _(t):
 
 @query(
     "model_summary", "A6 P13 T16",
-    """WITH e AS (SELECT c_mktsegment AS model, round(o_totalprice / 1000, 2) AS total, round(o_totalprice / 1000 / (1 + o_orderkey % 7) * 60, 2) AS per_min, o_orderstatus = 'F' AND length(c_name) > 0 AS ok FROM orders JOIN customer ON o_custkey = c_custkey)
+    """WITH e AS (SELECT c_mktsegment AS model, floor(o_totalprice / 1000 * 100 + 0.5) / 100 AS total, floor(o_totalprice / 1000 / (1 + o_orderkey % 7) * 60 * 100 + 0.5) / 100 AS per_min, o_orderstatus = 'F' AND length(c_name) > 0 AS ok FROM orders JOIN customer ON o_custkey = c_custkey)
     SELECT model, count(*) AS n, round(avg(total), 4) AS avg_total, round(avg(per_min), 4) AS avg_per_min, count(*) FILTER (WHERE ok) AS n_ok, count(*) - count(*) FILTER (WHERE ok) AS n_fail FROM e GROUP BY 1""",
 )
 def _(t):
     e = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    e = e.select(F.col("c_mktsegment").alias("model"), F.round(F.col("o_totalprice") / 1000, 2).alias("total"), F.round(F.col("o_totalprice") / 1000 / (1 + F.col("o_orderkey") % 7) * 60, 2).alias("per_min"), ((F.col("o_orderstatus") == "F") & (F.length("c_name") > 0)).alias("ok"))
+    e = e.select(F.col("c_mktsegment").alias("model"), C.half_up(F.col("o_totalprice") / 1000, 2).alias("total"), C.half_up(F.col("o_totalprice") / 1000 / (1 + F.col("o_orderkey") % 7) * 60, 2).alias("per_min"), ((F.col("o_orderstatus") == "F") & (F.length("c_name") > 0)).alias("ok"))
     ok = F.count_if("ok")
     return e.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total"), 4).alias("avg_total"), F.round(F.avg("per_min"), 4).alias("avg_per_min"), ok.alias("n_ok"), (F.count(F.lit(1)) - ok).alias("n_fail")).orderBy("avg_total")
 
 
-@query("backend_summary", "A7", """SELECT event_type, round(avg(round(value / 3, 3)), 6) AS rtf, count(*) AS n FROM events WHERE json_extract_string(props, '$.k')::BIGINT % 5 <> 0 GROUP BY 1""")
+@query("backend_summary", "A7", """SELECT event_type, round(avg(floor(value / 3 * 1000 + 0.5) / 1000), 6) AS rtf, count(*) AS n FROM events WHERE json_extract_string(props, '$.k')::BIGINT % 5 <> 0 GROUP BY 1""")
 def _(t):
     rows = t("events").withColumn("error", F.when(F.get_json_object("props", "$.k").cast("bigint") % 5 == 0, "failed"))
-    return rows.where("error is null").groupBy("event_type").agg(F.round(F.avg(F.round(F.col("value") / 3, 3)), 6).alias("rtf"), F.count(F.lit(1)).alias("n")).orderBy(F.col("rtf").desc())
+    return rows.where("error is null").groupBy("event_type").agg(F.round(F.avg(C.half_up(F.col("value") / 3, 3)), 6).alias("rtf"), F.count(F.lit(1)).alias("n")).orderBy(F.col("rtf").desc())
 
 
 _WORDS = r"list_filter(string_split_regex({c}, '\s+'), lambda w: w <> '')"
