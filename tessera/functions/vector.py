@@ -269,3 +269,54 @@ def masked_inf(df: DataFrame, past: int = 0) -> DataFrame:
 def lower_triangle(df: DataFrame) -> DataFrame:
     """TRI: zero above the diagonal."""
     return df.withColumn("v", F.when(F.col("j") > F.col("i"), 0.0).otherwise(F.col("v")))
+
+
+def matmul_by_id(a: DataFrame, b: DataFrame) -> DataFrame:
+    """MUL_MAT_ID: a(i, k, v, id) with the matrix that each row names, b(id, j, k, v), to (i, id, j, v)."""
+    both = a.select("i", "id", "k", F.col("v").alias("x")).join(b.select("id", "j", "k", F.col("v").alias("y")), ["id", "k"])
+    return both.groupBy("i", "id", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
+def add_by_id(a: DataFrame, b: DataFrame) -> DataFrame:
+    """ADD_ID: a(i, j, v, id) plus the row of b(id, j, w) that it names."""
+    return a.join(b, ["id", "j"], "left").withColumn("v", F.col("v") + F.coalesce("w", F.lit(0.0))).drop("w")
+
+
+def pool_2d(m: DataFrame, width: int, stride: int, how: str = "avg") -> DataFrame:
+    """POOL_2D on (m, i, j, v): windows of width by width every stride, those that lie inside."""
+    top = m.groupBy("m").agg(F.max("i").alias("_h"), F.max("j").alias("_w"))
+    spans = lambda c: F.sequence(F.greatest(F.ceil((F.col(c) - width + 1) / stride), F.lit(0)).cast("int"), F.floor(F.col(c) / stride).cast("int"))
+    rows = m.join(top, "m")
+    rows = rows.where(F.floor(F.col("i") / stride) >= F.ceil((F.col("i") - width + 1) / stride)).withColumn("oi", F.explode(spans("i"))).withColumn("oj", F.explode(spans("j")))
+    rows = rows.where((F.col("oi") * stride + width - 1 <= F.col("_h")) & (F.col("oj") * stride + width - 1 <= F.col("_w")))
+    agg = F.avg("v") if how == "avg" else F.max("v")
+    return rows.groupBy("m", F.col("oi").alias("i"), F.col("oj").alias("j")).agg(agg.alias("v"))
+
+
+def im2col(m: DataFrame, width: int, stride: int = 1) -> DataFrame:
+    """IM2COL on (m, i, j, v): (m, oi, oj, k, v), the k-th value of each window that lies inside."""
+    top = m.groupBy("m").agg(F.max("i").alias("_h"), F.max("j").alias("_w"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(width * width - 1)), lambda k: F.struct(k.alias("k"), F.floor(k / width).alias("di"), (k % width).alias("dj")))
+    rows = m.join(top, "m").select("m", "i", "j", "v", "_h", "_w", F.inline(at))
+    rows = rows.withColumn("oi", F.col("i") - F.col("di")).withColumn("oj", F.col("j") - F.col("dj"))
+    inside = (F.col("oi") >= 0) & (F.col("oj") >= 0) & (F.col("oi") + width - 1 <= F.col("_h")) & (F.col("oj") + width - 1 <= F.col("_w")) & (F.col("oi") % stride == 0) & (F.col("oj") % stride == 0)
+    return rows.where(inside).select("m", (F.col("oi") / stride).cast("bigint").alias("oi"), (F.col("oj") / stride).cast("bigint").alias("oj"), "k", "v")
+
+
+def upscaled(m: DataFrame, by: int) -> DataFrame:
+    """UPSCALE on (m, i, j, v): each value by times by times, nearest."""
+    each = F.sequence(F.lit(0), F.lit(by - 1))
+    rows = m.withColumn("di", F.explode(each)).withColumn("dj", F.explode(each))
+    return rows.select("m", (F.col("i") * by + F.col("di")).alias("i"), (F.col("j") * by + F.col("dj")).alias("j"), "v")
+
+
+def solve_lower(a, b) -> Column:
+    """SOLVE_TRI: x of a x = b for a lower triangular matrix (array of rows) and a vector, by a fold over the rows."""
+    start = F.array().cast("array<double>")
+    pairs = F.arrays_zip(a.alias("row"), b.alias("rhs"))
+
+    def step(x, p):
+        known = F.aggregate(F.zip_with(F.slice(p["row"], F.lit(1), F.size(x)), x, lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t)
+        return F.array_append(x, (p["rhs"] - known) / F.get(p["row"], F.size(x)))
+
+    return F.aggregate(pairs, start, step)

@@ -165,6 +165,40 @@ def within_budget(tokens: DataFrame, start: str, end: str, budget: int) -> DataF
     return rows.withColumn("forced", F.col("in_block") & (F.col("spent") > budget)).drop("_tag", "_block")
 
 
+def mirostat(steps: DataFrame, version: int = 2, tau: float = 5.0, eta: float = 0.1, m: int = 100, seed: int = 0) -> DataFrame:
+    """steps(stream, step, id, logit): one id per step, drawn so that the mean surprise nears tau bits.
+
+    A limit mu starts at 2 tau and moves by eta times the error after each draw. Version 2 keeps what surprises no more than
+    mu; version 1 keeps the k best, k from mu and the slope of the m best probabilities. Steps of a stream depend on
+    one another, so a stream is worked through in Python, one step in memory after another."""
+    import numpy as np
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        mu, out, rnd = 2 * tau, [], np.random.default_rng([seed, int(pdf["stream"].iloc[0]) & 0xFFFFFFFF])
+        for step, rows in pdf.groupby("step", sort=True):
+            rows = rows.sort_values(["logit", "id"], ascending=[False, True])
+            p = np.exp(rows["logit"].to_numpy() - rows["logit"].max())
+            p /= p.sum()
+            if version == 1:
+                top = p[:m]
+                t = np.log((np.arange(len(top) - 1) + 2) / (np.arange(len(top) - 1) + 1))
+                slope = (t * np.log(top[:-1] / top[1:])).sum() / (t * t).sum() if len(top) > 1 else 1.0
+                e = slope - 1
+                k = len(p) if abs(e) < 1e-9 or slope <= 0 else ((e * 2**mu) / (1 - len(p) ** (-e))) ** (1 / slope)
+                keep = np.arange(len(p)) < max(1, int(min(k, len(p))))
+            else:
+                keep = -np.log2(p) <= mu
+                keep[0] = True
+            q = np.where(keep, p, 0) / p[keep].sum()
+            at = min(int(np.searchsorted(np.cumsum(q), rnd.random())), int(np.flatnonzero(keep)[-1]))
+            mu -= eta * (-np.log2(q[at]) - tau)
+            out.append((pdf["stream"].iloc[0], step, rows["id"].iloc[at], mu))
+        return pd.DataFrame(out, columns=["stream", "step", "id", "mu"])
+
+    return steps.groupBy("stream").applyInPandas(one, "stream long, step long, id long, mu double")
+
+
 #: One letter per operator, as a chain is written.
 LETTERS = {"k": top_k, "p": top_p, "m": min_p, "t": temperature, "y": typical, "s": top_n_sigma, "x": xtc}
 

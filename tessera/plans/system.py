@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 from tessera import scratch
 from tessera.functions import audio as A
 from tessera.functions import codecs as Q
+from tessera.functions import packed as P
 from tessera.functions import romanise as O
 from tessera.functions import structured as G
+from tessera.functions import tokenise as Y
 from tessera.functions import vector as V
 from tessera.registry import query
 from tessera.sources import container as K
@@ -107,6 +109,27 @@ def _(t):
     return e.select("vec_id", *(F.size(Q.dequantised(Q.quantised("e", k), k)).alias(k) for k in ("tq1_0", "tq2_0")))
 
 
+for _kind in P.LAYOUTS:
+
+    @query(f"decode_{_kind}", "Q")
+    def _(t, kind=_kind):
+        """Blocks of pseudo-random bits; the scales are set to 1."""
+        k = P.LAYOUTS[kind]
+        bits = F.repeat(F.sha2(F.col("p_name").cast("binary"), 512), F.lit(2))
+        raw = F.substring(F.unhex(F.repeat(bits, F.lit(1 + k.size // 128))).cast("binary"), 1, k.size)
+        one = F.unhex(F.lit("003C"))
+        for at in (k.d, k.dmin):
+            if at is not None:
+                raw = F.concat(F.substring(raw, 1, at), one, F.substring(raw, at + 3, k.size))
+        return t("part").where("p_partkey <= 200").select("p_partkey", P.dequantised(raw, kind).alias("values"))
+
+
+@query("subwords", "Z3 Z4", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(substring(text, 1, 200), '\\s+', ' ', 'g')), ' '), '') AS joined FROM documents")
+def _(t):
+    ranks = {p: i for i, p in enumerate([("t", "h"), ("th", "e"), ("a", "n"), ("e", "r"), ("an", "d")])}
+    return t("documents").select("doc_id", F.array_join(Y.encode(F.substring("text", 1, 200), "merges", ranks), "").alias("joined"))
+
+
 @query("hann_window", "F1", "SELECT p_partkey, list_transform(range(0, 8), lambda i: round(0.5 * (1 - cos(2 * pi() * i / 8)), 6) + 0.0) AS w FROM part WHERE p_partkey <= 3")
 def _(t):
     return t("part").where("p_partkey <= 3").select("p_partkey", F.transform(A.hann(8), lambda x: F.round(x, 6) + 0.0).alias("w"))

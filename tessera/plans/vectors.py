@@ -227,3 +227,49 @@ def _(t):
     k = t("conversations").select(F.col("conv_id").alias("ctx"), "turn", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("i", F.col("i") + 1).where("i < 20")
     k = k.select("ctx", (F.col("turn") * 1000 + F.col("i")).alias("pos"), F.when(F.col("i") == 2, "<think>").when(F.col("i") == 9, "</think>").otherwise(F.col("w")).alias("piece"))
     return M.within_budget(k, "<think>", "</think>", 4)
+
+
+@query("sample_mirostat", "M14")
+def _(t):
+    steps = t("embeddings").where("vec_id < 100").select((F.col("vec_id") % 10).alias("stream"), F.floor(F.col("vec_id") / 10).alias("step"), F.posexplode(V.doubles("embedding")).alias("id", "x"))
+    return M.mirostat(steps.select("stream", "step", F.col("id").cast("bigint").alias("id"), (F.col("x") * 10).alias("logit")), 2, 3.0)
+
+
+_GRID = "(SELECT vec_id AS m, k // 8 AS i, k % 8 AS j, v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 50))"
+
+
+def _grid(t):
+    e = t("embeddings").where("vec_id < 50").select(F.col("vec_id").alias("m"), F.posexplode(V.doubles("embedding")).alias("k", "v"))
+    return e.select("m", F.floor(F.col("k") / 8).alias("i"), (F.col("k") % 8).cast("bigint").alias("j"), "v")
+
+
+@query("tensor_pool_2d", "tensor.pool_2d", f"SELECT g.m, a.a::BIGINT AS i, b.b::BIGINT AS j, round(avg(v), 6) AS v, round(max(v), 6) AS top FROM {_GRID} g, range(0, 3) a(a), range(0, 3) b(b) WHERE g.i BETWEEN a.a * 2 AND a.a * 2 + 3 AND g.j BETWEEN b.b * 2 AND b.b * 2 + 3 GROUP BY 1, 2, 3")
+def _(t):
+    g = _grid(t)
+    top = V.pool_2d(g, 4, 2, "max").withColumnRenamed("v", "top")
+    return V.pool_2d(g, 4, 2).join(top, ["m", "i", "j"]).select("m", "i", "j", F.round("v", 6).alias("v"), F.round("top", 6).alias("top"))
+
+
+@query("tensor_im2col", "tensor.im2col tensor.im2col_3d", f"SELECT g.m, a.a::BIGINT AS oi, b.b::BIGINT AS oj, (g.i - a.a) * 3 + g.j - b.b AS k, round(v, 6) AS v FROM {_GRID} g, range(0, 6) a(a), range(0, 6) b(b) WHERE g.i BETWEEN a.a AND a.a + 2 AND g.j BETWEEN b.b AND b.b + 2")
+def _(t):
+    return V.im2col(_grid(t), 3).select("m", "oi", "oj", "k", F.round("v", 6).alias("v"))
+
+
+@query("tensor_upscale", "tensor.upscale", f"SELECT m, i * 2 + a AS i, j * 2 + b AS j, round(v, 6) AS v FROM {_GRID} g, range(0, 2) r(a), range(0, 2) s(b)")
+def _(t):
+    return V.upscaled(_grid(t), 2).select("m", "i", "j", F.round("v", 6).alias("v"))
+
+
+@query("tensor_by_id", "tensor.mul_mat_id tensor.add_id", "WITH a AS (SELECT vec_id AS i, label % 3 AS id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 60), b AS (SELECT vec_id // 4 AS id, vec_id % 4 AS j, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 12) SELECT i, a.id::BIGINT AS id, j, round(sum(a.v * b.v) + CASE WHEN a.id = 1 THEN j ELSE 0 END, 6) AS v FROM a JOIN b ON a.id = b.id AND a.k = b.k GROUP BY i, a.id, j")
+def _(t):
+    e = lambda n: t("embeddings").where(f"vec_id < {n}").select("vec_id", "label", F.posexplode(V.doubles("embedding")).alias("k", "v"))
+    a = e(60).select(F.col("vec_id").alias("i"), (F.col("label") % 3).cast("bigint").alias("id"), "k", "v")
+    b = e(12).select(F.floor(F.col("vec_id") / 4).alias("id"), (F.col("vec_id") % 4).alias("j"), "k", "v")
+    bias = t.spark.range(4).select(F.lit(1).cast("bigint").alias("id"), F.col("id").alias("j"), F.col("id").cast("double").alias("w"))
+    return V.add_by_id(V.matmul_by_id(a, b), bias).select("i", "id", "j", F.round("v", 6).alias("v"))
+
+
+@query("tensor_solve_tri", "tensor.solve_tri", "SELECT vec_id, list_transform([embedding[1]::DOUBLE / 2, (embedding[2]::DOUBLE - embedding[1]::DOUBLE / 2) / 3, (embedding[3]::DOUBLE - 4 * embedding[1]::DOUBLE / 2 - 5 * (embedding[2]::DOUBLE - embedding[1]::DOUBLE / 2) / 3) / 6], lambda x: round(x, 6) + 0.0) AS x FROM embeddings WHERE vec_id < 100")
+def _(t):
+    rows = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in ((2, 0, 0), (1, 3, 0), (4, 5, 6))))
+    return t("embeddings").where("vec_id < 100").select("vec_id", _rounded(V.solve_lower(rows, F.slice(V.doubles("embedding"), 1, 3))).alias("x"))
