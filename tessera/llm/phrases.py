@@ -23,8 +23,9 @@ from tessera.llm.shared import shards, table
 #: Bins of the minhash, and the first round whose phrases count (round 1: about 3 to 4 code points).
 BINS, FIRST = 64, 2
 EMPTY = 0xFFFF
-#: Bytes of text in one task; documents parsed together.
-TASK_BYTES, TOGETHER = 32 << 20, 1 << 20
+#: Bytes of text in one range, code points parsed together. A range is sorted (Spark spills) and streamed, so beyond
+#: MOST_RANGES ranges just grow: bounds and first rows are constants in the plan, one number per range.
+TASK_BYTES, TOGETHER, MOST_RANGES = 32 << 20, 1 << 20, 20_000
 _U = np.uint64
 
 
@@ -172,22 +173,18 @@ def fingerprint_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = own.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    bounds = _bounds(own.select("doc_id"), parts or shards(spark, total, TASK_BYTES))
+    bounds = _bounds(own.select("doc_id"), parts or min(MOST_RANGES, shards(spark, total, TASK_BYTES)))
     parts = len(bounds) + 1
     # Range 0 has the largest ids. Null ids follow the smallest.
     ranged = own.withColumn("part", F.when(F.col("doc_id").isNull(), parts - 1).otherwise(_range_of(bounds)).cast("int"))
     # The first row of each range: at most one id per range comes to the driver.
     heads = {r["part"]: r["top"] for r in ranged.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
-    there = sorted(heads)
-    before = {}  # the first id of a range -> the range before it
-    for k, p in enumerate(there):
-        if heads[p] is not None:
-            before[heads[p]] = there[k - 1] if k else there[-1]
-    if not there:
-        tops = F.lit(None).cast("int")
-    else:
-        pairs = [F.lit(x) for kv in before.items() for x in kv]
-        tops = F.try_element_at(F.create_map(*pairs), F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))) if pairs else F.lit(None).cast("int")
+    there = sorted(p for p in heads if heads[p] is not None)
+    last = max(heads, default=0)  # where null ids are, if all are null
+    before = {p: there[k - 1] if k else last for k, p in enumerate(there)}
+    first = F.array(*(F.lit(heads.get(p)).cast("long") for p in range(parts)))
+    to = F.array(*(F.lit(before.get(p)).cast("int") for p in range(parts)))
+    tops = F.when(F.get(first, F.col("part")) == F.col("doc_id"), F.get(to, F.col("part")))
     twice = ranged.withColumn("copy", F.explode(F.when(tops.isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("extra")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.struct(tops.alias("part"), F.lit(1).alias("extra"))))))
     dealt = twice.select("copy.part", "copy.extra", "doc_id", "text").repartitionById(parts, F.col("part"))
     ordered = dealt.sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")

@@ -26,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat.OP1_SQL,
         "op2_quality_rules": rules.OP2_SQL,
+        "op4_suffix_dedup": suffix.OP4_SQL,
         "op5_arc_to_warc": warc.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
     }

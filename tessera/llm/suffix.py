@@ -203,18 +203,24 @@ def _block(texts: list[bytes], docs: np.ndarray, variants: np.ndarray, parts: in
     start, count, minimizer, place, owner = cut(data, ends, length)
     if not len(start):
         return
-    pos = start - np.r_[0, ends][owner]
-    size = count + length - 1
-    code = _codes(*_slices(data, start, size))
+    part = ((minimizer >> np.uint64(3)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")  # so that a shard's records lie together
+    part, start, count, place, owner = part[order], start[order], count[order], place[order], owner[order]
+    pos, size = start - np.r_[0, ends][owner], count + length - 1
+    offset, text = _slices(data, start, size)
+    code = _codes(offset, text)
+    doc, variant = docs[owner], variants[owner]
     least = np.full(code.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, code, docs[owner])
-    again = docs[owner] > least[code]
-    if again.any():
-        for part, rows in _dealt((docs[owner[again]] & 0x7FFFFFFF) % parts, np.flatnonzero(again)):
-            yield part, 1, _pack(docs[owner[rows]], variants[owner[rows]], pos[rows], count[rows], place[rows], data[:0])
-    keep = np.flatnonzero(~again)
-    for part, rows in _dealt(((minimizer[keep] >> np.uint64(3)) % np.uint64(parts)).astype(np.int64), keep):
-        yield part, 0, _pack(docs[owner[rows]], variants[owner[rows]], pos[rows], count[rows], place[rows], _slices(data, start[rows], size[rows])[1])
+    np.minimum.at(least, code, doc)
+    again = doc > least[code]
+    for to, rows in _dealt((doc[again] & 0x7FFFFFFF) % parts, np.flatnonzero(again)):
+        yield to, 1, _pack(doc[rows], variant[rows], pos[rows], count[rows], place[rows], text[:0])
+    for to, rows in _dealt(part, np.arange(len(part))):
+        lo, hi, kept = rows[0], rows[-1] + 1, ~again[rows]
+        own = text[offset[lo] : offset[hi]]
+        if not kept.all():
+            own, rows = own[np.repeat(kept, size[rows])], rows[kept]
+        yield to, 0, _pack(doc[rows], variant[rows], pos[rows], count[rows], place[rows], own)
 
 
 def _dealt(part: np.ndarray, rows: np.ndarray):
@@ -376,3 +382,15 @@ def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, substring(h, 2 * i + 1, {2 * LENGTH}) AS g FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1})) AS i FROM d)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM w) WHERE first < doc_id),
+s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + {LENGTH} THEN 0 ELSE 1 END AS new FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s) GROUP BY doc_id, run),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT p.doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS kept FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
