@@ -39,9 +39,9 @@ def encode(kind: str, x: np.ndarray) -> np.ndarray:
     x = np.ascontiguousarray(x, np.float32)
     n = len(x)
     if kind == "bf16":
-        u = x.view(np.uint32).astype(np.uint64)
-        u = np.where((u & 0x7FFFFFFF) > 0x7F800000, (u & 0xFFFF0000) | (64 << 16), u)
-        return ((u + 0x7FFF + (u >> 16 & 1)) >> 16).astype("<u2").view(np.uint8).reshape(n, -1)
+        kept, lost = x.view("<u2")[:, 1::2], x.view("<u2")[:, ::2]  # the upper and the lower halves of the floats
+        up = (lost > 0x8000) | ((lost == 0x8000) & (kept % 2 == 1))  # to the nearest, halves to even
+        return np.where(np.isnan(x), kept | 0x40, kept + up).astype("<u2").view(np.uint8).reshape(n, -1)
     if kind == "f16":
         return x.astype("<f2").view(np.uint8).reshape(n, -1)
     if kind == "mxfp4":

@@ -423,13 +423,13 @@ def partial_match(c, pattern: str) -> Column:
 #: Pre-token patterns by name, as Java reads them. Fixed values.
 PRETOKENS = {
     "gpt2": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    "llama3": r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
-    "qwen2": r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
+    "threes": r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
+    "digits": r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
     "newlines": r"[^\n]+|[\n]+",
 }
 
 
-def pretokens(c, name: str = "qwen2") -> Column:
+def pretokens(c, name: str = "digits") -> Column:
     """Z1; what no alternative takes stays as pieces of its own, so the pieces always make up the text again."""
     return F.regexp_extract_all(c, F.lit(f"(?U){PRETOKENS[name]}|(?s:.)"), F.lit(0))
 

@@ -219,10 +219,10 @@ def _(t):
     return t("events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"), F.to_json(found).alias("found"))
 
 
-@query("model_files", "P20", r"""SELECT p_partkey, 'model-' || p_size || 'B-Q' || (p_size % 8 + 1) || '_K.gguf' AS file, regexp_extract('model-' || p_size || 'B-Q' || (p_size % 8 + 1) || '_K.gguf', '[Qq](\d+)', 1)::BIGINT AS bits, regexp_matches('model-' || p_size || 'B-Q' || (p_size % 8 + 1) || '_K.gguf', '\.gguf$') AS is_model FROM part""")
+@query("model_files", "P20", r"""SELECT p_partkey, 'model-' || p_size || 'B-Q' || (p_size % 8 + 1) || '_K.bin' AS file, regexp_extract('model-' || p_size || 'B-Q' || (p_size % 8 + 1) || '_K.bin', '[Qq](\d+)', 1)::BIGINT AS bits, regexp_matches('model-' || p_size || 'B-Q' || (p_size % 8 + 1) || '_K.bin', '\.bin$') AS is_model FROM part""")
 def _(t):
-    name = F.concat(F.lit("model-"), F.col("p_size").cast("string"), F.lit("B-Q"), (F.col("p_size") % 8 + 1).cast("string"), F.lit("_K.gguf"))
-    return t("part").select("p_partkey", name.alias("file"), F.regexp_extract(name, r"[Qq](\d+)", 1).cast("bigint").alias("bits"), F.rlike(name, F.lit(r"\.gguf$")).alias("is_model"))
+    name = F.concat(F.lit("model-"), F.col("p_size").cast("string"), F.lit("B-Q"), (F.col("p_size") % 8 + 1).cast("string"), F.lit("_K.bin"))
+    return t("part").select("p_partkey", name.alias("file"), F.regexp_extract(name, r"[Qq](\d+)", 1).cast("bigint").alias("bits"), F.rlike(name, F.lit(r"\.bin$")).alias("is_model"))
 
 
 @query("point_lookup", "P21 P22", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 7 AND text IS NOT NULL")

@@ -83,13 +83,13 @@ def _(t):
 
 @query("pretokens", "Z1 Z4", r"SELECT doc_id, text AS joined, len(regexp_extract_all(text, '[^\n]+|[\n]+')) AS n_lines FROM documents")
 def _(t):
-    p = G.pretokens(F.col("text"), "qwen2")
+    p = G.pretokens(F.col("text"), "digits")
     return t("documents").select("doc_id", F.array_join(p, "").alias("joined"), F.size(G.pretokens(F.col("text"), "newlines")).alias("n_lines"))
 
 
 @query("pretoken_counts", "Z1 Z2")
 def _(t):
-    return t("documents").select("doc_id", *(F.size(G.pretokens(F.col("text"), n)).alias(n) for n in ("gpt2", "llama3", "qwen2")), F.size(G.split_again(G.pretokens(F.col("text"), "gpt2"), r"\p{N}{1,3}|\P{N}+")).alias("twice"), G.byte_letters(F.substring("text", 1, 50)).alias("letters"))
+    return t("documents").select("doc_id", *(F.size(G.pretokens(F.col("text"), n)).alias(n) for n in ("gpt2", "threes", "digits")), F.size(G.split_again(G.pretokens(F.col("text"), "gpt2"), r"\p{N}{1,3}|\P{N}+")).alias("twice"), G.byte_letters(F.substring("text", 1, 50)).alias("letters"))
 
 
 # Codecs and audio

@@ -131,7 +131,7 @@ def _(t):
 @query("model_names", "C28 C25", "SELECT p_partkey, 'Widget' AS base, p_size || 'B' AS size, CASE WHEN p_size % 2 = 0 THEN 'Instruct' END AS finetune, 'v' || p_size % 3 || '.1' AS version, 'Q4_K_M' AS quant FROM part")
 def _(t):
     s = F.col("p_size")
-    name = F.concat(F.lit("Widget-"), s.cast("string"), F.lit("B"), F.when(s % 2 == 0, "-Instruct").otherwise(""), F.lit("-v"), (s % 3).cast("string"), F.lit(".1-Q4_K_M.gguf"))
+    name = F.concat(F.lit("Widget-"), s.cast("string"), F.lit("B"), F.when(s % 2 == 0, "-Instruct").otherwise(""), F.lit("-v"), (s % 3).cast("string"), F.lit(".1-Q4_K_M.bin"))
     return t("part").select("p_partkey", T.model_name_parts(name).alias("p")).select("p_partkey", "p.*")
 
 
@@ -252,7 +252,7 @@ def _(t):
     return t("part").select("p_partkey", O["get"](m, "name").alias("got"), O["get"](m, "other", "none").alias("missing"), F.array_sort(O["keys"](m)).alias("keys"), O["length"](m).alias("n"), J.NUMBER["float"](F.col("p_size")).alias("as_float"), J.NUMBER["abs"](F.col("p_size") - 25).alias("absolute"), J.BOOL["string"](F.col("p_size") > 25).alias("flag"))
 
 
-for _style, _before, _after in (("chatml", "'<|im_start|>' || role || chr(10)", "'<|im_end|>' || chr(10)"), ("llama3", "'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10)", "'<|eot_id|>'"), ("gemma", "'<start_of_turn>' || CASE role WHEN 'assistant' THEN 'model' ELSE role END || chr(10)", "'<end_of_turn>' || chr(10)"), ("llama2", "CASE role WHEN 'system' THEN '<<SYS>>' || chr(10) WHEN 'user' THEN '[INST] ' WHEN 'assistant' THEN ' ' ELSE '' END", "CASE role WHEN 'system' THEN chr(10) || '<</SYS>>' || chr(10) || chr(10) WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '</s>' ELSE '' END")):
+for _style, _before, _after in (("chatml", "'<|im_start|>' || role || chr(10)", "'<|im_end|>' || chr(10)"), ("header", "'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10)", "'<|eot_id|>'"), ("gemma", "'<start_of_turn>' || CASE role WHEN 'assistant' THEN 'model' ELSE role END || chr(10)", "'<end_of_turn>' || chr(10)"), ("inst", "CASE role WHEN 'system' THEN '<<SYS>>' || chr(10) WHEN 'user' THEN '[INST] ' WHEN 'assistant' THEN ' ' ELSE '' END", "CASE role WHEN 'system' THEN chr(10) || '<</SYS>>' || chr(10) || chr(10) WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '</s>' ELSE '' END")):
 
     @query(f"chat_template_{_style}", "chat.template S2", f"SELECT conv_id, string_agg({_before} || trim(text) || {_after}, '' ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
     def _(t, style=_style):
