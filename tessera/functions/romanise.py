@@ -24,16 +24,20 @@ SIGNS = {"ा": "aa", "ि": "i", "ी": "ee", "ु": "u", "ू": "oo", "ृ": "
 NUKTA, VIRAMA, NASALS, VISARGA = "\u093c", "\u094d", "\u0901\u0902", "\u0903"
 BOUNDARY = " \t\n.,!?;:।॥\"'()[]{}"
 
-# The lexicon: corrections and proper nouns, as the conventions list them. Fixed values.
-CORRECTIONS = {
-    "ham": "hum", "yah": "yeh", "ye": "yeh", "wah": "woh", "naheen": "nahi", "nahin": "nahi", "men": "mein", "sirph": "sirf", "aadaab": "adaab", "aawaaz": "awaz", "aawaaj": "awaz", "zabaan": "zaban",
-    "shinaakht": "shanakht", "bachcha": "bacha", "achchha": "acha", "achcha": "acha", "pyaar": "pyar", "isalie": "isliye", "islie": "isliye", "chaar": "char", "paanch": "panch", "bahan": "behan", "thanda": "thanda",
-    "jaoge": "jaoge", "peeoge": "peoge", "jaenge": "jayenge", "jaaenge": "jayenge", "jaaoge": "jaoge", "samajhana": "samajhna", "aasamaan": "aasman", "gyaan": "gyan", "bhaai": "bhai", "hepatitis si": "hepatitis C",
+# The lexicon: words and names as the conventions write them. Fixed values. What the letters alone would give is worked out below.
+WORDS = {
+    "क्या": "kya", "है": "hai", "हैं": "hain", "नहीं": "nahi", "हाँ": "haan", "में": "mein", "मैं": "main", "हम": "hum", "यह": "yeh", "वह": "woh", "का": "ka", "की": "ki", "के": "ke", "को": "ko", "से": "se", "पर": "par", "तक": "tak",
+    "कब": "kab", "कहाँ": "kahan", "कैसे": "kaise", "क्यों": "kyon", "क्योंकि": "kyonki", "कौन": "kaun", "कितना": "kitna", "तू": "tu", "तुम": "tum", "आप": "aap", "मेरा": "mera", "मेरी": "meri", "तेरा": "tera", "हमारा": "hamara", "तुम्हारा": "tumhara", "अपना": "apna",
+    "एक": "ek", "दो": "do", "तीन": "teen", "चार": "char", "पाँच": "panch", "छह": "chhe", "सात": "saat", "आठ": "aath", "नौ": "nau", "दस": "das", "सौ": "sau", "हज़ार": "hazar", "लाख": "lakh", "और": "aur", "लेकिन": "lekin", "मगर": "magar", "अगर": "agar", "तो": "to", "इसलिए": "isliye",
+    "सिर्फ": "sirf", "आदाब": "adaab", "आवाज़": "awaz", "आवाज": "awaz", "ज़बान": "zaban", "शिनाख़्त": "shanakht", "बच्चा": "bacha", "अच्छा": "acha", "प्यार": "pyar", "आसमान": "aasman", "ज्ञान": "gyan", "भाई": "bhai", "बहन": "behan", "पीओगे": "peoge", "जाएंगे": "jayenge", "जाओगे": "jaoge", "ये": "yeh", "टेक्नोलॉजी": "technology", "आजमा": "aazma",
 }
-PROPER_NOUNS = {
-    "akeeb": "Aqib", "akib": "Aqib", "aqib": "Aqib", "alee": "Ali", "ali": "Ali", "umar": "Umar", "usmaan": "Usman", "muhammad": "Muhammad", "mohammad": "Muhammad", "ahamad": "Ahmad", "ahmad": "Ahmad", "hasan": "Hassan", "husain": "Hussain",
-    "imaraan": "Imran", "imran": "Imran", "karaanchi": "Karachi", "karaachi": "Karachi", "karanchi": "Karachi", "karachi": "Karachi", "laahaur": "Lahore", "paakistaan": "Pakistan", "dilli": "Delhi", "mumbai": "Mumbai",
+NAMES = {
+    "अकीब": "Aqib", "अक़ीब": "Aqib", "आक़िब": "Aqib", "अकेब": "Aqib", "अली": "Ali", "अलि": "Ali", "उमर": "Umar", "ओमर": "Umar", "उस्मान": "Usman", "मुहम्मद": "Muhammad", "मोहम्मद": "Muhammad", "अहमद": "Ahmad", "हसन": "Hassan", "हुसैन": "Hussain", "इब्राहिम": "Ibrahim", "इस्माइल": "Ismail",
+    "यूसुफ़": "Yusuf", "यूसफ़": "Yousaf", "तारिक़": "Tariq", "इमरान": "Imran", "कामरान": "Kamran", "सलमान": "Salman", "आरिफ़": "Arif", "आसिफ़": "Asif", "काशिफ़": "Kashif", "शाहिद": "Shahid", "राशिद": "Rashid", "ख़ालिद": "Khalid", "मजीद": "Majeed", "बिलाल": "Bilal", "अब्दुल्लाह": "Abdullah", "नदीम": "Nadeem",
+    "वसीम": "Waseem", "फ़ैसल": "Faisal", "नईम": "Naeem", "आयेशा": "Ayesha", "आइशा": "Ayesha", "फ़ातिमा": "Fatima", "मरयम": "Maryam", "ख़दीजा": "Khadija", "ज़ैनब": "Zainab", "सादिया": "Sadia", "आम्ना": "Amna", "सफ़िया": "Safia", "राबिया": "Rabia", "कराची": "Karachi", "करांची": "Karachi", "लाहौर": "Lahore",
+    "इस्लामाबाद": "Islamabad", "पाकिस्तान": "Pakistan", "हिंदुस्तान": "Hindustan", "दिल्ली": "Delhi", "मुंबई": "Mumbai", "उर्दू": "Urdu",
 }
+PHRASES = {"hepatitis si": "hepatitis C"}
 
 _CONS, _SIGN, _EDGE = f"[{''.join(CONSONANTS)}]", f"[{''.join(SIGNS)}]", rf"(?:\Z|[{re.escape(BOUNDARY)}]|[^\u0900-\u097f])"
 _LETTER = re.compile(
@@ -79,6 +83,11 @@ def endings(text: str) -> str:
     return text
 
 
+#: What letters and endings make of a listed word -> how it is written.
+CORRECTIONS = {low: right for word, right in WORDS.items() if (low := endings(letters(word)).lower()) != right} | PHRASES
+PROPER_NOUNS = {endings(letters(word)).lower(): right for word, right in NAMES.items()}
+
+
 def corrected(text: str, corrections: dict[str, str] = CORRECTIONS, names: dict[str, str] = PROPER_NOUNS) -> str:
     """Names first, then corrections that keep a capital, then phrases, longest first."""
 
