@@ -31,7 +31,7 @@ from tessera.llm.shared import shards, stored, table
 LENGTH = 50
 ANCHOR = 16
 #: Bytes of text that are cut into records at a time, bytes of records to a shard, windows to a batch.
-BLOCK, SHARD_BYTES, BATCH = 1 << 22, 24 << 20, 1 << 19
+BLOCK, SHARD_BYTES, BATCH = 1 << 22, 16 << 20, 1 << 18
 _STEP = 1 << 18
 
 
