@@ -177,7 +177,7 @@ def _(t):
     SELECT doc_id, pos::BIGINT AS pos, word FROM w WHERE pos < 3 OR (pos >= 23 AND pos < 25) OR (pos >= 75 AND pos < 80)""",
 )
 def _(t):
-    w = t("documents").select("doc_id", F.posexplode(F.filter(C.words("text"), lambda x: ~x.contains("<"))).alias("pos", "word"))
+    w = t.spread("documents").select("doc_id", F.posexplode(F.filter(C.words("text"), lambda x: ~x.contains("<"))).alias("pos", "word"))
     return C.select_pattern(w, "pos", "3,20,2,50,5")
 
 
@@ -310,4 +310,4 @@ def _(t):
 
 @query("first_line", "O11 T15", r"SELECT min_by(regexp_extract(text, '^\S+'), doc_id) AS first_word, min(doc_id) AS doc_id FROM documents WHERE regexp_matches(text, 'the')")
 def _(t):
-    return t("documents").where(F.rlike("text", F.lit("the"))).agg(F.min_by(F.regexp_extract("text", r"^\S+", 0), "doc_id").alias("first_word"), F.min("doc_id").alias("doc_id"))
+    return t.spread("documents").where(F.rlike("text", F.lit("the"))).agg(F.min_by(F.regexp_extract("text", r"^\S+", 0), "doc_id").alias("first_word"), F.min("doc_id").alias("doc_id"))

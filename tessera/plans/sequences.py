@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions import vector as V
 from tessera.operators import batching as B
 from tessera.operators import ngram as N
 from tessera.operators import stats as S
 from tessera.operators import tree as R
 from tessera.registry import query, r6
+from tessera.sources import writers as W
 
 _TOK = r"tok AS (SELECT doc_id AS seq_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents))"
 
@@ -23,12 +25,12 @@ _COUNTS = " UNION ALL ".join(f"SELECT {n} AS n, ngram, next, count(*) AS cnt FRO
 
 
 def _tokens(t):
-    return N.word_tokens(t("documents"))
+    return N.word_tokens(t.spread("documents"))
 
 
 @query("ngram_counts", "W3 A24 Z6", f"WITH {_TOK}, c AS ({_COUNTS}) SELECT n::BIGINT AS n, array_to_string(ngram, ' ') AS ngram, next, cnt FROM c WHERE cnt > 1")
 def _(t):
-    return N.text_counts(t("documents"), (1, 2)).where("cnt > 1").withColumn("ngram", F.array_join("ngram", " "))
+    return N.text_counts(t.spread("documents"), (1, 2)).where("cnt > 1")
 
 
 @query("ngram_merge", "A25", f"WITH {_TOK}, c AS ({_COUNTS}) SELECT n::BIGINT AS n, array_to_string(ngram, ' ') AS ngram, next, cnt::BIGINT AS cnt FROM c WHERE n = 1 AND cnt > 2")
@@ -42,26 +44,29 @@ _DRAFT = "d AS (SELECT n, ngram, min_by(next, {'c': -cnt, 't': next}) AS draft,
 
 @query("ngram_draft", "A26", f"WITH {_TOK}, c AS ({_COUNTS}), {_DRAFT} SELECT n::BIGINT AS n, array_to_string(ngram, ' ') AS ngram, draft, cnt, total FROM g")
 def _(t):
-    return N.drafts(N.text_counts(t("documents"), (1, 2))).withColumn("ngram", F.array_join("ngram", " "))
+    return N.drafts(N.text_counts(t.spread("documents"), (1, 2)))
 
 
-@query("ngram_probe", "J10", f"WITH {_TOK}, c AS ({_COUNTS}), {_DRAFT}, x AS (SELECT seq_id AS ctx, list(token ORDER BY pos)[-2:] AS tail FROM tok GROUP BY 1) SELECT ctx, coalesce(b.draft, a.draft) AS draft, CASE WHEN b.draft IS NOT NULL THEN 2 WHEN a.draft IS NOT NULL THEN 1 END::BIGINT AS n FROM x LEFT JOIN g b ON b.n = 2 AND b.ngram = tail AND len(tail) = 2 LEFT JOIN g a ON a.n = 1 AND a.ngram = tail[-1:]")
+@query("ngram_probe", "J10 K13", f"WITH {_TOK}, c AS ({_COUNTS}), {_DRAFT}, x AS (SELECT seq_id AS ctx, list(token ORDER BY pos)[-2:] AS tail FROM tok GROUP BY 1) SELECT ctx, coalesce(b.draft, a.draft) AS draft, CASE WHEN b.draft IS NOT NULL THEN 2 WHEN a.draft IS NOT NULL THEN 1 END::BIGINT AS n FROM x LEFT JOIN g b ON b.n = 2 AND b.ngram = tail AND len(tail) = 2 LEFT JOIN g a ON a.n = 1 AND a.ngram = tail[-1:]")
 def _(t):
     k = _tokens(t)
     tails = k.groupBy(F.col("seq_id").alias("ctx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("w")).select("ctx", F.slice("w", F.greatest(F.size("w") - 1, F.lit(1)), F.lit(2)).alias("tail"))
-    return N.probe(tails, [N.drafts(N.text_counts(t("documents"), (1, 2)))], (2, 1)).select("ctx", "draft", "n")
+    path = scratch.path(t.spark, "ngram-cache")  # saved once, probed for each length
+    W.append(N.drafts(N.text_counts(t.spread("documents"), (1, 2))), path)
+    cache = t.spark.read.parquet(path).withColumn("ngram", F.split("ngram", " "))
+    return N.probe(tails, [cache], (2, 1)).select("ctx", "draft", "n")
 
 
 @query("ngram_weighted", "J11", f"WITH {_TOK}, c AS ({_COUNTS}), s AS (SELECT ngram, next, cnt * coalesce(CASE WHEN cnt > 3 THEN 100 * cnt END, 1) AS score FROM c WHERE n = 1) SELECT array_to_string(ngram, ' ') AS ngram, min_by(next, {{'s': -score, 't': next}}) AS draft, max(score)::BIGINT AS score FROM s GROUP BY ngram")
 def _(t):
-    c = N.text_counts(t("documents"), (1,))
-    return N.weighted(c, c.where("cnt > 3")).select(F.array_join("ngram", " ").alias("ngram"), "draft", "score")
+    c = N.text_counts(t.spread("documents"), (1,))
+    return N.weighted(c, c.where("cnt > 3")).select("ngram", "draft", "score")
 
 
 @query("acceptance", "A27", f"WITH {_TOK}, c AS ({_COUNTS}), {_DRAFT}, y AS ({_gram(2)}) SELECT count(*) AS n_drafted, count(*) FILTER (WHERE draft = next) AS n_accepted, round(count(*) FILTER (WHERE draft = next) / count(*), 6) AS rate FROM y JOIN g ON g.n = 2 AND g.ngram = y.ngram WHERE next IS NOT NULL")
 def _(t):
     k = _tokens(t)
-    return N.acceptance(k, N.drafts(N.text_counts(t("documents"), (2,))), 2).select("n_drafted", "n_accepted", *r6("rate"))
+    return N.acceptance(k, N.drafts(N.text_counts(t.spread("documents"), (2,))).withColumn("ngram", F.split("ngram", " ")), 2).select("n_drafted", "n_accepted", *r6("rate"))
 
 
 @query("lookup_previous", "W4 W5", f"WITH {_TOK}, y AS ({_gram(2)}), z AS (SELECT *, lag(pos) OVER s AS prev, row_number() OVER s - 1 AS hits FROM y WHERE next IS NOT NULL WINDOW s AS (PARTITION BY seq_id, ngram ORDER BY pos)), q AS (SELECT seq_id, list(token ORDER BY pos) AS w FROM tok GROUP BY 1) SELECT seq_id, pos::BIGINT AS pos, prev::BIGINT AS prev, hits, array_to_string(w[prev + 3:prev + 5], ' ') AS copied FROM z JOIN q USING (seq_id) WHERE hits >= 1")
@@ -164,7 +169,7 @@ def _(t):
 
 @query("content_hashes", "A33", "SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
 def _(t):
-    return t("documents").select("doc_id", F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
+    return t.spread("documents").select("doc_id", F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
 
 
 # Each turn answers the one before it; every fourth hangs one turn higher, so conversations branch.
@@ -286,9 +291,9 @@ def _(t):
 
 @query("prompt_packing", "W16")
 def _(t):
-    return B.pack(t("documents").select("source", "doc_id", "n_chars"), "n_chars", 20_000, 8, "source", "doc_id")
+    return B.pack(t.spread("documents").select("source", "doc_id", "n_chars"), "n_chars", 20_000, 8, "source", "doc_id")
 
 
 @query("shard_plan", "W17 K11")
 def _(t):
-    return B.shards_by_bytes(t("documents").select("source", "doc_id", "n_chars"), "n_chars", 50_000, "doc_id", "source")
+    return B.shards_by_bytes(t.spread("documents").select("source", "doc_id", "n_chars"), "n_chars", 50_000, "doc_id", "source")

@@ -27,7 +27,7 @@ from tessera.streaming import streams as X
 @query("romanise", "T1 T2 T3 T4 T5 T6 T8")
 def _(t):
     text = F.translate(F.substring("text", 1, 200), "abcdefghiklmnoprstuy", "अबचदएफगहइकलमनओपरसतउय")
-    return t("documents").select("doc_id", O.romanise(text).alias("roman"), O.ascii_digits(F.lit("१२३। ")).alias("digits"))
+    return t.spread("documents").select("doc_id", O.romanise(text).alias("roman"), O.ascii_digits(F.lit("१२३। ")).alias("digits"))
 
 
 @query("format_checks", "G6", r"""SELECT o_orderkey, regexp_matches(strftime(o_orderdate, '%Y-%m-%d'), '^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[1-2]\d|3[0-1])$') AS is_date, regexp_matches(strftime(o_orderdate, '%H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN 'Z' ELSE '' END, '^([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{3})?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$') AS is_time FROM orders""")
@@ -84,12 +84,12 @@ def _(t):
 @query("pretokens", "Z1 Z4", r"SELECT doc_id, text AS joined, len(regexp_extract_all(text, '[^\n]+|[\n]+')) AS n_lines FROM documents")
 def _(t):
     p = G.pretokens(F.col("text"), "digits")
-    return t("documents").select("doc_id", F.array_join(p, "").alias("joined"), F.size(G.pretokens(F.col("text"), "newlines")).alias("n_lines"))
+    return t.spread("documents").select("doc_id", F.array_join(p, "").alias("joined"), F.size(G.pretokens(F.col("text"), "newlines")).alias("n_lines"))
 
 
 @query("pretoken_counts", "Z1 Z2")
 def _(t):
-    return t("documents").select("doc_id", *(F.size(G.pretokens(F.col("text"), n)).alias(n) for n in ("gpt2", "threes", "digits")), F.size(G.split_again(G.pretokens(F.col("text"), "gpt2"), r"\p{N}{1,3}|\P{N}+")).alias("twice"), G.byte_letters(F.substring("text", 1, 50)).alias("letters"))
+    return t.spread("documents").select("doc_id", *(F.size(G.pretokens(F.col("text"), n)).alias(n) for n in ("gpt2", "threes", "digits")), F.size(G.split_again(G.pretokens(F.col("text"), "gpt2"), r"\p{N}{1,3}|\P{N}+")).alias("twice"), G.byte_letters(F.substring("text", 1, 50)).alias("letters"))
 
 
 # Codecs and audio
@@ -127,7 +127,7 @@ for _kind in P.LAYOUTS:
 @query("subwords", "Z3 Z4", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(substring(text, 1, 200), '\\s+', ' ', 'g')), ' '), '') AS joined FROM documents")
 def _(t):
     ranks = {p: i for i, p in enumerate([("t", "h"), ("th", "e"), ("a", "n"), ("e", "r"), ("an", "d")])}
-    return t("documents").select("doc_id", F.array_join(Y.encode(F.substring("text", 1, 200), "merges", ranks), "").alias("joined"))
+    return t.spread("documents").select("doc_id", F.array_join(Y.encode(F.substring("text", 1, 200), "merges", ranks), "").alias("joined"))
 
 
 @query("hann_window", "F1", "SELECT p_partkey, list_transform(range(0, 8), lambda i: round(0.5 * (1 - cos(2 * pi() * i / 8)), 6) + 0.0) AS w FROM part WHERE p_partkey <= 3")

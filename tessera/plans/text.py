@@ -28,7 +28,7 @@ def _(t):
 
 @query("regex_escape", "C3", r"""SELECT doc_id, regexp_replace(substring(text, 1, 400), '([.^$|()*+?\[\]{}\\])', '\\\1', 'g') AS escaped FROM documents""")
 def _(t):
-    return t("documents").select("doc_id", T.regex_escape(F.substring("text", 1, 400)).alias("escaped"))
+    return t.spread("documents").select("doc_id", T.regex_escape(F.substring("text", 1, 400)).alias("escaped"))
 
 
 @query("escapes", "C7", r"""SELECT p_partkey, p_name || chr(10) || 'x' || chr(9) || '\n' || 'A' || '"' AS out FROM part""")
@@ -78,7 +78,7 @@ def _(t):
 
 @query("title_preview", "C17 T18", r"""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1] AS title, CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...' ELSE text END AS preview FROM documents""")
 def _(t):
-    return t("documents").select("doc_id", T.title("text").alias("title"), T.preview(F.col("text")).alias("preview"))
+    return t.spread("documents").select("doc_id", T.title("text").alias("title"), T.preview(F.col("text")).alias("preview"))
 
 
 @query("human_units", "C18 C25", """SELECT o_orderkey, CASE WHEN n >= 1099511627776 THEN round(n / 1099511627776.0, 2)::DOUBLE || ' TB' WHEN n >= 1073741824 THEN round(n / 1073741824.0::DOUBLE, 2) || ' GB' WHEN n >= 1048576 THEN round(n / 1048576.0::DOUBLE, 2) || ' MB' WHEN n >= 1024 THEN round(n / 1024.0::DOUBLE, 2) || ' KB' ELSE n || ' B' END AS size,
@@ -112,7 +112,7 @@ def _(t):
 
 @query("markdown_cells", "C24", r"""SELECT doc_id, replace(replace(replace(replace(substring(text, 1, 300), chr(10), '\n'), chr(9), '\t'), chr(13), '\r'), '|', '\|') AS cell FROM documents""")
 def _(t):
-    return t("documents").select("doc_id", T.markdown_cell(F.substring("text", 1, 300)).alias("cell"))
+    return t.spread("documents").select("doc_id", T.markdown_cell(F.substring("text", 1, 300)).alias("cell"))
 
 
 @query("size_suffix", "C26", "SELECT p_partkey, p_size::BIGINT * CASE p_size % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 WHEN 2 THEN 1000000000 ELSE 1 END::BIGINT AS bytes FROM part")
@@ -137,7 +137,7 @@ def _(t):
 
 @query("language_names", "T11", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS language FROM documents")
 def _(t):
-    return t("documents").select("doc_id", T.language_name(F.col("lang")).alias("language"))
+    return t.spread("documents").select("doc_id", T.language_name(F.col("lang")).alias("language"))
 
 
 @query("tagged_text", "T12 T14", "SELECT conv_id, turn, replace(text, chr(10), '') AS answer, 'Translate from ' || role || ':' || chr(10) || text AS prompt FROM conversations")
@@ -169,7 +169,7 @@ def _(t):
     SELECT doc_id, generate_subscripts(c, 1)::BIGINT - 1 AS chunk, unnest(c) AS text FROM e""",
 )
 def _(t):
-    return t("documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk", "text"))
+    return t.spread("documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk", "text"))
 
 
 _ASCII = "regexp_replace({c}, '[^A-Za-z .]', '', 'g')"
@@ -182,7 +182,7 @@ _ASCII = "regexp_replace({c}, '[^A-Za-z .]', '', 'g')"
 )
 def _(t):
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 600), "[^A-Za-z .]", ""), r"e\b", "ee"), "a", "aa")
-    return t("documents").where("lang = 'en'").select("doc_id", T.plain_endings(s).alias("text"))
+    return t.spread("documents").where("lang = 'en'").select("doc_id", T.plain_endings(s).alias("text"))
 
 
 @query(
@@ -193,7 +193,7 @@ def _(t):
 )
 def _(t):
     lexicon = t.spark.createDataFrame([("correction", "the", "de"), ("correction", "of", "off"), ("proper_noun", "of", "OF"), ("correction", "in de", "inside")], "kind string, key string, value string")
-    out = T.fix_words(t("documents").where("lang = 'en'"), "doc_id", "text", lexicon)
+    out = T.fix_words(t.spread("documents").where("lang = 'en'"), "doc_id", "text", lexicon)
     return out.select("doc_id", T.fix_phrases(F.col("text"), {"in de": "inside"}).alias("text"))
 
 

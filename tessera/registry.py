@@ -39,6 +39,12 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row: dealt out evenly if it has fewer splits than twice the cores, as a small
+        file of one row group has; a table of many splits is read as it lies, without a shuffle."""
+        df, cores = self(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
 
 def r6(*names: str):
     """Columns rounded to six places, under their names."""
