@@ -125,7 +125,7 @@ _WORDS = r"list_filter(string_split_regex({c}, '\s+'), lambda w: w <> '')"
 
 
 @query(
-    "token_match", "J5 J14 Z6 O9",
+    "token_match", "J5 J14 T9 Z6 O9",
     f"""WITH w AS (SELECT conv_id, turn, {_WORDS.format(c="text")} AS words FROM conversations), r AS (SELECT conv_id, words AS ref FROM w WHERE turn = 0)
     SELECT w.conv_id, turn, round(CASE WHEN ref IS NULL THEN 1.0 WHEN len(ref) = 0 THEN CASE WHEN len(words) = 0 THEN 1.0 ELSE 0.0 END ELSE len(list_filter(ref, lambda x: list_contains(words, x)))::DOUBLE / len(ref) END, 6) AS match_vs_ref
     FROM w LEFT JOIN r ON w.conv_id = r.conv_id""",
@@ -253,14 +253,14 @@ def _(t):
     return t("lineitem").groupBy("l_suppkey").agg(F.round(pp / tp, 6).alias("speed_pp"), F.round(tg / tt, 6).alias("speed_tg"), F.round((pp + tg) / (tp + tt), 6).alias("speed"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("sd"))
 
 
-@query("gather_rows", "J12", "SELECT i.pos, i.idx, p_name FROM (SELECT o_orderkey AS pos, o_custkey % 50 + 1 AS idx FROM orders) i JOIN part ON p_partkey = idx")
+@query("gather_rows", "J12 tensor.get_rows", "SELECT i.pos, i.idx, p_name FROM (SELECT o_orderkey AS pos, o_custkey % 50 + 1 AS idx FROM orders) i JOIN part ON p_partkey = idx")
 def _(t):
     """GET_ROWS: rows of a table by an index, in the index's order; the table side is as large as it likes."""
     index = t("orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 50 + 1).alias("idx"))
     return index.join(t("part"), F.col("idx") == F.col("p_partkey")).select("pos", "idx", "p_name")
 
 
-@query("scatter_rows", "J12", "SELECT p_partkey, coalesce(v, p_retailprice) AS price FROM part LEFT JOIN (SELECT l_partkey, max_by(l_extendedprice, (l_orderkey, l_linenumber)) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON p_partkey = l_partkey")
+@query("scatter_rows", "J12 tensor.set_rows", "SELECT p_partkey, coalesce(v, p_retailprice) AS price FROM part LEFT JOIN (SELECT l_partkey, max_by(l_extendedprice, (l_orderkey, l_linenumber)) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON p_partkey = l_partkey")
 def _(t):
     """SET_ROWS: rows overwritten by index; of several, the last."""
     last = t("lineitem").where("l_quantity > 45").groupBy("l_partkey").agg(F.max_by("l_extendedprice", F.struct("l_orderkey", "l_linenumber")).alias("v"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import json
+import struct
+import wave
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -286,6 +291,38 @@ def _(t):
     return K.tensors_of(files).select("name", "dtype", F.col("shape")[0].alias("n"), "n_bytes")
 
 
+@query("safetensors_headers", "S13", "SELECT 'v' || vec_id AS name, 'F32' AS dtype, 64::BIGINT AS n, 256::BIGINT AS n_bytes FROM embeddings WHERE vec_id < 20")
+def _(t):
+    @F.pandas_udf("binary")
+    def pack(ids: pd.Series, vectors: pd.Series) -> pd.Series:
+        heads = [json.dumps({f"v{i}": {"dtype": "F32", "shape": [64], "data_offsets": [0, 256]}}).encode() for i in ids]
+        return pd.Series([struct.pack("<Q", len(h)) + h + np.asarray(v, "<f4").tobytes() for h, v in zip(heads, vectors, strict=True)])
+
+    files = t("embeddings").where("vec_id < 20").select(F.col("vec_id").cast("string").alias("path"), pack("vec_id", "embedding").alias("content"))
+    return K.safetensors(files).select("name", "dtype", F.col("shape")[0].alias("n"), "n_bytes")
+
+
+@query("wav_decode", "S14", "SELECT vec_id, 0.008::DOUBLE AS seconds, 128::BIGINT AS n_samples FROM embeddings WHERE vec_id < 20")
+def _(t):
+    """Vectors as one-channel files of 8,000 samples a second, decoded at 16,000."""
+
+    @F.pandas_udf("binary")
+    def pack(vectors: pd.Series) -> pd.Series:
+        def one(v):
+            out = io.BytesIO()
+            with wave.open(out, "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(2)
+                w.setframerate(8000)
+                w.writeframes((np.asarray(v) * 20_000).astype("<i2").tobytes())
+            return out.getvalue()
+
+        return vectors.map(one)
+
+    rows = t("embeddings").where("vec_id < 20").select("vec_id", S.decoded_wav(pack("embedding")).alias("w"))
+    return rows.select("vec_id", "w.seconds", F.size("w.samples").alias("n_samples"))
+
+
 # Streams, each against the answer of a batch
 
 

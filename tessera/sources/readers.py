@@ -97,8 +97,8 @@ def whole_texts(spark: SparkSession, path, extensions: tuple[str, ...] = ("txt",
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).orderBy("path")
 
 
-def wav_files(spark: SparkSession, path, rate: int = 16_000) -> DataFrame:
-    """PCM files as (path, seconds, samples): channels averaged, resampled to a rate by linear interpolation, from -1 to 1."""
+def decoded_wav(c, rate: int = 16_000):
+    """PCM bytes as struct(seconds, samples): channels averaged, resampled to a rate by linear interpolation, from -1 to 1."""
 
     @F.pandas_udf("seconds double, samples array<float>")
     def run(s: pd.Series) -> pd.DataFrame:
@@ -113,8 +113,13 @@ def wav_files(spark: SparkSession, path, rate: int = 16_000) -> DataFrame:
             out.append((seconds, np.interp(at, np.arange(len(x)), x).astype(np.float32) if len(x) else x.astype(np.float32)))
         return pd.DataFrame(out, columns=["seconds", "samples"])
 
+    return run(c)
+
+
+def wav_files(spark: SparkSession, path, rate: int = 16_000) -> DataFrame:
+    """Files under a path as (path, seconds, samples)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-    return files.select("path", run("content").alias("w")).select("path", "w.seconds", "w.samples")
+    return files.select("path", decoded_wav("content", rate).alias("w")).select("path", "w.seconds", "w.samples")
 
 
 def synthetic_prompts(spark: SparkSession, n: int, low: int, high: int, seed: int = 0, partitions: int = 8) -> DataFrame:

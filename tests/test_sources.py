@@ -133,6 +133,10 @@ def test_writers(spark, tmp_path):
     W.append(df, f"{tmp_path}/t")
     W.append(df, f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 4
+    for _ in range(2):
+        W.create_table(spark, "tessera_made", "x bigint, y string")
+    assert spark.table("tessera_made").count() == 0
+    spark.sql("DROP TABLE tessera_made")
     for kind in ("csv", "jsonl", "sql", "md"):
         W.bench_output(df, f"{tmp_path}/{kind}", kind)
     with pytest.raises(ValueError):
