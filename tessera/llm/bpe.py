@@ -25,7 +25,7 @@ from tessera.llm.shared import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens up to this many characters are remembered, in two generations of CACHED at most in each worker.
-CACHE_CHARS, CACHED = 48, 400_000
+CACHE_CHARS, CACHED = 48, 250_000
 
 
 _BITS = tuple(1 << i for i in range(256))
