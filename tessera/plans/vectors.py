@@ -42,7 +42,7 @@ _arrays("tensor_log_sqrt", "tensor.log tensor.sqrt", lambda e: V.map_unary("log"
 
 @query("tensor_gelu_erf", "tensor.gelu_erf tensor.geglu_erf")
 def _(t):
-    e = t("embeddings").where("vec_id < 100").select("vec_id", V.doubles("embedding").alias("e"))
+    e = t("embeddings").select("vec_id", V.doubles("embedding").alias("e"))
     return e.select("vec_id", _rounded(V.map_unary("gelu_erf", F.col("e"))).alias("out"), _rounded(V.gated("geglu_erf", F.col("e"))).alias("gated"))
 
 
@@ -134,8 +134,8 @@ def _(t):
 _CAND = "cand AS (SELECT vec_id AS ctx, generate_subscripts(embedding, 1) - 1 AS id, 10 * unnest(embedding)::DOUBLE AS logit FROM embeddings WHERE vec_id < 150), sm AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY ctx) AS p FROM cand), rk AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY logit DESC, id) AS r, sum(p) OVER (PARTITION BY ctx ORDER BY logit DESC, id ROWS UNBOUNDED PRECEDING) AS c, max(p) OVER (PARTITION BY ctx) AS top FROM sm)"
 
 
-def _cand(t):
-    return t("embeddings").where("vec_id < 150").select(F.col("vec_id").alias("ctx"), F.posexplode(V.doubles("embedding")).alias("id", "x")).select("ctx", F.col("id").cast("bigint").alias("id"), (F.col("x") * 10).alias("logit"))
+def _cand(t, where="vec_id < 150"):
+    return t("embeddings").where(where).select(F.col("vec_id").alias("ctx"), F.posexplode(V.doubles("embedding")).alias("id", "x")).select("ctx", F.col("id").cast("bigint").alias("id"), (F.col("x") * 10).alias("logit"))
 
 
 def _final(df):
@@ -190,8 +190,8 @@ def _(t):
 _HIST = "hist AS (SELECT vec_id AS ctx, i AS pos, (vec_id * 7 + i * i) % 64 AS id FROM embeddings, range(0, 100) r(i) WHERE vec_id < 150)"
 
 
-def _history(t):
-    return t("embeddings").where("vec_id < 150").select(F.col("vec_id").alias("ctx"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("pos")).withColumn("id", ((F.col("ctx") * 7 + F.col("pos") * F.col("pos")) % 64).cast("bigint"))
+def _history(t, where="vec_id < 150"):
+    return t("embeddings").where(where).select(F.col("vec_id").alias("ctx"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("pos")).withColumn("id", ((F.col("ctx") * 7 + F.col("pos") * F.col("pos")) % 64).cast("bigint"))
 
 
 @query("sample_penalties", "M11 W8", f"WITH {_CAND}, {_HIST}, n AS (SELECT ctx, id, count(*) AS n FROM hist WHERE pos >= 36 GROUP BY 1, 2), k AS (SELECT ctx, id, CASE WHEN n IS NULL THEN logit ELSE CASE WHEN logit <= 0 THEN logit * 1.2 ELSE logit / 1.2 END - n * 0.3 - 0.5 END AS logit FROM cand LEFT JOIN n USING (ctx, id)) SELECT ctx, id, round(exp(logit) / sum(exp(logit)) OVER (PARTITION BY ctx), 6) AS p FROM k")
@@ -201,12 +201,12 @@ def _(t):
 
 @query("sample_dry", "M12")
 def _(t):
-    return _final(M.dry(_cand(t), _history(t)))
+    return _final(M.dry(_cand(t, "TRUE"), _history(t, "TRUE")))
 
 
 @query("sample_draw", "M16")
 def _(t):
-    return M.draw(_cand(t), 11)
+    return M.draw(_cand(t, "TRUE"), 11)
 
 
 @query("sample_listing", "M18", f"WITH {_CAND} SELECT ctx, to_json(list({{'rank': r, 'id': id, 'p': round(p, 6)}} ORDER BY r))::VARCHAR AS top FROM rk WHERE r <= 3 GROUP BY ctx")
@@ -231,7 +231,7 @@ def _(t):
 
 @query("sample_mirostat", "M14")
 def _(t):
-    steps = t("embeddings").where("vec_id < 100").select((F.col("vec_id") % 10).alias("stream"), F.floor(F.col("vec_id") / 10).alias("step"), F.posexplode(V.doubles("embedding")).alias("id", "x"))
+    steps = t("embeddings").select((F.col("vec_id") % 10).alias("stream"), F.floor(F.col("vec_id") / 10).alias("step"), F.posexplode(V.doubles("embedding")).alias("id", "x"))
     return M.mirostat(steps.select("stream", "step", F.col("id").cast("bigint").alias("id"), (F.col("x") * 10).alias("logit")), 2, 3.0)
 
 
