@@ -27,3 +27,12 @@ def test_every_part(spark, kind):
     want = spark.read.parquet(f"{SF_DIR}/part.parquet").count()
     got = QUERIES[f"decode_{kind}"](spark, SF_DIR).select("p_partkey", F.size("values").alias("n")).collect()
     assert len({r.p_partkey for r in got}) == len(got) == want and len({r.n for r in got}) == 1
+
+
+def test_whole_texts(spark):
+    """What stands behind a prefix counts: the results of a text follow its end."""
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    letters = {r.doc_id: r.letters for r in QUERIES["pretoken_counts"](spark, SF_DIR).select("doc_id", "letters").collect()}
+    assert {d: len(x) for d, x in letters.items()} == {d: len(t.encode()) for d, t in text.items()}
+    roman = {r.doc_id: r.roman for r in QUERIES["romanise"](spark, SF_DIR).select("doc_id", "roman").collect()}
+    assert all(len(roman[d]) > 0.5 * len(t) for d, t in text.items())
