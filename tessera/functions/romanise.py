@@ -83,9 +83,19 @@ def endings(text: str) -> str:
     return text
 
 
+# Forms that the conventions list by themselves, whatever the letters give. Fixed values.
+LISTED = {
+    "ham": "hum", "yah": "yeh", "ye": "yeh", "wah": "woh", "naheen": "nahi", "nahin": "nahi", "men": "mein", "sirph": "sirf", "aadaab": "adaab", "aawaaz": "awaz", "aawaaj": "awaz", "zabaan": "zaban",
+    "shinaakht": "shanakht", "bachcha": "bacha", "achchha": "acha", "achcha": "acha", "pyaar": "pyar", "isalie": "isliye", "islie": "isliye", "chaar": "char", "paanch": "panch", "bahan": "behan",
+    "peeoge": "peoge", "jaenge": "jayenge", "jaaenge": "jayenge", "jaaoge": "jaoge", "samajhana": "samajhna", "aasamaan": "aasman", "gyaan": "gyan", "bhaai": "bhai",
+}
+LISTED_NAMES = {
+    "akeeb": "Aqib", "akib": "Aqib", "aqib": "Aqib", "alee": "Ali", "ali": "Ali", "umar": "Umar", "usmaan": "Usman", "muhammad": "Muhammad", "mohammad": "Muhammad", "ahamad": "Ahmad", "ahmad": "Ahmad", "hasan": "Hassan", "husain": "Hussain",
+    "imaraan": "Imran", "imran": "Imran", "karaanchi": "Karachi", "karaachi": "Karachi", "karanchi": "Karachi", "karachi": "Karachi", "laahaur": "Lahore", "paakistaan": "Pakistan", "dilli": "Delhi", "mumbai": "Mumbai",
+}
 #: What letters and endings make of a listed word -> how it is written.
-CORRECTIONS = {low: right for word, right in WORDS.items() if (low := endings(letters(word)).lower()) != right} | PHRASES
-PROPER_NOUNS = {endings(letters(word)).lower(): right for word, right in NAMES.items()}
+CORRECTIONS = {low: right for word, right in WORDS.items() if (low := endings(letters(word)).lower()) != right} | LISTED | PHRASES
+PROPER_NOUNS = {endings(letters(word)).lower(): right for word, right in NAMES.items()} | LISTED_NAMES
 
 
 def corrected(text: str, corrections: dict[str, str] = CORRECTIONS, names: dict[str, str] = PROPER_NOUNS) -> str:

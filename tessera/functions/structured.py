@@ -420,7 +420,7 @@ def partial_match(c, pattern: str) -> Column:
     return run(c)
 
 
-#: Pre-token patterns by name, as Java reads them. Fixed values.
+#: Pre-token patterns by name, as Java reads them. Fixed values. "threes" takes digits in groups of up to three, "digits" one by one.
 PRETOKENS = {
     "gpt2": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "threes": r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",

@@ -34,15 +34,16 @@ def split_exact(c, separator: str) -> Column:
 
 
 def process_escapes(c) -> Column:
-    r"""C7: \n, \t, \r, \', \", \\ and \xHH for bytes below 128, each taken once from left to right.
+    r"""C7: \n, \t, \r, \', \", \\ and \xHH for bytes below 128, each taken once from left to right; any other text stays."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)\\x[0-7][0-9A-Fa-f]|\\.|[^\\]+|\\"), F.lit(0))
 
-    A doubled backslash is set aside as U+0001 first."""
-    out = F.replace(c, F.lit("\\\\"), F.lit("\x01"))
-    for code, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\'", "'"), ('\\"', '"')):
-        out = F.replace(out, F.lit(code), F.lit(char))
-    parts = F.split(out, r"(?=\\x[0-7][0-9A-Fa-f])", -1)
-    plain = F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(r"^\\x[0-7][0-9A-Fa-f]")), F.concat(F.char(F.conv(F.substring(p, 3, 2), 16, 10).cast("int")), F.substr(p, F.lit(5)))).otherwise(p))
-    return F.replace(F.array_join(plain, ""), F.lit("\x01"), F.lit("\\"))
+    def plain(p):
+        out = F.when(F.rlike(p, F.lit(r"^\\x..$")), F.char(F.conv(F.substring(p, 3, 2), 16, 10).cast("int")))
+        for code, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\'", "'"), ('\\"', '"'), ("\\\\", "\\")):
+            out = out.when(p == code, char)
+        return out.otherwise(p)
+
+    return F.array_join(F.transform(parts, plain), "")
 
 
 def partial_stop(c, stop: str) -> Column:
@@ -61,7 +62,7 @@ def override(c) -> Column:
     part = lambda i: F.regexp_extract(c, r"^([^=]+)=(int|float|bool|str):(.*)$", i)
     kind, value = part(2), part(3)
     return F.struct(
-        F.nullif(part(1), F.lit("")).alias("key"), F.nullif(kind, F.lit("")).alias("kind"), F.when(kind == "int", F.try_to_number(value, F.lit("S999999999999")).cast("bigint")).alias("as_int"),
+        F.nullif(part(1), F.lit("")).alias("key"), F.nullif(kind, F.lit("")).alias("kind"), F.when((kind == "int") & F.rlike(value, F.lit(r"^[+-]?\d+$")), value.try_cast("bigint")).alias("as_int"),
         F.when(kind == "float", value.try_cast("double")).alias("as_float"), F.when(kind == "bool", F.when(value == "true", True).when(value == "false", False)).alias("as_bool"), F.when(kind == "str", value).alias("as_str"),
     )
 

@@ -44,6 +44,16 @@ def cosine(a, b) -> Column:
     return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(dot(a, b) / (F.sqrt(na) * F.sqrt(nb)))
 
 
+def similarities(queries: DataFrame, chunks: DataFrame, limit: int = 10_000) -> DataFrame:
+    """The rows of the similarity matrix that belong to queries(i, embedding), a stated set, against all chunks(j, embedding).
+
+    Beyond `limit` queries this raises rather than broadcast them."""
+    if queries.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} queries: split them")
+    q = queries.select("i", doubles("embedding").alias("_q"))
+    return chunks.select("j", doubles("embedding").alias("_c")).join(F.broadcast(q)).select("i", "j", cosine(F.col("_q"), F.col("_c")).alias("score"))
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, key: str, k: int = 40, limit: int = 100_000) -> DataFrame:
     """For each query, its k nearest chunks by cosine: (query_id, rank, key, score).
 

@@ -61,20 +61,40 @@ def split_sequences(tokens: DataFrame, n: int, key: str = "batch") -> DataFrame:
     return tokens.groupBy(key).applyInPandas(one, _with(tokens, "ubatch"))
 
 
+def _folded(df: DataFrame, key: str, order: str, name: str, start, step) -> DataFrame:
+    """df with `name`: step(state, row's values by column) gives (state, number) for a key's rows in order, from start().
+
+    A greedy rule is a fold, so a key's rows pass through one task, but as a sorted stream: the task holds a batch and the state."""
+
+    def op(batches):
+        now, state = _NONE, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                k = getattr(r, key)
+                if k != now and not (pd.isna(k) and now is not _NONE and pd.isna(now)):
+                    now, state = k, start()
+                state, number = step(state, r)
+                out.append(number)
+            yield pdf.assign(**{name: out})
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(op, _with(df, name))
+
+
+_NONE = object()
+
+
 def pack(prompts: DataFrame, size: str, n_batch: int, n_seq: int, key: str, order: str) -> DataFrame:
     """Prompts in order into batches of at most n_batch tokens and n_seq prompts; an oversized prompt has a batch to itself."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        batch, tokens, seqs, out = 0, 0, 0, []
-        for v in pdf[size]:
-            if seqs and (tokens + v > n_batch or seqs >= n_seq):
-                batch, tokens, seqs = batch + 1, 0, 0
-            tokens, seqs = tokens + v, seqs + 1
-            out.append(batch)
-        return pdf.assign(batch=out)
+    def step(state, row):
+        batch, tokens, seqs = state
+        v = getattr(row, size)
+        if seqs and (tokens + v > n_batch or seqs >= n_seq):
+            batch, tokens, seqs = batch + 1, 0, 0
+        return (batch, tokens + v, seqs + 1), batch
 
-    return prompts.groupBy(key).applyInPandas(one, _with(prompts, "batch"))
+    return _folded(prompts, key, order, "batch", lambda: (0, 0, 0), step)
 
 
 def shards_by_count(tensors: DataFrame, n: int, order: list[str], key: str) -> DataFrame:
@@ -85,15 +105,11 @@ def shards_by_count(tensors: DataFrame, n: int, order: list[str], key: str) -> D
 def shards_by_bytes(tensors: DataFrame, size: str, most: int, order: str, key: str, align: int = 32) -> DataFrame:
     """Tensors in order, each padded to the alignment; a shard ends before it would pass `most` bytes."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        shard, held, out = 0, 0, []
-        for v in pdf[size]:
-            v = -(-int(v) // align) * align
-            if held and held + v > most:
-                shard, held = shard + 1, 0
-            held += v
-            out.append(shard)
-        return pdf.assign(shard=out)
-
-    return tensors.groupBy(key).applyInPandas(one, _with(tensors, "shard"))
+    def step(state, row):
+        shard, held = state
+        v = -(-int(getattr(row, size)) // align) * align
+        if held and held + v > most:
+            shard, held = shard + 1, 0
+        return (shard, held + v), shard
+
+    return _folded(tensors, key, order, "shard", lambda: (0, 0), step)

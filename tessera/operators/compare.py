@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import scratch
+
 
 def compare_builds(base: DataFrame, other: DataFrame, keys: list[str], show: list[str], metrics: list[str]) -> DataFrame:
     """Join two builds on all keys and average each metric over the join's rows, per shown group.
@@ -163,11 +165,16 @@ def throughput(df: DataFrame, tokens: str, seconds: str) -> DataFrame:
     )
 
 
+_BINS = 10_000
+
+
 def histogram(df: DataFrame, value: str, width: float = 1.0) -> DataFrame:
     """Counts in bins of a width from 0 on, empty bins included; the last bin is closed on the right."""
     top = df.agg(F.greatest(F.ceil(F.max(F.col(value)) / width), F.lit(1)).cast("bigint").alias("n_bins"))
     got = df.where(F.col(value) >= 0).join(F.broadcast(top)).groupBy(F.least(F.floor(F.col(value) / width), F.col("n_bins") - 1).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    bins = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).alias("bin"))
+    # Bins in blocks, so that no row holds them all, however far out the greatest value is.
+    blocks = top.select("n_bins", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_bins") - 1) / _BINS))).alias("block"))
+    bins = blocks.select(F.explode(F.sequence(F.col("block") * _BINS, F.least((F.col("block") + 1) * _BINS, F.col("n_bins")) - 1)).alias("bin"))
     return bins.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -181,14 +188,24 @@ def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(order).alias("first_at"))
 
 
-def reachable(spark, edges: DataFrame, start) -> DataFrame:
-    """(node, depth) of all that (child, parent) edges reach from start; shortest depth. One join per level, until no new node."""
-    edges = edges.select("child", "parent").distinct()
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, depth) AS (
-          SELECT cast({start} AS bigint), 0 UNION ALL SELECT e.parent, u.depth + 1 FROM up u JOIN _edges e ON e.child = u.node)
-        SELECT node, min(depth) AS depth FROM up GROUP BY node""")
+def reachable(spark, edges: DataFrame, start, levels: int = 8) -> DataFrame:
+    """(node, depth) of all that (child, parent) edges reach from start; shortest depth, whatever cycles there are.
+
+    From the last nodes that were new, `levels` joins at a time; each such round is written to the shared folder, until a round
+    finds no new node."""
+    edges = edges.select("child", "parent").where("parent is not null").distinct()
+    known = scratch.stored(spark.range(1).select(F.lit(start).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("depth")), "reached")
+    last = known
+    while True:
+        step, found = last, None
+        for _ in range(levels):
+            step = step.join(edges, F.col("node") == F.col("child")).groupBy(F.col("parent").cast("bigint").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+            found = step if found is None else found.unionByName(step)
+        found = found.groupBy("node").agg(F.min("depth").alias("depth"))
+        new = scratch.stored(found.join(known.select("node"), "node", "left_anti"), "reached")
+        if new.isEmpty():
+            return known
+        known, last = scratch.stored(known.unionByName(new), "reached"), new
 
 
 def nearest_with_data(reached: DataFrame, have: DataFrame) -> DataFrame:

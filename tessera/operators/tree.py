@@ -8,26 +8,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import scratch
 
-def _view(df: DataFrame, name: str) -> None:
-    df.createOrReplaceTempView(name)
+
+class CycleError(ValueError):
+    pass
+
+
+def _closure(messages: DataFrame, starts: DataFrame, down: bool = False) -> DataFrame:
+    """(start, id, dist): each start(id) and all above it, or all below it.
+
+    By doubling: a table of 4^k-th ancestors is joined with itself for the next one, and what is reached in fewer than 4^k steps with
+    it for what is reached in fewer than 4^(k+1). So rounds grow with the logarithm of the depth. Each round is written to
+    the shared folder. A message that is its own ancestor raises CycleError."""
+    far, near = ("id", "up") if down else ("up", "id")
+    hop = messages.where("parent is not null").select("id", F.col("parent").alias("up")).join(messages.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up")
+    reached = starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("bigint").alias("dist"))
+    size, span, held = None, 1, []
+
+    def twice(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b.select(F.col("id").alias("up"), F.col("up").alias("_to")), "up").select("id", F.col("_to").alias("up"))
+
+    def moved(by: DataFrame, steps: int) -> DataFrame:
+        return reached.join(by.select(F.col(near).alias("id"), F.col(far).alias("_to")), "id").select("start", F.col("_to").alias("id"), (F.col("dist") + steps).alias("dist"))
+
+    while True:
+        two = twice(hop, hop)
+        three = twice(two, hop)
+        reached = scratch.stored(reached.unionByName(moved(hop, span)).unionByName(moved(two, 2 * span)).unionByName(moved(three, 3 * span)), "reached")
+        hop = scratch.stored(twice(two, two), "hops")
+        span *= 4
+        for old in held:
+            scratch.dropped(old)
+        held = [reached, hop]
+        if hop.isEmpty():
+            scratch.dropped(hop)
+            return reached
+        if size is None:
+            size = messages.count()
+        if span > size:
+            raise CycleError("a message is its own ancestor")
 
 
 def path(spark, messages: DataFrame, leaf: str | None = None, conv=None) -> DataFrame:
     """R2: the messages from a leaf up to its root, system first, then by time. Unknown leaf: the latest message of the conversation, or nothing if none is named."""
-    _view(messages, "_messages")
-    conv = -1 if conv is None else int(conv)
-    start = f"SELECT id, parent, 0 AS up FROM _messages WHERE id = '{leaf}'" if leaf is not None and messages.where(F.col("id") == leaf).limit(1).count() else f"(SELECT id, parent, 0 AS up FROM _messages WHERE convId = {conv} ORDER BY timestamp DESC, id LIMIT 1)"
-    got = spark.sql(f"WITH RECURSIVE p(id, parent, up) AS ({start} UNION ALL SELECT m.id, m.parent, p.up + 1 FROM p JOIN _messages m ON m.id = p.parent) SELECT id, up FROM p")
-    return messages.join(got, "id").orderBy(F.when(F.col("role") == "system", 0).otherwise(1), "timestamp")
+    start = messages.where(F.col("id") == F.lit(leaf)).select("id").limit(1)
+    if leaf is None or start.isEmpty():
+        own = messages.where(F.col("convId") == F.lit(conv).cast("bigint"))  # none is named: null, which equals nothing
+        start = own.orderBy(F.col("timestamp").desc(), "id").select("id").limit(1)
+    return messages.join(_closure(messages, start).select("id"), "id").orderBy(F.when(F.col("role") == "system", 0).otherwise(1), "timestamp")
 
 
 def paths(messages: DataFrame, spark) -> DataFrame:
     """(leaf, id, up) of all leaves at once."""
-    _view(messages, "_messages")
-    return spark.sql("""WITH RECURSIVE p(leaf, id, parent, up) AS (
-        SELECT id, id, parent, 0 FROM _messages WHERE id NOT IN (SELECT parent FROM _messages WHERE parent IS NOT NULL)
-        UNION ALL SELECT p.leaf, m.id, m.parent, p.up + 1 FROM p JOIN _messages m ON m.id = p.parent) SELECT leaf, id, up FROM p""")
+    leaves = messages.join(messages.select(F.col("parent").alias("id")), "id", "left_anti").select("id")
+    return _closure(messages, leaves).select(F.col("start").alias("leaf"), "id", F.col("dist").alias("up"))
 
 
 def last_child(messages: DataFrame) -> DataFrame:
@@ -35,19 +70,28 @@ def last_child(messages: DataFrame) -> DataFrame:
 
 
 def leaf_of(spark, messages: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, leaf): following the last child from each start(id)."""
-    _view(last_child(messages), "_last")
-    _view(starts, "_starts")
-    return spark.sql("""WITH RECURSIVE d(start, id, depth) AS (SELECT id, id, 0 FROM _starts UNION ALL SELECT d.start, l.child, d.depth + 1 FROM d JOIN _last l ON l.parent = d.id)
-        SELECT start, max_by(id, depth) AS leaf FROM d GROUP BY start""")
+    """(start, leaf): following the last child from each start(id), by doubling: who has no child points to itself."""
+    child = last_child(messages).select(F.col("parent").alias("id"), F.col("child").alias("to"))
+    hop = messages.select("id").join(child, "id", "left").select("id", F.coalesce("to", "id").alias("to"))
+    size, span, before = None, 1, None
+    while True:
+        for _ in range(2):  # four times as far
+            hop = hop.join(hop.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to"))
+        hop, span = scratch.stored(hop, "leaves"), 4 * span
+        if before is not None:
+            scratch.dropped(before)
+        before = hop
+        if hop.select(F.col("to").alias("parent")).join(last_child(messages), "parent", "left_semi").isEmpty():
+            return starts.join(hop, "id").select(F.col("id").alias("start"), F.col("to").alias("leaf"))
+        if size is None:
+            size = messages.count()
+        if span > size:
+            raise CycleError("a message is its own ancestor")
 
 
 def descendants(spark, messages: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, id, depth) of all below each start(id), itself left out."""
-    _view(messages, "_messages")
-    _view(starts, "_starts")
-    return spark.sql("""WITH RECURSIVE d(start, id, depth) AS (SELECT id, id, 0 FROM _starts UNION ALL SELECT d.start, m.id, d.depth + 1 FROM d JOIN _messages m ON m.parent = d.id)
-        SELECT start, id, depth FROM d WHERE depth > 0""")
+    return _closure(messages, starts, down=True).where("dist > 0").select("start", "id", F.col("dist").alias("depth"))
 
 
 def siblings(messages: DataFrame) -> DataFrame:

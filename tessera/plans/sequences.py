@@ -79,9 +79,9 @@ def _(t):
     return N.modulo_table(_tokens(t), 2, 4096)
 
 
-@query("token_history", "W8 X10", f"WITH {_TOK} SELECT seq_id, pos::BIGINT AS pos, array_to_string(list(token) OVER (PARTITION BY seq_id ORDER BY pos ROWS 4 PRECEDING), ' ') AS last FROM tok WHERE pos < 50")
+@query("token_history", "W8 X10", f"WITH {_TOK} SELECT seq_id, pos::BIGINT AS pos, array_to_string(list(token) OVER (PARTITION BY seq_id ORDER BY pos ROWS 4 PRECEDING), ' ') AS last FROM tok")
 def _(t):
-    return N.history(_tokens(t).where("pos < 50"), 5).select("seq_id", "pos", F.array_join("last", " ").alias("last"))
+    return N.history(_tokens(t), 5).select("seq_id", "pos", F.array_join("last", " ").alias("last"))
 
 
 @query("moving_average", "W9", "SELECT vec_id, round(list_reduce(embedding::DOUBLE[], lambda s, x: s * 0.9 + x * 0.1), 6) AS ema FROM embeddings")

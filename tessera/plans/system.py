@@ -49,15 +49,24 @@ def _(t):
     return t("events").select("event_id", G.matches_schema(j, _SCHEMA).alias("ok"))
 
 
-@query("grammar_check", "G5 M17", r"""SELECT event_id, regexp_matches(props, '^\{"k": [0-9]+\}$') AS ok, TRUE AS may_go_on FROM events WHERE event_id < 3000""")
+@query("grammar_check", "G5 M17", r"""SELECT event_id, regexp_matches(props, '^\{"k": [0-9]+\}$') AS ok, event_id % 2 = 0 AS may_go_on FROM events""")
 def _(t):
     g = 'root ::= "{" pair "}"\npair ::= "\\"k\\": " number\nnumber ::= [0-9]+'
-    return t("events").where("event_id < 3000").select("event_id", G.matches_grammar(F.col("props"), g).alias("ok"), G.matches_grammar(F.substring("props", 1, 6), g, prefix=True).alias("may_go_on"))
+    # A prefix of any length, behind which every other row has a letter that the grammar allows nowhere.
+    prefix = F.concat(F.left("props", F.col("event_id") % F.char_length("props")), F.when(F.col("event_id") % 2 == 1, "x").otherwise(""))
+    return t("events").select("event_id", G.matches_grammar(F.col("props"), g).alias("ok"), G.matches_grammar(prefix, g, prefix=True).alias("may_go_on"))
 
 
-@query("heal_json", "G3", """SELECT event_id, '{"k":"$foo"}' AS json, '"$foo' AS marker FROM events WHERE event_id < 2000""")
+@query(
+    "heal_json", "G3",
+    """WITH p AS (SELECT event_id, props, 1 + event_id % length(props) AS n FROM events)
+    SELECT event_id, CASE WHEN n <= 2 THEN '{"$foo":1}' WHEN n = 3 THEN '{"k$foo":1}' WHEN n < length(props) THEN '{"k":"$foo"}' ELSE replace(props, ' ', '') END AS json,
+      CASE WHEN n = 1 THEN '"$foo' WHEN n IN (2, 3) THEN '$foo' WHEN n = 4 THEN ':"$foo' WHEN n < length(props) THEN '"$foo' ELSE '' END AS marker FROM p""",
+)
 def _(t):
-    return t("events").where("event_id < 2000").select("event_id", G.heal_json(F.substring("props", 1, 6)).alias("h")).select("event_id", "h.*")
+    """Each row cut at another place, from one character to all of them."""
+    cut = F.left("props", (1 + F.col("event_id") % F.char_length("props")).cast("int"))
+    return t("events").select("event_id", G.heal_json(cut).alias("h")).select("event_id", "h.*")
 
 
 @query("first_logprobs", "G7", "SELECT event_id, event_type AS token, -value AS logprob FROM events")
@@ -86,10 +95,15 @@ def _(t):
     return t("part").select("p_partkey", G.partial_match(s, "<end>").alias("m")).select("p_partkey", "m.kind")
 
 
-@query("pretokens", "Z1 Z4", r"SELECT doc_id, text AS joined, len(regexp_extract_all(text, '[^\n]+|[\n]+')) AS n_lines FROM documents")
+@query(
+    "pretokens", "Z1 Z4",
+    r"""SELECT doc_id, regexp_extract_all(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'), ' '), '(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^ \p{L}\p{N}]+| ') AS pieces,
+      len(regexp_extract_all(text, '[^\n]+|[\n]+')) AS n_lines FROM documents""",
+)
 def _(t):
-    p = G.pretokens(F.col("text"), "digits")
-    return t.spread("documents").select("doc_id", F.array_join(p, "").alias("joined"), F.size(G.pretokens(F.col("text"), "newlines")).alias("n_lines"))
+    """Pieces of texts whose white space has become single blanks, where a pattern without lookahead gives the same."""
+    even = F.trim(F.regexp_replace("text", r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " "))
+    return t.spread("documents").select("doc_id", G.pretokens(even, "digits").alias("pieces"), F.size(G.pretokens(F.col("text"), "newlines")).alias("n_lines"))
 
 
 @query("pretoken_counts", "Z1 Z2")
@@ -99,19 +113,45 @@ def _(t):
 
 # Codecs and audio
 
-for _kind, _limit in (("q8_0", 0.005), ("q5_1", 0.03), ("q5_0", 0.05), ("q4_1", 0.06), ("q4_0", 0.1), ("mxfp4", 0.15), ("bf16", 0.01), ("f16", 0.001)):
+# What DuckDB needs to say the same: a number rounded to a float16 or bfloat16 (halves to even), and to a whole number (halves away from 0).
+_HALF = "CASE WHEN {x} = 0 THEN 0 ELSE round_even(({x})::DOUBLE / pow(2, greatest(floor(log2(abs(({x})::DOUBLE))), -14) - 10), 0)::DOUBLE * pow(2, greatest(floor(log2(abs(({x})::DOUBLE))), -14) - 10) END"
+_BRAIN = "CASE WHEN {x} = 0 THEN 0 ELSE round_even(({x})::DOUBLE / pow(2, floor(log2(abs(({x})::DOUBLE))) - 7), 0)::DOUBLE * pow(2, floor(log2(abs(({x})::DOUBLE))) - 7) END"
+_TOP = "list_max(list_transform(b, lambda x: abs(x)))"
+_FIRST = f"b[list_position(list_transform(b, lambda x: abs(x)), {_TOP})]"  # the first value of the greatest size
+_LOW, _SPAN = "list_min(b)", "(list_max(b) - list_min(b))"
+
+
+def _coded(scale, value, low="0"):
+    """Blocks b of 32: a scale, and each value x as the number that its code stands for."""
+    return f"SELECT vec_id, k, list_transform(b, lambda x: ({value})::DOUBLE * ({_HALF.format(x='scale')}) + ({_HALF.format(x='low')})) AS v FROM (SELECT *, ({scale})::FLOAT AS scale, ({low})::FLOAT AS low, CASE WHEN ({scale})::FLOAT = 0 THEN 0 ELSE 1::FLOAT / ({scale})::FLOAT END::FLOAT AS inv FROM blocks)"
+
+
+_CODES = {
+    "q8_0": _coded(f"{_TOP} / 127::FLOAT", "round(x * inv)"),
+    "q5_1": _coded(f"{_SPAN} / 31::FLOAT", "least(31, trunc((x - low) * inv + 0.5::FLOAT))", _LOW),
+    "q5_0": _coded(f"{_FIRST} / -16::FLOAT", "least(31, trunc(x * inv + 16.5::FLOAT)) - 16"),
+    "q4_1": _coded(f"{_SPAN} / 15::FLOAT", "least(15, trunc((x - low) * inv + 0.5::FLOAT))", _LOW),
+    "q4_0": _coded(f"{_FIRST} / -8::FLOAT", "least(15, trunc(x * inv + 8.5::FLOAT)) - 8"),
+    # The nearest of the numbers of four bits, the first of equals, by a power of two two below the greatest value's.
+    "mxfp4": f"SELECT vec_id, k, list_transform(b, lambda x: list_sort(list_transform([0, 1, 2, 3, 4, 6, 8, 12, -1, -2, -3, -4, -6, -8, -12]::FLOAT[], lambda c: {{'d': abs((x / scale)::FLOAT - c), 'v': c}}))[1].v::DOUBLE * scale) AS v FROM (SELECT *, pow(2, floor(log2({_TOP}::DOUBLE)) - 3)::FLOAT AS scale FROM blocks)",
+    "bf16": f"SELECT vec_id, k, list_transform(b, lambda x: {_BRAIN.format(x='x')}) AS v FROM blocks",
+    "f16": f"SELECT vec_id, k, list_transform(b, lambda x: {_HALF.format(x='x')}) AS v FROM blocks",
+}
+for _kind, _sql in _CODES.items():
+
+    @query(f"quant_{_kind}", "Q A23", f"WITH blocks AS (SELECT vec_id, k, embedding[32 * k + 1:32 * k + 32] AS b FROM embeddings, range(0, 2) r(k)), codes AS ({_sql}) SELECT vec_id, list_transform(flatten(list(v ORDER BY k)), lambda x: round(x, 6) + 0.0) AS v FROM codes GROUP BY vec_id")
+    def _(t, kind=_kind):
+        """What is left of each value after a round through the codec."""
+        return t("embeddings").select("vec_id", F.transform(V.doubles(Q.dequantised(Q.quantised("embedding", kind), kind)), lambda x: F.round(x, 6) + 0.0).alias("v"))
+
 
-    @query(f"quant_{_kind}", "Q A23", f"SELECT vec_id, TRUE AS close FROM embeddings WHERE vec_id < 200 /* {_limit} */")
-    def _(t, kind=_kind, limit=_limit):
-        e = t("embeddings").where("vec_id < 200").select("vec_id", V.doubles("embedding").alias("e"), Q.dequantised(Q.quantised("embedding", kind), kind).alias("d"))
-        error = V.total(F.zip_with("e", V.doubles("d"), lambda a, b: (a - b) * (a - b))) / V.dot(F.col("e"), F.col("e"))
-        return e.select("vec_id", (F.sqrt(error) < limit * 2).alias("close"))
+_THIRDS = f"list_transform(range(0, 256), lambda i: round(round(embedding[i % 64 + 1] / list_max(list_transform(embedding, lambda x: abs(x))))::DOUBLE * ({_HALF.format(x='list_max(list_transform(embedding, lambda x: abs(x)))')}), 6) + 0.0)"
 
 
-@query("quant_ternary", "Q")
+@query("quant_ternary", "Q", f"SELECT vec_id, {_THIRDS} AS tq1_0, {_THIRDS} AS tq2_0 FROM embeddings")
 def _(t):
     e = t("embeddings").select("vec_id", F.flatten(F.array_repeat("embedding", 4)).alias("e"))
-    return e.select("vec_id", *(F.size(Q.dequantised(Q.quantised("e", k), k)).alias(k) for k in ("tq1_0", "tq2_0")))
+    return e.select("vec_id", *(F.transform(V.doubles(Q.dequantised(Q.quantised("e", k), k)), lambda x: F.round(x, 6) + 0.0).alias(k) for k in ("tq1_0", "tq2_0")))
 
 
 for _kind in P.LAYOUTS:
@@ -129,15 +169,20 @@ for _kind in P.LAYOUTS:
         return t("part").select("p_partkey", P.dequantised(raw, kind).alias("values"))
 
 
-@query("subwords", "Z3 Z4", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(substring(text, 1, 200), '\\s+', ' ', 'g')), ' '), '') AS joined FROM documents")
+@query(
+    "subwords", "Z3 Z4",
+    # Each letter in brackets; a merge joins brackets, and merges come in the order of their ranks.
+    r"""SELECT doc_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'), '([^ ])', '<\1>', 'g'), '<t><h>', '<th>'), '<th><e>', '<the>'), '<a><n>', '<an>'), '<e><r>', '<er>'), '<an><d>', '<and>'), ' ', '') AS pieces FROM documents""",
+)
 def _(t):
     ranks = {p: i for i, p in enumerate([("t", "h"), ("th", "e"), ("a", "n"), ("e", "r"), ("an", "d")])}
-    return t.spread("documents").select("doc_id", F.array_join(Y.encode(F.substring("text", 1, 200), "merges", ranks), "").alias("joined"))
+    pieces = Y.encode(F.col("text"), "merges", ranks)
+    return t.spread("documents").select("doc_id", F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("<"), p, F.lit(">"))), "").alias("pieces"))
 
 
-@query("hann_window", "F1", "SELECT p_partkey, list_transform(range(0, 8), lambda i: round(0.5 * (1 - cos(2 * pi() * i / 8)), 6) + 0.0) AS w FROM part WHERE p_partkey <= 3")
+@query("hann_window", "F1", "SELECT p_partkey, list_transform(range(0, 8), lambda i: round(0.5 * (1 - cos(2 * pi() * i / 8)), 6) + 0.0) AS w FROM part")
 def _(t):
-    return t("part").where("p_partkey <= 3").select("p_partkey", F.transform(A.hann(8), lambda x: F.round(x, 6) + 0.0).alias("w"))
+    return t("part").select("p_partkey", F.transform(A.hann(8), lambda x: F.round(x, 6) + 0.0).alias("w"))
 
 
 @query("frames", "W10 F7", "SELECT vec_id, i::BIGINT AS frame, round(list_sum(embedding[i * 8 + 1:i * 8 + 16]::DOUBLE[]), 6) AS total, i // 3 AS chunk FROM embeddings, range(0, 7) r(i)")
@@ -146,24 +191,41 @@ def _(t):
     return A.chunked(rows, 3).select("vec_id", "frame", F.round(V.total(F.col("f")), 6).alias("total"), "chunk")
 
 
-@query("spectrum", "F3", "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x, 6) + 0.0) AS back FROM embeddings WHERE vec_id < 100")
+_DFT = "list_transform(range(0, 64), lambda k: round(list_sum(list_transform(range(0, 64), lambda n: embedding[n + 1]::DOUBLE * {f}(2 * pi() * ((k * n) % 64) / 64))), 5) + 0.0)"
+
+
+@query("spectrum", "F3", f"SELECT vec_id, {_DFT.format(f='cos')} AS re, {_DFT.format(f='-sin')} AS im, list_transform(embedding::DOUBLE[], lambda x: round(x, 6) + 0.0) AS back FROM embeddings")
 def _(t):
-    e = t("embeddings").where("vec_id < 100").select("vec_id", A.spectrum(A.spectrum("embedding"), inverse=True).alias("b"))
-    return e.select("vec_id", F.transform("b", lambda x: F.round(x, 6) + 0.0).alias("back"))
+    e = t("embeddings").select("vec_id", A.spectrum("embedding").alias("s")).select("vec_id", "s", A.spectrum(F.col("s"), inverse=True).alias("b"))
+    return e.select("vec_id", *(F.transform(F.col("s")[c], lambda x: F.round(x, 5) + 0.0).alias(c) for c in ("re", "im")), F.transform("b", lambda x: F.round(x, 6) + 0.0).alias("back"))
 
 
 def _mel(t):
     return A.log_mel(t("embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("samples")), 8, 16, 8, 16_000)
 
 
-@query("log_mel", "F2 F4")
+# Windows of 16 every 8 samples, their power spectrum by its definition, and triangles between points that are even on the mel scale.
+_MEL_SQL = """
+w AS (SELECT vec_id AS clip_id, f AS frame, list_transform(range(0, 16), lambda n: embedding[f * 8 + n + 1]::DOUBLE * 0.5 * (1 - cos(2 * pi() * n / 16))) AS x FROM embeddings, range(0, 7) r(f)),
+p AS (SELECT clip_id, frame, k, pow(list_sum(list_transform(range(0, 16), lambda n: x[n + 1] * cos(2 * pi() * k * n / 16))), 2) + pow(list_sum(list_transform(range(0, 16), lambda n: x[n + 1] * sin(2 * pi() * k * n / 16))), 2) AS power FROM w, range(0, 9) r(k)),
+pt AS (SELECT i, (15 + ln(8.0::DOUBLE) * 27 / ln(6.4::DOUBLE)) * i / 9 AS mel FROM range(0, 10) r(i)),
+hz AS (SELECT i, CASE WHEN mel < 15 THEN mel * 200 / 3 ELSE 1000 * exp((mel - 15) * ln(6.4::DOUBLE) / 27) END AS hz FROM pt),
+flt AS (SELECT a.i AS band, k, greatest(0, least((k * 1000 - a.hz) / (b.hz - a.hz), (c.hz - k * 1000) / (c.hz - b.hz))) * 2 / (c.hz - a.hz) AS wt FROM hz a JOIN hz b ON b.i = a.i + 1 JOIN hz c ON c.i = a.i + 2, range(0, 9) r(k)),
+m AS (SELECT clip_id, frame, band, log10(greatest(sum(power * wt), 5.960464477539063e-08::DOUBLE)) AS v FROM p JOIN flt USING (k) GROUP BY 1, 2, 3)"""
+
+
+def _mel_rounded(df):
+    return df.select("clip_id", "frame", F.transform("mel", lambda x: F.round(x, 5) + 0.0).alias("mel"))
+
+
+@query("log_mel", "F2 F4", f"WITH {_MEL_SQL} SELECT clip_id, frame, list(round(v, 5) + 0.0 ORDER BY band) AS mel FROM m GROUP BY 1, 2")
 def _(t):
-    return _mel(t)
+    return _mel_rounded(_mel(t))
 
 
-@query("mel_clamped", "F5")
+@query("mel_clamped", "F5", f"WITH {_MEL_SQL}, top AS (SELECT *, max(v) OVER (PARTITION BY clip_id) AS top FROM m) SELECT clip_id, frame, list(round((greatest(v, top - 8) + 4) / 4, 5) + 0.0 ORDER BY band) AS mel FROM top GROUP BY 1, 2")
 def _(t):
-    return A.clamped(_mel(t))
+    return _mel_rounded(A.clamped(_mel(t)))
 
 
 @query("feature_norm", "F6", "WITH r AS (SELECT vec_id % 20 AS clip_id, vec_id AS frame, generate_subscripts(embedding, 1) - 1 AS bin, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT clip_id, frame, bin, round((v - avg(v) OVER w) / sqrt(var_samp(v) OVER w + 1e-5), 5) AS v FROM r WINDOW w AS (PARTITION BY clip_id, bin)")
@@ -257,9 +319,11 @@ def _(t):
     return W.aligned(t("region"), ["r_regionkey"], "text", right=("r_regionkey",))
 
 
-@query("sheet_highlight", "K8 P14", "SELECT p_partkey, p_brand IN ('Brand#1', 'Brand#2') AND p_size IN (1, 2, 3) AS highlight FROM part")
+@query("sheet_highlight", "K8 P14", "SELECT p_partkey::VARCHAR AS p_partkey, p_brand, p_name, p_size::VARCHAR AS p_size, p_brand IN ('Brand#1', 'Brand#2') AND p_size IN (1, 2, 3) AS highlight FROM part")
 def _(t):
-    return t("part").select("p_partkey", (F.col("p_brand").isin("Brand#1", "Brand#2") & F.col("p_size").isin(1, 2, 3)).alias("highlight"))
+    """A sheet per brand, read back with what is highlighted."""
+    part = t("part").select("p_partkey", "p_brand", "p_name", "p_size", (F.col("p_brand").isin("Brand#1", "Brand#2") & F.col("p_size").isin(1, 2, 3)).alias("highlight"))
+    return S.sheet_rows(W.sheets(part, ["p_brand"], ["p_partkey"], "highlight"), ["p_partkey", "p_brand", "p_name", "p_size"])
 
 
 @query("insert_statements", "K9 K1", "SELECT 'INSERT INTO part (p_partkey, p_name) VALUES (''' || p_partkey || ''', ''' || p_name || ''');' AS sql FROM part")
@@ -279,30 +343,47 @@ def _(t):
     return W.embeddings_as(t("embeddings"), "json")
 
 
-@query("container_round_trip", "S11 K11 P17 A32 A33 C27", "SELECT 'blk.' || vec_id || '.w' AS name, 'F32' AS dtype, 64::BIGINT AS n, 256::BIGINT AS n_bytes FROM embeddings WHERE vec_id < 20")
+def _floats(c):
+    """Bytes of 32-bit floats as an array."""
+
+    @F.pandas_udf("array<float>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: np.frombuffer(b, "<f4"))
+
+    return run(c)
+
+
+@query("container_round_trip", "S11 K11 P17 A32 A33 C27", "SELECT 'blk.' || vec_id || '.w' AS name, 'F32' AS dtype, 64::BIGINT AS n, 256::BIGINT AS n_bytes, embedding::DOUBLE[] AS v, '\"m' || vec_id || '\"' AS model, '[1, 2, ' || label || ']' AS sizes FROM embeddings")
 def _(t):
-    """Vectors written as tensors of a container by one Arrow UDF, and described by the reader."""
+    """Vectors written as tensors of a container by one Arrow UDF, and described by the reader, with pairs and contents."""
 
     @F.pandas_udf("binary")
-    def pack(ids: pd.Series, vectors: pd.Series) -> pd.Series:
-        return pd.Series([K.write([("general.name", "string", f"m{i}"), ("sizes", "array", ("int32", [1, 2, 3]))], [(f"blk.{i}.w", "F32", [64], np.asarray(v, "<f4").tobytes())]) for i, v in zip(ids, vectors, strict=True)])
+    def pack(ids: pd.Series, vectors: pd.Series, labels: pd.Series) -> pd.Series:
+        return pd.Series([K.write([("general.name", "string", f"m{i}"), ("sizes", "array", ("int32", [1, 2, n]))], [(f"blk.{i}.w", "F32", [64], np.asarray(v, "<f4").tobytes())]) for i, v, n in zip(ids, vectors, labels, strict=True)])
 
-    files = t("embeddings").where("vec_id < 20").select(F.col("vec_id").cast("string").alias("path"), pack("vec_id", "embedding").alias("content"))
-    return K.tensors_of(files).select("name", "dtype", F.col("shape")[0].alias("n"), "n_bytes")
+    files = t("embeddings").select(F.col("vec_id").cast("string").alias("path"), pack("vec_id", "embedding", "label").alias("content"))
+    pairs = K.pairs_of(files).groupBy("path").agg(F.max(F.when(F.col("key") == "general.name", F.col("value"))).alias("model"), F.max(F.when(F.col("key") == "sizes", F.col("value"))).alias("sizes"))
+    return K.tensors_of(files, content=True).join(pairs, "path").select("name", "dtype", F.col("shape")[0].alias("n"), "n_bytes", V.doubles(_floats("content")).alias("v"), "model", "sizes")
 
 
-@query("safetensors_headers", "S13", "SELECT 'v' || vec_id AS name, 'F32' AS dtype, 64::BIGINT AS n, 256::BIGINT AS n_bytes FROM embeddings WHERE vec_id < 20")
+@query("safetensors_headers", "S13", "SELECT 'v' || vec_id AS name, 'F32' AS dtype, 64::BIGINT AS n, 256::BIGINT AS n_bytes, embedding::DOUBLE[] AS v FROM embeddings")
 def _(t):
+    """Each file with a tensor that the headers' offsets must lead to, behind another one."""
+
     @F.pandas_udf("binary")
     def pack(ids: pd.Series, vectors: pd.Series) -> pd.Series:
-        heads = [json.dumps({f"v{i}": {"dtype": "F32", "shape": [64], "data_offsets": [0, 256]}}).encode() for i in ids]
-        return pd.Series([struct.pack("<Q", len(h)) + h + np.asarray(v, "<f4").tobytes() for h, v in zip(heads, vectors, strict=True)])
+        heads = [json.dumps({"__metadata__": {"format": "pt"}, "first": {"dtype": "I8", "shape": [8], "data_offsets": [0, 8]}, f"v{i}": {"dtype": "F32", "shape": [64], "data_offsets": [8, 264]}}).encode() for i in ids]
+        return pd.Series([struct.pack("<Q", len(h)) + h + bytes(8) + np.asarray(v, "<f4").tobytes() for h, v in zip(heads, vectors, strict=True)])
+
+    files = t("embeddings").select(F.col("vec_id").cast("string").alias("path"), pack("vec_id", "embedding").alias("content"))
+    found = K.safetensors(files).where("dtype = 'F32'").join(files, "path")
+    return found.select("name", "dtype", F.col("shape")[0].alias("n"), "n_bytes", V.doubles(_floats(F.substr("content", (F.col("offset") + 1).cast("int"), F.col("n_bytes").cast("int")))).alias("v"))
 
-    files = t("embeddings").where("vec_id < 20").select(F.col("vec_id").cast("string").alias("path"), pack("vec_id", "embedding").alias("content"))
-    return K.safetensors(files).select("name", "dtype", F.col("shape")[0].alias("n"), "n_bytes")
 
+_WAV = "list_transform(embedding, lambda x: trunc(x * 20000::FLOAT)::DOUBLE / 32768)"
 
-@query("wav_decode", "S14", "SELECT vec_id, 0.008::DOUBLE AS seconds, 128::BIGINT AS n_samples FROM embeddings WHERE vec_id < 20")
+
+@query("wav_decode", "S14", f"SELECT vec_id, 0.008::DOUBLE AS seconds, list_transform(range(0, 128), lambda i: round(CASE WHEN i % 2 = 0 OR i = 127 THEN ({_WAV})[i // 2 + 1] ELSE (({_WAV})[i // 2 + 1] + ({_WAV})[i // 2 + 2]) / 2 END, 6) + 0.0) AS samples FROM embeddings")
 def _(t):
     """Vectors as one-channel files of 8,000 samples a second, decoded at 16,000."""
 
@@ -314,13 +395,28 @@ def _(t):
                 w.setnchannels(1)
                 w.setsampwidth(2)
                 w.setframerate(8000)
-                w.writeframes((np.asarray(v) * 20_000).astype("<i2").tobytes())
+                w.writeframes((np.asarray(v, np.float32) * np.float32(20_000)).astype("<i2").tobytes())
             return out.getvalue()
 
         return vectors.map(one)
 
-    rows = t("embeddings").where("vec_id < 20").select("vec_id", S.decoded_wav(pack("embedding")).alias("w"))
-    return rows.select("vec_id", "w.seconds", F.size("w.samples").alias("n_samples"))
+    rows = t("embeddings").select("vec_id", S.decoded_wav(pack("embedding")).alias("w"))
+    return rows.select("vec_id", "w.seconds", F.transform(V.doubles("w.samples"), lambda x: F.round(x, 6) + 0.0).alias("samples"))
+
+
+@query("sqlite_table", "S1 S6 K2", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part")
+def _(t):
+    """A table written to an SQLite file, sniffed and read back by row ranges; small, as such files are."""
+    import sqlite3
+    import tempfile
+
+    if not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("an SQLite file must lie where executors see it; this query makes one beside the driver")
+    path = tempfile.mkdtemp(prefix="tessera-") + "/part.db"
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE part (p_partkey INTEGER, p_name TEXT, p_size INTEGER)")
+        con.executemany("INSERT INTO part VALUES (?, ?, ?)", (tuple(r) for r in t("part").select(*_PART.names).toLocalIterator()))
+    return S.load_any(t.spark, path, _PART)
 
 
 # Streams, each against the answer of a batch
@@ -365,8 +461,9 @@ def _(t):
     rows = t("events").select(F.col("user_id").alias("task_id"), "event_id", F.col("event_type").alias("text"))
     rows = rows.withColumn("idx", F.row_number().over(own.orderBy("event_id")).cast("long") - 1).withColumn("kind", F.when((F.col("task_id") % 7 == 0) & (F.col("idx") == 0), "cancel").when(F.col("idx") == F.count(F.lit(1)).over(own) - 1, "final").otherwise("partial"))
     path = scratch.path(t.spark, "parts")
-    rows.select("task_id", "idx", "kind", "text").repartition(3).write.parquet(path)
-    return X.run(X.gathered(t.spark.readStream.schema("task_id long, idx long, kind string, text string").option("maxFilesPerTrigger", 1).parquet(path)), "append", "gather")
+    # All parts at one moment, as the files hold them in no order of time.
+    rows.select("task_id", "idx", "kind", "text", F.lit("2024-01-31").cast("timestamp").alias("ts")).repartition(3).write.parquet(path)
+    return X.run(X.gathered(t.spark.readStream.schema("task_id long, idx long, kind string, text string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)), "append", "gather")
 
 
 @query("stream_queue", "X1 X2 X7")

@@ -8,9 +8,6 @@ from tessera.functions import template as J
 from tessera.functions import text as T
 from tessera.registry import query
 
-_T = "substring(text, 1, 400)"
-
-
 @query(
     "core_strings", "C1 C2 C4 C5 C6 C8 C12 C20 C30",
     r"""SELECT p_partkey, trim(' ' || p_name || '  ') AS stripped, replace(p_name, 'e', 'EE') AS replaced, array_to_string([p_brand, p_type, p_name], '; ') AS joined, len(string_split(p_name || '  ' || p_brand, ' ')) AS n_parts,
@@ -26,9 +23,9 @@ def _(t):
     )
 
 
-@query("regex_escape", "C3", r"""SELECT doc_id, regexp_replace(substring(text, 1, 400), '([.^$|()*+?\[\]{}\\])', '\\\1', 'g') AS escaped FROM documents""")
+@query("regex_escape", "C3", r"""SELECT doc_id, regexp_replace(text, '([.^$|()*+?\[\]{}\\])', '\\\1', 'g') AS escaped FROM documents""")
 def _(t):
-    return t.spread("documents").select("doc_id", T.regex_escape(F.substring("text", 1, 400)).alias("escaped"))
+    return t.spread("documents").select("doc_id", T.regex_escape(F.col("text")).alias("escaped"))
 
 
 @query("escapes", "C7", r"""SELECT p_partkey, p_name || chr(10) || 'x' || chr(9) || '\n' || 'A' || '"' AS out FROM part""")
@@ -110,9 +107,9 @@ def _(t):
     return t("part").select("p_partkey", T.expand_template(c, {"brand": F.col("p_brand"), "size": F.col("p_size").cast("string")}).alias("uri"), T.template_names(c).alias("names"))
 
 
-@query("markdown_cells", "C24", r"""SELECT doc_id, replace(replace(replace(replace(substring(text, 1, 300), chr(10), '\n'), chr(9), '\t'), chr(13), '\r'), '|', '\|') AS cell FROM documents""")
+@query("markdown_cells", "C24", r"""SELECT doc_id, replace(replace(replace(replace(text, chr(10), '\n'), chr(9), '\t'), chr(13), '\r'), '|', '\|') AS cell FROM documents""")
 def _(t):
-    return t.spread("documents").select("doc_id", T.markdown_cell(F.substring("text", 1, 300)).alias("cell"))
+    return t.spread("documents").select("doc_id", T.markdown_cell(F.col("text")).alias("cell"))
 
 
 @query("size_suffix", "C26", "SELECT p_partkey, p_size::BIGINT * CASE p_size % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 WHEN 2 THEN 1000000000 ELSE 1 END::BIGINT AS bytes FROM part")
@@ -177,40 +174,40 @@ _ASCII = "regexp_replace({c}, '[^A-Za-z .]', '', 'g')"
 
 @query(
     "normalise_endings", "T7",
-    r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substring(text, 1, 600), '[^A-Za-z .]', '', 'g'), 'e\b', 'ee', 'g'), 'a', 'aa', 'g') AS s FROM documents WHERE lang = 'en')
+    r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z .]', '', 'g'), 'e\b', 'ee', 'g'), 'a', 'aa', 'g') AS s FROM documents)
     SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'ee\b', 'i', 'g'), '([bcdfghjklmnpqrstvwxyz])aa\b', '\1a', 'g'), '([bcdfghjklmnpqrstvwxyz])aa([bcdfghjklmnpqrstvwxyz][aeiouy])\b', '\1a\2', 'g'), '([bcdfghjklmnpqrstvwxyz])aao\b', '\1ao', 'g') AS text FROM d""",
 )
 def _(t):
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 600), "[^A-Za-z .]", ""), r"e\b", "ee"), "a", "aa")
-    return t.spread("documents").where("lang = 'en'").select("doc_id", T.plain_endings(s).alias("text"))
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z .]", ""), r"e\b", "ee"), "a", "aa")
+    return t.spread("documents").select("doc_id", T.plain_endings(s).alias("text"))
 
 
 @query(
     "lexicon_fix", "J4 T8 O8",
-    r"""WITH p AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS l FROM documents WHERE lang = 'en')),
+    r"""WITH p AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS l FROM documents)),
     f AS (SELECT doc_id, pos, CASE lower(piece) WHEN 'the' THEN CASE WHEN regexp_matches(piece, '^[A-Z]') THEN 'De' ELSE 'de' END WHEN 'of' THEN 'OF' ELSE piece END AS piece FROM p)
     SELECT doc_id, regexp_replace(string_agg(piece, '' ORDER BY pos), '\bin de\b', 'inside', 'gi') AS text FROM f GROUP BY doc_id""",
 )
 def _(t):
     lexicon = t.spark.createDataFrame([("correction", "the", "de"), ("correction", "of", "off"), ("proper_noun", "of", "OF"), ("correction", "in de", "inside")], "kind string, key string, value string")
-    out = T.fix_words(t.spread("documents").where("lang = 'en'"), "doc_id", "text", lexicon)
+    out = T.fix_words(t.spread("documents"), "doc_id", "text", lexicon)
     return out.select("doc_id", T.fix_phrases(F.col("text"), {"in de": "inside"}).alias("text"))
 
 
 @query(
     "word_confidence", "W1 A10 A11 P11 T19",
-    """WITH k AS (SELECT conv_id AS seq_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations WHERE turn < 2),
+    """WITH k AS (SELECT conv_id AS seq_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations),
     tok AS (SELECT *, -((length(w) * 7 + i) % 100) / 100.0::DOUBLE AS lp1, -((length(w) * 3 + i) % 100) / 100.0::DOUBLE AS lp2 FROM k WHERE w <> ''),
     w AS (SELECT seq_id, turn, i, w, exp(least(lp1, lp2)) AS min_conf, exp((lp1 + lp2) / 2) AS geo_conf FROM tok)
     SELECT seq_id, count(*) AS n_words, count(*) FILTER (WHERE min_conf <= 0.65) AS n_low, string_agg(w || '(' || round(min_conf, 2) || CASE WHEN min_conf <= 0.65 THEN '*' ELSE '' END || ')', ' ' ORDER BY turn, i) AS line, round(avg(geo_conf), 6) AS geo FROM w GROUP BY seq_id""",
 )
 def _(t):
-    k = t("conversations").where("turn < 2").select(F.col("conv_id").alias("seq_id"), "turn", F.posexplode(F.split("text", " ")).alias("i", "w")).where("w <> ''").withColumn("i", F.col("i") + 1)
+    k = t("conversations").select(F.col("conv_id").alias("seq_id"), "turn", F.posexplode(F.split("text", " ")).alias("i", "w")).where("w <> ''").withColumn("i", F.col("i") + 1)
     lp = lambda m: -((F.char_length("w") * m + F.col("i")) % 100) / 100.0
-    pos = F.col("turn") * 100_000 + F.col("i") * 3
+    pos = F.col("turn") * 100_000_000 + F.col("i") * 3
     # Each word as two tokens, its first letter and the rest; a special token stands between turns.
     two = F.array(F.struct(pos.alias("pos"), F.concat(F.lit("Ġ"), F.left("w", F.lit(1))).alias("piece"), F.lit(False).alias("is_special"), lp(7).alias("logprob")), F.struct((pos + 1).alias("pos"), F.substr("w", F.lit(2)).alias("piece"), F.lit(False).alias("is_special"), lp(3).alias("logprob")))
-    tokens = k.select("seq_id", F.inline(two)).unionByName(k.select("seq_id", "turn").distinct().select("seq_id", (F.col("turn") * 100_000 + 99_999).alias("pos"), F.lit("<eot>").alias("piece"), F.lit(True).alias("is_special"), F.lit(-0.1).alias("logprob")))
+    tokens = k.select("seq_id", F.inline(two)).unionByName(k.select("seq_id", "turn").distinct().select("seq_id", (F.col("turn") * 100_000_000 + 99_999_999).alias("pos"), F.lit("<eot>").alias("piece"), F.lit(True).alias("is_special"), F.lit(-0.1).alias("logprob")))
     words = T.word_confidence(tokens)
     mark = F.concat("word", F.lit("("), F.round("min_conf", 2).cast("string"), F.when(F.col("is_low"), "*").otherwise(""), F.lit(")"))
     return words.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_words"), F.count_if("is_low").alias("n_low"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", mark.alias("m")))), lambda x: x["m"]), " ").alias("line"), F.round(F.avg("geo_conf"), 6).alias("geo"))
@@ -219,10 +216,10 @@ def _(t):
 @query(
     "template_strings", "jinja.string jinja.tests",
     r"""SELECT conv_id, turn, upper(role) AS up, lower(s) AS low, trim(s) AS strip, upper(left(role, 1)) || lower(substring(role, 2)) AS capitalize, length(s) AS length, starts_with(s, 'L') AS starts, string_split(s, ' ')[1] AS first_part, replace(s, 'e', '') AS replaced, coalesce(try_cast(s AS BIGINT), 0) AS as_int,
-      substring(s, 3, greatest(least(6, length(s)) - 2, 0)) AS sliced, replace(s, chr(10), chr(10) || '    ') AS indented, (s = lower(s) AND s <> upper(s)) AS is_lower, length(s) % 2 <> 0 AS is_odd, role IN ('user', 'system') AS is_in FROM (SELECT *, substring(text, 1, 60) AS s FROM conversations WHERE NOT regexp_matches(substring(text, 1, 60), '\n(\n|$)'))""",
+      substring(s, 3, greatest(least(6, length(s)) - 2, 0)) AS sliced, regexp_replace(s, '\n([^\n\r\x{85}\x{2028}\x{2029}])', chr(10) || '    \1', 'g') AS indented, (s = lower(s) AND s <> upper(s)) AS is_lower, length(s) % 2 <> 0 AS is_odd, role IN ('user', 'system') AS is_in FROM (SELECT *, text AS s FROM conversations)""",
 )
 def _(t):
-    c, s = t("conversations").withColumn("s", F.substring("text", 1, 60)).where(r"not regexp_like(s, '\n(\n|$)')"), F.col("s")
+    c, s = t("conversations").withColumn("s", F.col("text")), F.col("s")
     S = J.STRING
     return c.select(
         "conv_id", "turn", S["upper"](F.col("role")).alias("up"), S["lower"](s).alias("low"), F.trim(s).alias("strip"), S["capitalize"](F.col("role")).alias("capitalize"), S["length"](s).alias("length"), S["startswith"](s, "L").alias("starts"), S["split"](s, " ")[0].alias("first_part"), S["replace"](s, "e", "").alias("replaced"), S["int"](s).alias("as_int"),

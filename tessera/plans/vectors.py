@@ -17,17 +17,17 @@ _E = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 _R = "list_transform({x}, lambda v: round(v, 6) + 0.0)"
 
 
-def _arrays(name, covers, spark_expr, sql_expr, where="TRUE"):
+def _arrays(name, covers, spark_expr, sql_expr):
     """A query of one array per row of embeddings, against an expression over e."""
 
-    @query(name, covers, f"SELECT vec_id, {_R.format(x=sql_expr)} AS out FROM {_E} WHERE {where}")
+    @query(name, covers, f"SELECT vec_id, {_R.format(x=sql_expr)} AS out FROM {_E}")
     def _(t):
-        return t("embeddings").where(where).select("vec_id", V.doubles("embedding").alias("e")).select("vec_id", _rounded(spark_expr(F.col("e"))).alias("out"))
+        return t("embeddings").select("vec_id", V.doubles("embedding").alias("e")).select("vec_id", _rounded(spark_expr(F.col("e"))).alias("out"))
 
 
 _SUM = "list_sum(list_transform(e, lambda v: {f}))"
 for _mode, _size in ((0, "list_max(list_transform(e, lambda v: abs(v))) / 32760.0::DOUBLE"), (1, _SUM.format(f="abs(v)")), (2, "sqrt(" + _SUM.format(f="v * v") + ")"), (3, "pow(" + _SUM.format(f="pow(abs(v), 3.0)") + ", 1.0::DOUBLE / 3)")):
-    _arrays(f"embed_normalise_{_mode}", "V1", lambda e, m=_mode: V.normalised(e, m), f"list_transform(e, lambda x: x / ({_size.replace('lambda v', 'lambda w').replace('(v', '(w').replace('v * v', 'w * w')}))", "vec_id < 200")
+    _arrays(f"embed_normalise_{_mode}", "V1", lambda e, m=_mode: V.normalised(e, m), f"list_transform(e, lambda x: x / ({_size.replace('lambda v', 'lambda w').replace('(v', '(w').replace('v * v', 'w * w')}))")
 
 _UNARY_SQL = {
     "abs": "abs(x)", "ceil": "ceil(x * 10)", "cos": "cos(x)", "elu": "CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END", "exp": "exp(x)", "expm1": "exp(x) - 1", "floor": "floor(x * 10)", "gelu": "0.5 * x * (1 + tanh(sqrt(2 / pi()) * x * (1 + 0.044715 * x * x)))",
@@ -36,8 +36,8 @@ _UNARY_SQL = {
 }
 for _name, _sql in _UNARY_SQL.items():
     _times = 10.0 if "x * 10" in _sql else 1.0
-    _arrays(f"tensor_{_name}", f"tensor.{_name}", lambda e, n=_name, k=_times: V.map_unary(n, F.transform(e, lambda x: x * k)), f"list_transform(e, lambda x: ({_sql})::DOUBLE)", "vec_id < 100")
-_arrays("tensor_log_sqrt", "tensor.log tensor.sqrt", lambda e: V.map_unary("log", V.map_unary("sqrt", F.transform(e, lambda x: x * x + 0.1))), "list_transform(e, lambda x: ln(sqrt(x * x + 0.1)))", "vec_id < 100")
+    _arrays(f"tensor_{_name}", f"tensor.{_name}", lambda e, n=_name, k=_times: V.map_unary(n, F.transform(e, lambda x: x * k)), f"list_transform(e, lambda x: ({_sql})::DOUBLE)")
+_arrays("tensor_log_sqrt", "tensor.log tensor.sqrt", lambda e: V.map_unary("log", V.map_unary("sqrt", F.transform(e, lambda x: x * x + 0.1))), "list_transform(e, lambda x: ln(sqrt(x * x + 0.1)))")
 
 
 @query("tensor_gelu_erf", "tensor.gelu_erf tensor.geglu_erf")
@@ -47,24 +47,24 @@ def _(t):
 
 
 for _name, _op in (("add", "+"), ("sub", "-"), ("mul", "*"), ("div", "/")):
-    _arrays(f"tensor_{_name}", f"tensor.{_name}", lambda e, n=_name: V.map_binary(n, e, F.transform(F.reverse(e), lambda x: x * x + 1.0)), f"list_transform(range(1, len(e) + 1), lambda i: e[i] {_op} (e[len(e) + 1 - i] * e[len(e) + 1 - i] + 1))", "vec_id < 100")
+    _arrays(f"tensor_{_name}", f"tensor.{_name}", lambda e, n=_name: V.map_binary(n, e, F.transform(F.reverse(e), lambda x: x * x + 1.0)), f"list_transform(range(1, len(e) + 1), lambda i: e[i] {_op} (e[len(e) + 1 - i] * e[len(e) + 1 - i] + 1))")
 _GATE_SQL = {"reglu": "greatest(x, 0)", "geglu": _UNARY_SQL["gelu"], "geglu_quick": _UNARY_SQL["gelu_quick"], "swiglu": _UNARY_SQL["silu"]}
 for _name, _sql in _GATE_SQL.items():
-    _arrays(f"tensor_{_name}", f"tensor.{_name}", lambda e, n=_name: V.gated(n, e), "list_transform(range(1, 33), lambda i: (" + _sql.replace("x", "e[i]").replace("eeei]p", "exp").replace("ee[i]p", "exp") + ") * e[i + 32])", "vec_id < 100")
-_arrays("tensor_swiglu_oai", "tensor.swiglu_oai", lambda e: V.swiglu_oai(F.transform(e, lambda x: x * 40)), "list_transform(range(1, 33), lambda i: least(e[i] * 40, 7) / (1 + exp(-1.702 * least(e[i] * 40, 7))) * (greatest(-7, least(e[i + 32] * 40, 7)) + 1))", "vec_id < 100")
-_arrays("tensor_scale_clamp", "tensor.scale tensor.clamp tensor.add1 tensor.fill", lambda e: F.concat(V.scaled(e, 2.0, 1.0), V.clamped(e, -0.1, 0.1), V.filled(F.slice(e, 1, 2), 3.0)), "list_concat(list_concat(list_transform(e, lambda x: x * 2 + 1), list_transform(e, lambda x: greatest(-0.1, least(0.1, x)))), [3.0, 3.0]::DOUBLE[])", "vec_id < 100")
-_arrays("tensor_acc_set", "tensor.acc tensor.set", lambda e: F.concat(V.accumulated(e, F.slice(e, 1, 4), 2), V.set_at(e, F.slice(e, 1, 4), 60)), "list_concat(list_transform(range(1, 65), lambda i: e[i] + CASE WHEN i BETWEEN 3 AND 6 THEN e[i - 2] ELSE 0 END), list_transform(range(1, 65), lambda i: CASE WHEN i > 60 THEN e[i - 60] ELSE e[i] END))", "vec_id < 100")
-_arrays("tensor_norm", "tensor.norm", V.norm, "list_transform(e, lambda x: (x - list_avg(e)) / sqrt(list_avg(list_transform(e, lambda y: y * y)) - list_avg(e) * list_avg(e) + 1e-5))", "vec_id < 100")
-_arrays("tensor_rms_norm", "tensor.rms_norm", V.rms_norm, "list_transform(e, lambda x: x / sqrt(list_avg(list_transform(e, lambda y: y * y)) + 1e-5))", "vec_id < 100")
-_arrays("tensor_l2_norm", "tensor.l2_norm", V.l2_norm, "list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))", "vec_id < 100")
-_arrays("tensor_group_norm", "tensor.group_norm", lambda e: V.group_norm(e, 2, 32, 1e-5), "list_concat(list_transform(e[1:32], lambda x: (x - list_avg(e[1:32])) / sqrt(list_var_pop(e[1:32]) + 1e-5)), list_transform(e[33:64], lambda x: (x - list_avg(e[33:64])) / sqrt(list_var_pop(e[33:64]) + 1e-5)))", "vec_id < 100")
-_arrays("tensor_softmax", "tensor.soft_max M1", V.softmax, "list_transform(e, lambda x: exp(x) / list_sum(list_transform(e, lambda y: exp(y))))", "vec_id < 100")
-_arrays("tensor_layout", "tensor.concat tensor.roll tensor.pad tensor.repeat tensor.cont tensor.dup tensor.cpy U5", lambda e: F.concat(V.rolled(e, 3), V.padded(F.slice(e, 1, 2), 1, 2), V.repeated(F.slice(e, 1, 2), 2)), "list_concat(list_concat(list_concat(e[62:64], e[1:61]), list_concat(list_concat([0.0]::DOUBLE[], e[1:2]), [0.0, 0.0]::DOUBLE[])), list_concat(e[1:2], e[1:2]))", "vec_id < 100")
-_arrays("tensor_pad_reflect", "tensor.pad_reflect_1d", lambda e: V.pad_reflect(F.slice(e, 1, 8), 2, 3), "list_concat(list_concat([e[3], e[2]], e[1:8]), [e[7], e[6], e[5]])", "vec_id < 100")
-_arrays("tensor_arange", "tensor.arange S20", lambda e: V.arange(0.5, 3.0, 0.75), "[0.5, 1.25, 2.0, 2.75]::DOUBLE[]", "vec_id < 10")
-_arrays("tensor_pool_1d", "tensor.pool_1d", lambda e: F.concat(V.pool_1d(e, 4, 4), V.pool_1d(e, 5, 3, "max")), "list_concat(list_transform(range(0, 16), lambda i: list_avg(e[i * 4 + 1:i * 4 + 4])), list_transform(range(0, 20), lambda i: list_max(e[i * 3 + 1:i * 3 + 5])))", "vec_id < 100")
-_arrays("tensor_rope", "tensor.rope", lambda e: V.rope(e, F.lit(7.0)), "list_transform(range(0, 64), lambda i: CASE WHEN i % 2 = 0 THEN e[i + 1] * cos(7.0 * pow(10000.0, -2.0 * (i // 2) / 64)) - e[i + 2] * sin(7.0 * pow(10000.0, -2.0 * (i // 2) / 64)) ELSE e[i] * sin(7.0 * pow(10000.0, -2.0 * (i // 2) / 64)) + e[i + 1] * cos(7.0 * pow(10000.0, -2.0 * (i // 2) / 64)) END)", "vec_id < 100")
-_arrays("tensor_cumsum", "tensor.cumsum W2", V.cumsum, "list_transform(range(1, 65), lambda i: list_sum(e[1:i]))", "vec_id < 100")
+    _arrays(f"tensor_{_name}", f"tensor.{_name}", lambda e, n=_name: V.gated(n, e), "list_transform(range(1, 33), lambda i: (" + _sql.replace("x", "e[i]").replace("eeei]p", "exp").replace("ee[i]p", "exp") + ") * e[i + 32])")
+_arrays("tensor_swiglu_oai", "tensor.swiglu_oai", lambda e: V.swiglu_oai(F.transform(e, lambda x: x * 40)), "list_transform(range(1, 33), lambda i: least(e[i] * 40, 7) / (1 + exp(-1.702 * least(e[i] * 40, 7))) * (greatest(-7, least(e[i + 32] * 40, 7)) + 1))")
+_arrays("tensor_scale_clamp", "tensor.scale tensor.clamp tensor.add1 tensor.fill", lambda e: F.concat(V.scaled(e, 2.0, 1.0), V.clamped(e, -0.1, 0.1), V.filled(F.slice(e, 1, 2), 3.0)), "list_concat(list_concat(list_transform(e, lambda x: x * 2 + 1), list_transform(e, lambda x: greatest(-0.1, least(0.1, x)))), [3.0, 3.0]::DOUBLE[])")
+_arrays("tensor_acc_set", "tensor.acc tensor.set", lambda e: F.concat(V.accumulated(e, F.slice(e, 1, 4), 2), V.set_at(e, F.slice(e, 1, 4), 60)), "list_concat(list_transform(range(1, 65), lambda i: e[i] + CASE WHEN i BETWEEN 3 AND 6 THEN e[i - 2] ELSE 0 END), list_transform(range(1, 65), lambda i: CASE WHEN i > 60 THEN e[i - 60] ELSE e[i] END))")
+_arrays("tensor_norm", "tensor.norm", V.norm, "list_transform(e, lambda x: (x - list_avg(e)) / sqrt(list_avg(list_transform(e, lambda y: y * y)) - list_avg(e) * list_avg(e) + 1e-5))")
+_arrays("tensor_rms_norm", "tensor.rms_norm", V.rms_norm, "list_transform(e, lambda x: x / sqrt(list_avg(list_transform(e, lambda y: y * y)) + 1e-5))")
+_arrays("tensor_l2_norm", "tensor.l2_norm", V.l2_norm, "list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))")
+_arrays("tensor_group_norm", "tensor.group_norm", lambda e: V.group_norm(e, 2, 32, 1e-5), "list_concat(list_transform(e[1:32], lambda x: (x - list_avg(e[1:32])) / sqrt(list_var_pop(e[1:32]) + 1e-5)), list_transform(e[33:64], lambda x: (x - list_avg(e[33:64])) / sqrt(list_var_pop(e[33:64]) + 1e-5)))")
+_arrays("tensor_softmax", "tensor.soft_max M1", V.softmax, "list_transform(e, lambda x: exp(x) / list_sum(list_transform(e, lambda y: exp(y))))")
+_arrays("tensor_layout", "tensor.concat tensor.roll tensor.pad tensor.repeat tensor.cont tensor.dup tensor.cpy U5", lambda e: F.concat(V.rolled(e, 3), V.padded(F.slice(e, 1, 2), 1, 2), V.repeated(F.slice(e, 1, 2), 2)), "list_concat(list_concat(list_concat(e[62:64], e[1:61]), list_concat(list_concat([0.0]::DOUBLE[], e[1:2]), [0.0, 0.0]::DOUBLE[])), list_concat(e[1:2], e[1:2]))")
+_arrays("tensor_pad_reflect", "tensor.pad_reflect_1d", lambda e: V.pad_reflect(F.slice(e, 1, 8), 2, 3), "list_concat(list_concat([e[3], e[2]], e[1:8]), [e[7], e[6], e[5]])")
+_arrays("tensor_arange", "tensor.arange S20", lambda e: V.arange(0.5, 3.0, 0.75), "[0.5, 1.25, 2.0, 2.75]::DOUBLE[]")
+_arrays("tensor_pool_1d", "tensor.pool_1d", lambda e: F.concat(V.pool_1d(e, 4, 4), V.pool_1d(e, 5, 3, "max")), "list_concat(list_transform(range(0, 16), lambda i: list_avg(e[i * 4 + 1:i * 4 + 4])), list_transform(range(0, 20), lambda i: list_max(e[i * 3 + 1:i * 3 + 5])))")
+_arrays("tensor_rope", "tensor.rope", lambda e: V.rope(e, F.lit(7.0)), "list_transform(range(0, 64), lambda i: CASE WHEN i % 2 = 0 THEN e[i + 1] * cos(7.0 * pow(10000.0, -2.0 * (i // 2) / 64)) - e[i + 2] * sin(7.0 * pow(10000.0, -2.0 * (i // 2) / 64)) ELSE e[i] * sin(7.0 * pow(10000.0, -2.0 * (i // 2) / 64)) + e[i + 1] * cos(7.0 * pow(10000.0, -2.0 * (i // 2) / 64)) END)")
+_arrays("tensor_cumsum", "tensor.cumsum W2", V.cumsum, "list_transform(range(1, 65), lambda i: list_sum(e[1:i]))")
 
 
 @query("timestep_embedding", "tensor.timestep_embedding", "SELECT p_partkey, list_transform(list_concat(list_transform(range(0, 4), lambda i: cos(p_size * exp(-ln(10000.0::DOUBLE) * i / 4))), list_transform(range(0, 4), lambda i: sin(p_size * exp(-ln(10000.0::DOUBLE) * i / 4)))), lambda v: round(v, 6) + 0.0) AS out FROM part")
@@ -91,18 +91,19 @@ def _(t):
     return e.select("vec_id", V.argsort(F.col("e")).alias("ascending"), V.top_places(F.col("e"), 5).alias("top"))
 
 
-_LONG = "(SELECT vec_id AS i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 40)"
+_LONG = "(SELECT vec_id AS i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)"
 
 
-@query("matmul", "tensor.mul_mat tensor.mul_mat_id", f"SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM {_LONG} a JOIN {_LONG} b ON a.k = b.k GROUP BY 1, 2")
+@query("matmul", "tensor.mul_mat tensor.mul_mat_id", f"SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM {_LONG} a JOIN {_LONG} b ON a.k = b.k WHERE b.i % 50 = 0 GROUP BY 1, 2")
 def _(t):
-    a = t("embeddings").where("vec_id < 40").select(F.col("vec_id").alias("i"), F.posexplode(V.doubles("embedding")).alias("k", "v"))
-    return V.matmul(a, a.withColumnRenamed("i", "j")).select("i", "j", F.round("v", 6).alias("v"))
+    """All vectors, as one matrix, by the transpose of a stated set of them."""
+    a = t("embeddings").select(F.col("vec_id").alias("i"), F.posexplode(V.doubles("embedding")).alias("k", "v"))
+    return V.matmul(a, a.where("i % 50 = 0").withColumnRenamed("i", "j")).select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query("outer_product", "tensor.out_prod tensor.diag_mask_inf tensor.tri tensor.diag", "SELECT vec_id, i::BIGINT AS i, j::BIGINT AS j, round(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE, 6) AS v, CASE WHEN j > i THEN 0 ELSE round(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE, 6) END AS lower, j <= i AS seen, i = j AS on_diagonal FROM embeddings, range(0, 4) r(i), range(0, 4) s(j) WHERE vec_id < 50")
+@query("outer_product", "tensor.out_prod tensor.diag_mask_inf tensor.tri tensor.diag", "SELECT vec_id, i::BIGINT AS i, j::BIGINT AS j, round(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE, 6) AS v, CASE WHEN j > i THEN 0 ELSE round(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE, 6) END AS lower, j <= i AS seen, i = j AS on_diagonal FROM embeddings, range(0, 4) r(i), range(0, 4) s(j)")
 def _(t):
-    e = t("embeddings").where("vec_id < 50").select("vec_id", F.slice(V.doubles("embedding"), 1, 4).alias("e"))
+    e = t("embeddings").select("vec_id", F.slice(V.doubles("embedding"), 1, 4).alias("e"))
     rows = e.select("vec_id", F.posexplode(V.outer(F.col("e"), F.col("e"))).alias("i", "row")).select("vec_id", "i", F.posexplode("row").alias("j", "v")).withColumn("v", F.round("v", 6))
     return rows.withColumn("raw", F.col("v")).transform(V.lower_triangle).withColumnRenamed("v", "lower").withColumn("v", F.col("raw")).transform(V.masked_inf).select("vec_id", "i", "j", F.col("raw").alias("v"), "lower", (F.col("v") != F.lit(float("-inf"))).alias("seen"), (F.col("i") == F.col("j")).alias("on_diagonal"))
 
@@ -114,12 +115,12 @@ def _(t):
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("similarity_matrix", "J7 V2 K12", "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 100 AND b.vec_id < 100")
+@query("similarity_matrix", "J7 V2 K12", "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0")
 def _(t):
-    """The matrix of a stated set of vectors, as the embedding report prints it."""
-    e = t("embeddings").where("vec_id < 100").select("vec_id", V.doubles("embedding").alias("e"))
-    other = F.broadcast(e.select(F.col("vec_id").alias("j"), F.col("e").alias("f")))
-    return e.join(other).select(F.col("vec_id").alias("i"), "j", F.round(V.cosine(F.col("e"), F.col("f")), 6).alias("score"))
+    """The rows of a stated set of vectors in the matrix that the embedding report prints."""
+    e = t("embeddings")
+    out = V.similarities(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("i"), "embedding"), e.select(F.col("vec_id").alias("j"), "embedding"))
+    return out.select("i", "j", F.round("score", 6).alias("score"))
 
 
 @query("pooling", "V4", "SELECT label::BIGINT AS seq_id, list_transform(range(1, 65), lambda i: round(list_avg(list_transform(es, lambda e: e[i])), 6) + 0.0) AS mean, list_transform(es[1], lambda v: round(v, 6) + 0.0) AS cls, list_transform(es[-1], lambda v: round(v, 6) + 0.0) AS last FROM (SELECT label, list(embedding::DOUBLE[] ORDER BY vec_id) AS es FROM embeddings GROUP BY label)")
@@ -131,11 +132,11 @@ def _(t):
     return out
 
 
-_CAND = "cand AS (SELECT vec_id AS ctx, generate_subscripts(embedding, 1) - 1 AS id, 10 * unnest(embedding)::DOUBLE AS logit FROM embeddings WHERE vec_id < 150), sm AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY ctx) AS p FROM cand), rk AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY logit DESC, id) AS r, sum(p) OVER (PARTITION BY ctx ORDER BY logit DESC, id ROWS UNBOUNDED PRECEDING) AS c, max(p) OVER (PARTITION BY ctx) AS top FROM sm)"
+_CAND = "cand AS (SELECT vec_id AS ctx, generate_subscripts(embedding, 1) - 1 AS id, 10 * unnest(embedding)::DOUBLE AS logit FROM embeddings), sm AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY ctx) AS p FROM cand), rk AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY logit DESC, id) AS r, sum(p) OVER (PARTITION BY ctx ORDER BY logit DESC, id ROWS UNBOUNDED PRECEDING) AS c, max(p) OVER (PARTITION BY ctx) AS top FROM sm)"
 
 
-def _cand(t, where="vec_id < 150"):
-    return t("embeddings").where(where).select(F.col("vec_id").alias("ctx"), F.posexplode(V.doubles("embedding")).alias("id", "x")).select("ctx", F.col("id").cast("bigint").alias("id"), (F.col("x") * 10).alias("logit"))
+def _cand(t):
+    return t("embeddings").select(F.col("vec_id").alias("ctx"), F.posexplode(V.doubles("embedding")).alias("id", "x")).select("ctx", F.col("id").cast("bigint").alias("id"), (F.col("x") * 10).alias("logit"))
 
 
 def _final(df):
@@ -187,11 +188,11 @@ def _(t):
     return M.xtc(_cand(t), 1.0, 0.05).select("ctx", "id", F.round("p", 6).alias("p"))
 
 
-_HIST = "hist AS (SELECT vec_id AS ctx, i AS pos, (vec_id * 7 + i * i) % 64 AS id FROM embeddings, range(0, 100) r(i) WHERE vec_id < 150)"
+_HIST = "hist AS (SELECT vec_id AS ctx, i AS pos, (vec_id * 7 + i * i) % 64 AS id FROM embeddings, range(0, 100) r(i))"
 
 
-def _history(t, where="vec_id < 150"):
-    return t("embeddings").where(where).select(F.col("vec_id").alias("ctx"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("pos")).withColumn("id", ((F.col("ctx") * 7 + F.col("pos") * F.col("pos")) % 64).cast("bigint"))
+def _history(t):
+    return t("embeddings").select(F.col("vec_id").alias("ctx"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("pos")).withColumn("id", ((F.col("ctx") * 7 + F.col("pos") * F.col("pos")) % 64).cast("bigint"))
 
 
 @query("sample_penalties", "M11 W8", f"WITH {_CAND}, {_HIST}, n AS (SELECT ctx, id, count(*) AS n FROM hist WHERE pos >= 36 GROUP BY 1, 2), k AS (SELECT ctx, id, CASE WHEN n IS NULL THEN logit ELSE CASE WHEN logit <= 0 THEN logit * 1.2 ELSE logit / 1.2 END - n * 0.3 - 0.5 END AS logit FROM cand LEFT JOIN n USING (ctx, id)) SELECT ctx, id, round(exp(logit) / sum(exp(logit)) OVER (PARTITION BY ctx), 6) AS p FROM k")
@@ -201,12 +202,12 @@ def _(t):
 
 @query("sample_dry", "M12")
 def _(t):
-    return _final(M.dry(_cand(t, "TRUE"), _history(t, "TRUE")))
+    return _final(M.dry(_cand(t), _history(t)))
 
 
 @query("sample_draw", "M16")
 def _(t):
-    return M.draw(_cand(t, "TRUE"), 11)
+    return M.draw(_cand(t), 11)
 
 
 @query("sample_listing", "M18", f"WITH {_CAND} SELECT ctx, to_json(list({{'rank': r, 'id': id, 'p': round(p, 6)}} ORDER BY r))::VARCHAR AS top FROM rk WHERE r <= 3 GROUP BY ctx")
@@ -222,10 +223,10 @@ def _(t):
     return M.accepted(rows).select("ctx", "pos", "sampled")
 
 
-@query("reasoning_budget", "M20", "WITH k AS (SELECT conv_id AS ctx, turn * 1000 + i AS pos, CASE WHEN i = 2 THEN '<think>' WHEN i = 9 THEN '</think>' ELSE w END AS piece FROM (SELECT conv_id, turn, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS w FROM conversations) WHERE i < 20), b AS (SELECT *, sum(CASE WHEN piece = '<think>' THEN 1 ELSE 0 END) OVER w AS block, last_value(CASE piece WHEN '<think>' THEN 1 WHEN '</think>' THEN 0 END IGNORE NULLS) OVER w AS open FROM k WINDOW w AS (PARTITION BY ctx ORDER BY pos ROWS UNBOUNDED PRECEDING)), s AS (SELECT *, coalesce(open = 1, FALSE) AND piece <> '<think>' AS in_block FROM b), t AS (SELECT *, sum(in_block::INT) OVER (PARTITION BY ctx, block ORDER BY pos ROWS UNBOUNDED PRECEDING) AS spent FROM s) SELECT ctx, pos, piece, in_block, spent::BIGINT AS spent, in_block AND spent > 4 AS forced FROM t")
+@query("reasoning_budget", "M20", "WITH k AS (SELECT conv_id AS ctx, turn * 100000000 + i AS pos, CASE WHEN i = 2 THEN '<think>' WHEN i = 9 THEN '</think>' ELSE w END AS piece FROM (SELECT conv_id, turn, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS w FROM conversations)), b AS (SELECT *, sum(CASE WHEN piece = '<think>' THEN 1 ELSE 0 END) OVER w AS block, last_value(CASE piece WHEN '<think>' THEN 1 WHEN '</think>' THEN 0 END IGNORE NULLS) OVER w AS open FROM k WINDOW w AS (PARTITION BY ctx ORDER BY pos ROWS UNBOUNDED PRECEDING)), s AS (SELECT *, coalesce(open = 1, FALSE) AND piece <> '<think>' AS in_block FROM b), t AS (SELECT *, sum(in_block::INT) OVER (PARTITION BY ctx, block ORDER BY pos ROWS UNBOUNDED PRECEDING) AS spent FROM s) SELECT ctx, pos, piece, in_block, spent::BIGINT AS spent, in_block AND spent > 4 AS forced FROM t")
 def _(t):
-    k = t("conversations").select(F.col("conv_id").alias("ctx"), "turn", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("i", F.col("i") + 1).where("i < 20")
-    k = k.select("ctx", (F.col("turn") * 1000 + F.col("i")).alias("pos"), F.when(F.col("i") == 2, "<think>").when(F.col("i") == 9, "</think>").otherwise(F.col("w")).alias("piece"))
+    k = t("conversations").select(F.col("conv_id").alias("ctx"), "turn", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("i", F.col("i") + 1)
+    k = k.select("ctx", (F.col("turn") * 100_000_000 + F.col("i")).alias("pos"), F.when(F.col("i") == 2, "<think>").when(F.col("i") == 9, "</think>").otherwise(F.col("w")).alias("piece"))
     return M.within_budget(k, "<think>", "</think>", 4)
 
 
@@ -235,11 +236,11 @@ def _(t):
     return M.mirostat(steps.select("stream", "step", F.col("id").cast("bigint").alias("id"), (F.col("x") * 10).alias("logit")), 2, 3.0)
 
 
-_GRID = "(SELECT vec_id AS m, k // 8 AS i, k % 8 AS j, v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 50))"
+_GRID = "(SELECT vec_id AS m, k // 8 AS i, k % 8 AS j, v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings))"
 
 
 def _grid(t):
-    e = t("embeddings").where("vec_id < 50").select(F.col("vec_id").alias("m"), F.posexplode(V.doubles("embedding")).alias("k", "v"))
+    e = t("embeddings").select(F.col("vec_id").alias("m"), F.posexplode(V.doubles("embedding")).alias("k", "v"))
     return e.select("m", F.floor(F.col("k") / 8).alias("i"), (F.col("k") % 8).cast("bigint").alias("j"), "v")
 
 
@@ -260,16 +261,17 @@ def _(t):
     return V.upscaled(_grid(t), 2).select("m", "i", "j", F.round("v", 6).alias("v"))
 
 
-@query("tensor_by_id", "tensor.mul_mat_id tensor.add_id", "WITH a AS (SELECT vec_id AS i, label % 3 AS id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 60), b AS (SELECT vec_id // 4 AS id, vec_id % 4 AS j, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 12) SELECT i, a.id::BIGINT AS id, j, round(sum(a.v * b.v) + CASE WHEN a.id = 1 THEN j ELSE 0 END, 6) AS v FROM a JOIN b ON a.id = b.id AND a.k = b.k GROUP BY i, a.id, j")
+@query("tensor_by_id", "tensor.mul_mat_id tensor.add_id", "WITH a AS (SELECT vec_id AS i, label % 3 AS id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), b AS (SELECT vec_id // 4 AS id, vec_id % 4 AS j, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 12) SELECT i, a.id::BIGINT AS id, j, round(sum(a.v * b.v) + CASE WHEN a.id = 1 THEN j ELSE 0 END, 6) AS v FROM a JOIN b ON a.id = b.id AND a.k = b.k GROUP BY i, a.id, j")
 def _(t):
-    e = lambda n: t("embeddings").where(f"vec_id < {n}").select("vec_id", "label", F.posexplode(V.doubles("embedding")).alias("k", "v"))
-    a = e(60).select(F.col("vec_id").alias("i"), (F.col("label") % 3).cast("bigint").alias("id"), "k", "v")
-    b = e(12).select(F.floor(F.col("vec_id") / 4).alias("id"), (F.col("vec_id") % 4).alias("j"), "k", "v")
+    """Every vector by one of three 4 by 64 matrices, which are the first twelve vectors."""
+    e = t("embeddings").select("vec_id", "label", F.posexplode(V.doubles("embedding")).alias("k", "v"))
+    a = e.select(F.col("vec_id").alias("i"), (F.col("label") % 3).cast("bigint").alias("id"), "k", "v")
+    b = e.where("vec_id < 12").select(F.floor(F.col("vec_id") / 4).alias("id"), (F.col("vec_id") % 4).alias("j"), "k", "v")
     bias = t.spark.range(4).select(F.lit(1).cast("bigint").alias("id"), F.col("id").alias("j"), F.col("id").cast("double").alias("w"))
     return V.add_by_id(V.matmul_by_id(a, b), bias).select("i", "id", "j", F.round("v", 6).alias("v"))
 
 
-@query("tensor_solve_tri", "tensor.solve_tri", "SELECT vec_id, list_transform([embedding[1]::DOUBLE / 2, (embedding[2]::DOUBLE - embedding[1]::DOUBLE / 2) / 3, (embedding[3]::DOUBLE - 4 * embedding[1]::DOUBLE / 2 - 5 * (embedding[2]::DOUBLE - embedding[1]::DOUBLE / 2) / 3) / 6], lambda x: round(x, 6) + 0.0) AS x FROM embeddings WHERE vec_id < 100")
+@query("tensor_solve_tri", "tensor.solve_tri", "SELECT vec_id, list_transform([embedding[1]::DOUBLE / 2, (embedding[2]::DOUBLE - embedding[1]::DOUBLE / 2) / 3, (embedding[3]::DOUBLE - 4 * embedding[1]::DOUBLE / 2 - 5 * (embedding[2]::DOUBLE - embedding[1]::DOUBLE / 2) / 3) / 6], lambda x: round(x, 6) + 0.0) AS x FROM embeddings")
 def _(t):
     rows = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in ((2, 0, 0), (1, 3, 0), (4, 5, 6))))
-    return t("embeddings").where("vec_id < 100").select("vec_id", _rounded(V.solve_lower(rows, F.slice(V.doubles("embedding"), 1, 3))).alias("x"))
+    return t("embeddings").select("vec_id", _rounded(V.solve_lower(rows, F.slice(V.doubles("embedding"), 1, 3))).alias("x"))

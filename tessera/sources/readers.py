@@ -7,6 +7,7 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +39,11 @@ def json_arrays(spark: SparkSession, paths: list[str], schema: T.StructType) ->
     return spark.read.schema(schema).option("multiLine", True).json(paths)
 
 
-def csv(spark: SparkSession, path, schema: T.StructType | None = None, required: list[str] = (), not_empty: bool = False) -> DataFrame:
-    """With a header, a byte order mark or not; all strings unless a schema names kinds, which are tried, not forced."""
-    df = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').csv(path)
+def csv(spark: SparkSession, path, schema: T.StructType | None = None, required: list[str] = (), not_empty: bool = False, line_breaks: bool = False) -> DataFrame:
+    """With a header, a byte order mark or not; all strings unless a schema names kinds, which are tried, not forced.
+
+    line_breaks: quoted cells may hold line breaks; such files can't be split, so it is off unless asked for."""
+    df = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", line_breaks).option("escape", '"').csv(path)
     df = df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns})
     _required(df, list(required), set(df.columns))
     if not_empty and df.isEmpty():
@@ -208,3 +211,23 @@ def load_any(spark: SparkSession, path: str, schema: T.StructType, table: str |
         df = sqlite(spark, path, table or sqlite_tables(path)[0])
         return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
     return {"json": lambda: json_arrays(spark, [path], schema), "jsonl": lambda: json_lines(spark, path, schema), "csv": lambda: csv(spark, path, schema)}[kind]()
+
+
+def sheet_rows(files: DataFrame, columns: list[str]) -> DataFrame:
+    """K8: the rows of workbooks(content) that the sheet writer made, as text, and whether each is highlighted."""
+    import zipfile
+    from xml.etree import ElementTree
+
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def op(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    root = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+                rows = [([c.findtext(f"{ns}is/{ns}t") or "" for c in r], r[0].get("s") == "1") for r in root.iter(f"{ns}row")]
+                at = [rows[0][0].index(c) for c in columns]
+                cols = [pa.array([cells[i] for cells, _ in rows[1:]], pa.string()) for i in at]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([m for _, m in rows[1:]], pa.bool_())], [*columns, "highlight"])
+
+    return files.select("content").mapInArrow(op, ", ".join(f"`{c}` string" for c in columns) + ", highlight boolean")

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a sheet may have, its header included. A fixed value of the format.
+SHEET_ROWS = 1_048_576
+_MAIN, _RELS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
 
 def append(df: DataFrame, path: str) -> None:
     """K1, K13, K14."""
@@ -81,3 +90,50 @@ def embeddings_as(df: DataFrame, style: str) -> DataFrame:
     if style == "json":
         return df.select("vec_id", F.to_json(F.struct(F.lit("embedding").alias("object"), F.col("vec_id").alias("index"), "embedding")).alias("text"))
     return df.select("vec_id", F.concat_ws(" ", F.transform("embedding", lambda x: x.cast("string"))).alias("text"))
+
+
+def _sheet(rows: list[tuple[list[str], bool]]) -> bytes:
+    """A workbook of one sheet: text cells, highlighted rows filled yellow, the first row bold and frozen."""
+    body = []
+    for i, (cells, marked) in enumerate(rows, 1):
+        style = 2 if i == 1 else 1 if marked else 0
+        body.append(f'<row r="{i}">' + "".join(f'<c s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(_allowed(c))}</t></is></c>' for c in cells) + "</row>")
+    package = "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{_RELS}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_RELS}"><sheets><sheet name="report" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{_RELS}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{_RELS}/styles" Target="styles.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet xmlns="{_MAIN}"><fonts count="2"><font/><font><b/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFFF00"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="3"><xf/><xf fillId="2" applyFill="1"/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>{"".join(body)}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+    return out.getvalue()
+
+
+def _allowed(text: str) -> str:
+    """Characters that XML can't hold become U+FFFD."""
+    return "".join(c if c in "\t\n\r" or " " <= c and c not in "\ufffe\uffff" and not "\ud800" <= c <= "\udfff" else "\ufffd" for c in text)
+
+
+def sheets(df: DataFrame, keys: list[str], order: list[str], highlight: str) -> DataFrame:
+    """K8: (keys, content): a workbook per key, rows in an order, those where `highlight` is true filled; that column isn't shown.
+
+    A report by nature: a key with more rows than a sheet may have is refused before anything is gathered."""
+    over = df.groupBy(*keys).count().where(F.col("count") >= SHEET_ROWS).limit(1).collect()
+    if over:
+        raise ValueError(f"{over[0]} has more rows than a sheet holds")
+    shown = [c for c in df.columns if c != highlight]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", content binary"
+
+    def op(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        cells = pdf[shown].astype(object).where(pdf[shown].notna(), "")
+        rows = [(shown, False)] + [([str(v) for v in r], bool(m)) for r, m in zip(cells.itertuples(index=False), pdf[highlight].fillna(False), strict=True)]
+        return pd.DataFrame([(*key, _sheet(rows))], columns=[*keys, "content"])
+
+    return df.groupBy(*keys).applyInPandas(op, schema)

@@ -30,7 +30,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run(df: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """All that is there now through the stream, into a table; complete and update results are kept as the last batch gives them."""
+    """All that is there now through the stream, into a table; complete and update results are kept as the last batch gives them.
+
+    In complete mode state grows with the windows; a stream that goes on for ever is run in append mode, where a
+    window leaves the state once the watermark has passed it."""
     spark = df.sparkSession
     out, state = scratch.path(spark, name), scratch.path(spark, f"{name}-state")
 
@@ -72,29 +75,43 @@ def answered(requests: DataFrame, results: DataFrame, within: str) -> DataFrame:
     return left.join(right, F.expr(on)).withColumn("seconds", F.unix_micros("res_ts") / 1e6 - F.unix_micros("req_ts") / 1e6)
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """partial(task_id, idx, kind, text): texts of a task in the order of idx, given once its final part has come;
-    a cancelled task gives nothing. State: the parts so far, per task."""
+def gathered(df: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
+    """partial(task_id, idx, kind, text[, ts]): texts of a task in the order of idx, given once its final part has come;
+    a cancelled task gives nothing. State: the parts so far, per task.
+
+    With a time column ts, state ends when the watermark is keep_ms past a task's last part, so neither a task that never ends nor
+    the mark of one that has, by which late parts are known, stays for ever. Without one there is nothing to tell when."""
+    timed = "ts" in df.columns
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, last_at = list(zip(*state.get, strict=True)) if state.exists else [], 0
         for pdf in parts:
             held += list(zip(pdf["idx"].tolist(), pdf["kind"].tolist(), pdf["text"].tolist(), strict=True))
+            if timed:
+                last_at = max(last_at, int(pdf["ts"].max().timestamp() * 1000))
         kinds = {k for _, k, _ in held}
+        keep, out = held, None
         if "cancel" in kinds or "done" in kinds:
-            state.update(([-1], ["done"], [""]))
+            keep = [(-1, "done", "")]
         elif "final" in kinds:
             last = min(i for i, k, _ in held if k == "final")
             got = {i: t for i, _, t in held if i <= last}
             if len(got) == last + 1:
-                state.update(([-1], ["done"], [""]))
-                yield pd.DataFrame({"task_id": [key[0]], "n_parts": [len(got)], "text": ["".join(got[i] for i in sorted(got))]})
-            else:
-                state.update(tuple(map(list, zip(*held, strict=True))))
-        elif held:
-            state.update(tuple(map(list, zip(*held, strict=True))))
-
-    return df.groupBy("task_id").applyInPandasWithState(step, "task_id long, n_parts long, text string", "idx array<long>, kind array<string>, text array<string>", "append", GroupStateTimeout.NoTimeout)
+                keep = [(-1, "done", "")]
+                out = pd.DataFrame({"task_id": [key[0]], "n_parts": [len(got)], "text": ["".join(got[i] for i in sorted(got))]})
+        if keep:
+            state.update(tuple(map(list, zip(*keep, strict=True))))
+            if timed:
+                state.setTimeoutTimestamp(max(last_at, state.getCurrentWatermarkMs()) + keep_ms)
+        if out is not None:
+            yield out
+
+    rows = df.withWatermark("ts", LATE) if timed else df
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return rows.groupBy("task_id").applyInPandasWithState(step, "task_id long, n_parts long, text string", "idx array<long>, kind array<string>, text array<string>", "append", timeout)
 
 
 def slot_queue(df: DataFrame, slots: int = 1) -> DataFrame:

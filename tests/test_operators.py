@@ -84,3 +84,66 @@ def test_queue_over_batches(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/q")
     got = {r.task_id: r.waited for r in X.run(X.slot_queue(stream, 1)).collect()}
     assert got == {i: i * 6.0 for i in range(6)}
+
+
+def _tree(spark, rows):
+    return spark.createDataFrame([(i, 1, p, t, "user", "") for t, (i, p) in enumerate(rows)], "id string, convId long, parent string, timestamp long, role string, content string")
+
+
+def test_deep_tree(spark):
+    n = 10_000
+    m = _tree(spark, [(f"m{i}", f"m{i - 1}" if i else None) for i in range(n)]).cache()
+    got = R.path(spark, m, f"m{n - 1}").select("id").collect()
+    assert [r.id for r in got] == [f"m{i}" for i in range(n)]
+    assert R.paths(m, spark).where("up = 9999 and id = 'm0'").count() == 1
+    assert {r.leaf for r in R.leaf_of(spark, m, m.select("id")).select("leaf").distinct().collect()} == {f"m{n - 1}"}
+    below = R.descendants(spark, m, m.where("id = 'm5'").select("id"))
+    assert below.count() == n - 6 and below.agg(F.max("depth")).first()[0] == n - 6
+
+
+def test_odd_trees(spark):
+    m = _tree(spark, [("it's", None), ("b", "it's"), ("c", "gone"), ("it's", None)])
+    assert [r.id for r in R.path(spark, m.distinct(), "it's").collect()][0] == "it's"
+    assert [r.id for r in R.path(spark, m.where("id <> \"it's\""), "c").collect()] == ["c"]
+    assert R.path(spark, m.limit(0), "x", 1).count() == 0 == R.paths(m.limit(0), spark).count()
+    assert R.path(spark, m, "nowhere").count() == 0
+    ring = _tree(spark, [("d", "c"), ("a", "c"), ("b", "a"), ("c", "b")])
+    for run in (lambda: R.paths(ring, spark), lambda: R.leaf_of(spark, ring, ring.select("id")), lambda: R.path(spark, ring, "d")):
+        with pytest.raises(R.CycleError):
+            run().collect()
+
+
+def test_reachable_over_levels_and_cycles(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 0), (0, 30), (5, None)], "child long, parent long")
+    got = {r.node: r.depth for r in C.reachable(spark, edges, 0).collect()}
+    assert got == {i: min(i, i - 29 if i >= 30 else i) for i in range(41)}
+
+
+def test_escapes_take_each_mark_once(spark):
+    text = ["a\x01b", r"\\n", r"\\\n", "\\", r"\x41\x4", r"\q", "", None, r"\xff"]
+    got = [r.e for r in spark.createDataFrame([(x,) for x in text], "t string").select(T.process_escapes(F.col("t")).alias("e")).collect()]
+    assert got == ["a\x01b", r"\n", "\\\n", "\\", r"A\x4", r"\q", "", None, r"\xff"]
+
+
+def test_override_reads_any_bigint(spark):
+    rows = spark.createDataFrame([("k=int:1234567890123",), ("k=int:-5",), ("k=int:1.5",), ("k=int:99999999999999999999",)], "t string")
+    assert [r.o.as_int for r in rows.select(T.override(F.col("t")).alias("o")).collect()] == [1234567890123, -5, None, None]
+
+
+def test_histogram_with_an_outlier(spark):
+    got = C.histogram(spark.createDataFrame([(0.5,), (25_000.2,), (25_000.4,)], "v double"), "v")
+    assert got.count() == 25_001 and {r.bin: r.n for r in got.where("n > 0").collect()} == {0: 1, 25_000: 2}
+
+
+def test_packing_goes_by_key(spark):
+    rows = [(k, i, 4) for k in (None, 1, 2) for i in range(10)]
+    got = B.pack(spark.createDataFrame(rows, "k long, i long, v long"), "v", 12, 9, "k", "i").collect()
+    assert sorted((str(r.k), r.i, r.batch) for r in got) == sorted((str(k), i, i // 3) for k, i, _ in rows)
+
+
+def test_gathered_state_ends(spark, tmp_path):
+    parts = [(1, 0, "partial", "a", 0), (1, 1, "final", "b", 1), (2, 0, "partial", "never", 0), (3, 0, "final", "c", 100_000)]
+    for i, p in enumerate([*parts, (4, 0, "final", "d", 200_000)]):
+        spark.createDataFrame([p], "task_id long, idx long, kind string, text string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s").coalesce(1).write.parquet(f"{tmp_path}/p{i}/x")
+    stream = spark.readStream.schema("task_id long, idx long, kind string, text string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
+    assert {r.task_id: r.text for r in X.run(X.gathered(stream)).collect()} == {1: "ab", 3: "c", 4: "d"}

@@ -110,3 +110,19 @@ def test_solve(spark):
     b = np.arange(6.0)
     row = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<array<double>>, b array<double>").select(V.solve_lower(F.col("a"), F.col("b")).alias("x")).first()
     assert np.allclose(a @ np.array(row.x), b)
+
+
+def test_brain_floats_round_to_the_nearest():
+    """All upper halves with every kind of lower half: halves go to even, NaN stays NaN."""
+    from tessera.functions import codecs as Q
+
+    upper = np.arange(65_536, dtype=np.uint32) << 16
+    for lower in (0, 1, 0x7FFF, 0x8000, 0x8001, 0xFFFF):
+        x = (upper | lower).view(np.float32).reshape(-1, 32)
+        back = Q.decode("bf16", Q.encode("bf16", x), 32).ravel()
+        for bits, got in zip((upper | lower).tolist(), back.view(np.uint32).tolist(), strict=True):
+            top, rest = bits >> 16, bits & 0xFFFF
+            if top & 0x7F80 == 0x7F80 and (top & 0x7F or rest):
+                assert got >> 16 & 0x7F80 == 0x7F80 and got >> 16 & 0x7F
+            else:
+                assert got == (top + (rest > 0x8000 or (rest == 0x8000 and top & 1))) << 16

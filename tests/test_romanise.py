@@ -33,3 +33,8 @@ def test_endings_in_both_forms(spark):
 def test_lexicon():
     assert R.corrected("Men aur ali, HAM hepatitis si") == "Mein aur Ali, Hum hepatitis C"
     assert R.letters("दुः ५।") == "du 5."
+
+
+@pytest.mark.parametrize(("given", "expected"), [*R.LISTED.items(), *R.LISTED_NAMES.items()])
+def test_listed_forms(given, expected):
+    assert R.corrected(given) == expected

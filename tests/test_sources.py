@@ -148,3 +148,14 @@ def test_open_blocks_and_series(spark, tmp_path):
     df = spark.createDataFrame(rows, "loc string, n long, value string")
     got = S.open_blocks(df, r"^Function: (\w+)", r"^(\w+): (\d+)", ["loc"], "n").select("block", "content").collect()
     assert sorted(map(tuple, got)) == [("f", "5"), ("g", "9")]
+
+
+def test_sheets(spark):
+    from tessera.sources import readers as S
+    from tessera.sources import writers as W
+
+    df = spark.createDataFrame([("g", 2, "a<b & \"c\"\n\x01", True), ("g", 1, None, None), ("h", 1, "é漢", False)], "k string, i long, t string, mark boolean")
+    files = W.sheets(df, ["k"], ["i"], "mark")
+    got = sorted(tuple(r) for r in S.sheet_rows(files, ["k", "i", "t"]).collect())
+    assert got == [("g", "1", "", False), ("g", "2", 'a<b & "c"\n\ufffd', True), ("h", "1", "é漢", False)]
+    assert W.sheets(df.limit(0), ["k"], ["i"], "mark").count() == 0
