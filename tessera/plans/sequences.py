@@ -182,9 +182,9 @@ def _messages(t):
     return t("conversations").select(k(0).alias("id"), F.col("conv_id").alias("convId"), parent.alias("parent"), F.col("turn").alias("timestamp"), "role", F.col("text").alias("content"))
 
 
-@query("conv_path", "R2 O6 J13", f"WITH RECURSIVE {_MSG}, p(id, parent, up) AS (SELECT id, parent, 0 FROM msg WHERE id = '7-3' UNION ALL SELECT m.id, m.parent, up + 1 FROM p JOIN msg m ON m.id = p.parent) SELECT p.id, timestamp, role FROM p JOIN msg ON msg.id = p.id")
+@query("conv_path", "R2 O6 J13", f"WITH RECURSIVE {_MSG}, p(id, parent, up) AS (SELECT id, parent, 0 FROM msg WHERE id = '19-5' UNION ALL SELECT m.id, m.parent, up + 1 FROM p JOIN msg m ON m.id = p.parent) SELECT p.id, timestamp, role FROM p JOIN msg ON msg.id = p.id")
 def _(t):
-    return R.path(t.spark, _messages(t), "7-3").select("id", "timestamp", "role")
+    return R.path(t.spark, _messages(t), "19-5").select("id", "timestamp", "role")
 
 
 @query("conv_latest_path", "R2", f"WITH RECURSIVE {_MSG}, p(id, parent, up) AS (SELECT * FROM (SELECT id, parent, 0 FROM msg WHERE \"convId\" = 9 ORDER BY timestamp DESC, id LIMIT 1) UNION ALL SELECT m.id, m.parent, up + 1 FROM p JOIN msg m ON m.id = p.parent) SELECT p.id, timestamp FROM p JOIN msg ON msg.id = p.id")
@@ -234,9 +234,9 @@ def _(t):
     return R.delete_reparenting(m, m.where("timestamp = 1").select("id")).select("id", "parent")
 
 
-@query("conv_fork", "R7", f"WITH RECURSIVE {_MSG}, p(id, parent) AS (SELECT id, parent FROM msg WHERE id = '7-3' UNION ALL SELECT m.id, m.parent FROM p JOIN msg m ON m.id = p.parent) SELECT id || '@900' AS id, 900::BIGINT AS \"convId\", parent || '@900' AS parent FROM p")
+@query("conv_fork", "R7", f"WITH RECURSIVE {_MSG}, p(id, parent) AS (SELECT id, parent FROM msg WHERE id = '19-5' UNION ALL SELECT m.id, m.parent FROM p JOIN msg m ON m.id = p.parent) SELECT id || '@900' AS id, 900::BIGINT AS \"convId\", parent || '@900' AS parent FROM p")
 def _(t):
-    return R.fork(t.spark, _messages(t), "7-3", 900).select("id", "convId", "parent")
+    return R.fork(t.spark, _messages(t), "19-5", 900).select("id", "convId", "parent")
 
 
 @query("conv_import", "R8 K16", f"WITH {_MSG} SELECT count(*) FILTER (WHERE timestamp >= 2) AS imported, count(*) FILTER (WHERE timestamp = 1) AS skipped FROM msg WHERE timestamp >= 1")
