@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import table
+from tessera.llm.shared import packed, table
 
 #: At most so many labelled documents are fitted on: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -164,10 +164,15 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Fit on at most `sample` labelled rows outside the held-out fold; conflicting labels of an id: the smallest."""
+    """Fit on at most `sample` labelled documents outside the held-out fold.
+
+    Of an id with conflicting labels the smallest counts, of one with several texts the smallest text, so the driver gets one row for
+    each of the sampled ids and reruns agree. Without labelled rows, or with labels of one kind only, the forest gives one score
+    to all."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # bounded by `sample`
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def op(batches):
         for b in batches:
@@ -175,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.float64()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     got = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(op, "doc_id long, quality double, x array<double>").toPandas()
-    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id") if len(got) else got
+    got = got.sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(STATS))
     return fit(x, (got["quality"].to_numpy(float) > 0).astype(float))
 
@@ -183,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 def scores(docs: DataFrame, forest: Forest, columns: list[str] | None = None) -> DataFrame:
     """docs(doc_id, text, ...) with held_out, score and predicted; columns: which of docs stay (doc_id).
 
-    Null and empty texts get the score that the trees give to statistics of zero."""
+    Null and empty texts get the score that the trees give to statistics of zero. Rows that repeat are scored each, texts of
+    any length whole; an empty table gives an empty result."""
     keep = columns or ["doc_id"]
     broadcast = docs.sparkSession.sparkContext.broadcast(forest)
     kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
@@ -204,6 +210,7 @@ def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts 0 go."""
+    """Documents that the classifier predicts 0 go. All columns of docs are kept, whatever their names; repeated rows are judged
+    each; an empty table stays empty."""
     forest = train(docs, table(spark, sf_dir, "labels"))
-    return scores(docs, forest, docs.columns).where("predicted = 1").select(*docs.columns)
+    return scores(packed(docs, "doc_id", "text"), forest, ["row", "doc_id"]).where("predicted = 1").select("row.*")

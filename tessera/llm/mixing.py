@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD, dropped, shards, stored, table
+from tessera.llm.shared import WORD, dropped, packed, row_keys, shards, stored, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -56,8 +56,8 @@ def _running(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.join(before.drop("in_range"), on).withColumn("cum", F.col("before") + own).drop("before", "range")
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, passes, taken) for each row of docs(doc_id, text, source).
+def mix(docs: DataFrame, seed: str = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, passes, taken) for each row of docs(doc_id, text, source); keys: columns to give back too.
 
     Null texts have size 0, null is a source of its own. Documents of size 0 are never served. The order
     of a source is that of the MD5 of id and seed, so reruns agree. Rows alike in id and size stand
@@ -65,13 +65,13 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     result. Extra columns are left aside."""
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
-    narrow = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("h"))
+    narrow = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("h"), *keys)
     sizes = stored(narrow, "sizes")
     goal = stored(targets(sizes).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "targets")
     total = goal.agg(F.sum("source_size").alias("s")).first()["s"] or 0
     ranges = shards(spark, sizes.count(), RANGE)
     salted = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * ranges, 32).alias("range")
-    both = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select("doc_id", "size", "h", "sid", "source_size", "target", salted)
+    both = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select("doc_id", "size", "h", "sid", "source_size", "target", salted, *keys)
     queue = stored(_running(both, ["sid"], ["h", "doc_id", "size"]), "queue")
     dropped(sizes)
 
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
         # The first item that doesn't fit; whatever comes before it is taken.
         taken = lambda k: F.struct(_finish(F.lit(k)), F.col("h"), F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), F.lit(k)) < F.struct(F.lit(last["finish"]), F.lit(last["h"]), F.lit(last["doc_id"] if last["doc_id"] is not None else -(2**63)).cast("long"), F.lit(last["pass"]))
         passes = F.when(F.col("size") > 0, sum((taken(k).cast("int") for k in range(REPEATS)), F.lit(0))).otherwise(0)
-    return queue.select("doc_id", "size", "source_size", "target", passes.alias("passes")).withColumn("taken", F.col("size") * F.col("passes"))
+    return queue.select("doc_id", "size", "source_size", "target", passes.alias("passes"), *keys).withColumn("taken", F.col("size") * F.col("passes"))
 
 
 def _finish(k):
@@ -122,10 +122,13 @@ SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(n.passes, 0
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those it doesn't take, or that have no words, go."""
-    rest = mix(docs).where("passes > 0").groupBy("doc_id", "size").agg(F.max("passes").alias("passes"))
-    rest = rest.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.sequence(F.lit(1), "passes").alias("mix_passes"))
-    sized = docs.withColumn("mix_words", words())
+    """Each row as often as the mix takes it; those it doesn't take, or that have no words, go.
+
+    A row is known by the file and place it is read from, so rows that repeat an id, or all of a row, are served each by its own passes. All
+    columns of docs are kept, whatever their names; an empty table stays empty."""
+    docs, (file, at) = row_keys(docs, "rows")
+    keyed = packed(docs, "doc_id", "text", "source", file.alias("row_file"), at.alias("row_at"))
+    passes = mix(keyed, keys=("row_file", "row_at")).where("passes > 0").select("row_file", "row_at", F.sequence(F.lit(1), "passes").alias("passes"))
     # The hint keeps texts from being sorted, and the plan the same whether ids are few or many.
-    out = sized.join(rest.hint("shuffle_hash"), sized["doc_id"].eqNullSafe(rest["mix_id"]) & (F.col("mix_words") == F.col("mix_size")))
-    return out.withColumn("mix_pass", F.explode("mix_passes")).select(*(out[c] for c in docs.columns))
+    out = keyed.select("row", "row_file", "row_at").join(passes.hint("shuffle_hash"), ["row_file", "row_at"])
+    return out.select("row", F.explode("passes").alias("pass")).select("row.*")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,30 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is missing (tests on one machine), a temporary folder is made and set."""
+    Where that setting is missing, a temporary folder is made and set on one machine (as in tests); a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}/{name}"
+    path = f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}/{name}"
+    _MADE.append(path)
+    return path
+
+
+#: Paths that scratch() gave and nothing has deleted.
+_MADE: list[str] = []
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Deletes, at its end, what was made in scratch folders meanwhile, but for the tables put into the list that it gives."""
+    before, keep = set(_MADE), []
+    yield keep
+    kept = {getattr(df, "_tessera_path", None) for df in keep}
+    for path in [p for p in _MADE if p not in before and p not in kept]:
+        _delete(spark, path)
 
 
 #: Makes Spark delete a query's shuffle files when it ends, rather than when the driver next collects garbage.
@@ -44,11 +64,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete what stored() wrote, once no later step reads it."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p.getParent(), True)
+    if path := getattr(df, "_tessera_path", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as one column `row` and the columns named, so that no other column's name can clash with those an operator adds."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *columns)
+
+
+def row_keys(docs: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """(docs, two expressions that tell its rows apart): the file and the place in it that a row is read from. Rows that
+    don't come straight from files are written first."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at["row_index"])
+    except AnalysisException:
+        docs = stored(docs, name)
+        at = docs.metadataColumn("_metadata")
+    return docs, [F.xxhash64(at["file_path"]), at["row_index"]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -72,3 +72,50 @@ def test_stage_rejects_and_keeps(spark, sf_dir):
     assert 0 < len(kept) < docs.count()
     assert np.mean([d in kept for d, q in good.items() if q]) > 0.97
     assert np.mean([d in kept for d, q in good.items() if not q]) < 0.3
+
+
+def plain_tree(x, y, depth, raw):
+    """One Newton tree by trying every cut between quantiles, node by node; the leaf value of each row."""
+    p = 1 / (1 + np.exp(-raw))
+    g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, C.BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    gain = lambda a, b: a * a / (b + C.L2)
+
+    def grow(rows, d):
+        if d:
+            best = (1e-6, None)
+            for j, cuts in enumerate(edges):
+                for c in cuts:
+                    left = x[rows, j] <= c
+                    if C.LEAF <= left.sum() <= len(rows) - C.LEAF:
+                        a, b = rows[left], rows[~left]
+                        top = gain(g[a].sum(), h[a].sum()) + gain(g[b].sum(), h[b].sum()) - gain(g[rows].sum(), h[rows].sum())
+                        if top > best[0] + 1e-12:
+                            best = (top, left)
+            if best[1] is not None:
+                return {**grow(rows[best[1]], d - 1), **grow(rows[~best[1]], d - 1)}
+        return dict.fromkeys(rows.tolist(), C.RATE * g[rows].sum() / (h[rows].sum() + C.L2))
+
+    got = grow(np.arange(len(x)), depth)
+    return np.array([got[i] for i in range(len(x))])
+
+
+def test_fit_against_brute_force():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(400, 5)), 1)
+    x[:, 4] = 1.0
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=400) * 0.3 > 0).astype(float)
+    forest = C.fit(x, y, trees=6, depth=3)
+    raw = np.full(400, np.log((y.sum() + 1) / (402 - y.sum() - 1)))
+    for _ in range(6):
+        raw = raw + plain_tree(x, y, 3, raw)
+    assert np.allclose(forest.score(x), 1 / (1 + np.exp(-raw)), atol=1e-9)
+
+
+def test_train_takes_one_row_per_id(spark):
+    text = lambda i: f"{'good words here ' if i % 2 else '%% $$ ## '}" * (i % 7 + 3)
+    one = documents(spark, [(i, text(i)) for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    many = one.unionByName(one.where("doc_id < 50")).unionByName(one.where("doc_id = 7").withColumn("text", F.lit("zzz")))
+    a, b = C.train(one, labels), C.train(many.repartition(9), labels)
+    assert all(np.array_equal(getattr(a, f), getattr(b, f)) for f in ("feature", "cut", "value"))

@@ -60,3 +60,14 @@ def test_edge_cases(spark):
     assert out.count() == sum(r.passes for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(docs.where("doc_id in (100, 101)")).collect()} == {0}
+
+
+def test_repeated_rows_are_served_each(spark):
+    """Rows that share an id, or everything, come as often as the mix serves them, whether they stand in files or not."""
+    rows = [(7, "w " * 20, "en", "a", 0)] * 30 + [(7, "v " * 20, "en", "a", 0)] * 10 + [(None, "u " * 20, "en", "b", 0)] * 10 + [(i, "x " * 20, "en", "c", 0) for i in range(100, 110)]
+    docs = documents(spark, rows)
+    want = sum(r.passes for r in mixing.mix(docs).collect())
+    out = mixing.stage(spark, docs, "").groupBy("source").count().collect()
+    assert sum(r["count"] for r in out) == want == 90
+    served = {r.source_size: r.target for r in mixing.mix(docs).collect()}
+    assert len(out) == 3 and served
