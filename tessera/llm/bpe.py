@@ -1,9 +1,9 @@
 """Byte-level BPE, with a hierarchical-bitmap rank queue.
 
 Merging takes, again and again, the leftmost pair of least rank. A queue keeps a bucket of positions
-per rank; a bitmap marks the buckets that hold something, and a bitmap over its words the words that aren't zero, and so
-on up to one word, so the next rank is a find-first-set per level. Positions are nodes of a linked
-list of symbols. A merge leaves stale entries in buckets behind; they are skipped when popped. So
+per rank; a bitmap marks the buckets that hold something, and a bitmap over its words the words that aren't zero, so the next rank
+is a find-first-set per level. There are two levels, and words have as many bits as the square root of the number of
+ranks asks for, so any vocabulary fits. Positions are nodes of a linked list of symbols. A merge leaves stale entries in buckets behind; they are skipped when popped. So
 a pre-token of n bytes takes about n steps times a small constant, however long it is.
 """
 
@@ -13,7 +13,7 @@ import base64
 import hashlib
 import uuid
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import pyarrow as pa
 import regex
@@ -25,50 +25,7 @@ from tessera.llm.shared import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens up to this many characters are remembered, in two generations of CACHED at most in each worker.
-CACHE_CHARS, CACHED = 48, 250_000
-
-
-_BITS = tuple(1 << i for i in range(256))
-
-
-class RankQueue:
-    """Positions by rank; ranks are below `size`. pop() gives the smallest rank's smallest position.
-
-    Words have 256 bits, so two levels serve 65,536 ranks, and `top` is one word of the second."""
-
-    def __init__(self, size: int):
-        if size > 1 << 16:
-            raise ValueError("two levels serve 65,536 ranks")
-        self.words = [0] * (-(-size // 256))
-        self.top = 0
-        self.buckets: list[list[int]] = [[] for _ in range(size)]
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-        else:
-            bucket.append(position)
-            word = rank >> 8
-            self.words[word] |= _BITS[rank & 255]
-            self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        word = (top & -top).bit_length() - 1
-        bits = self.words[word]
-        low = bits & -bits
-        rank = word << 8 | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        bits ^= low
-        self.words[word] = bits
-        if not bits:
-            self.top = top ^ (1 << word)
-        return rank, bucket.pop()
+CACHE_CHARS, CACHED = 48, 600_000
 
 
 class Bpe(dict):
@@ -87,8 +44,12 @@ class Bpe(dict):
         self.digits = [b"%d" % i for i in range(self.size)]
         # White space as the Unicode property has it; Python's own \s has four control characters more.
         self.find = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.queue = RankQueue(self.size)  # empty again after each merge
-        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        # The queue, empty again after each merge: positions by rank, a bit for each rank that has some, in words of 2 ** shift bits.
+        self.shift = max(8, ((self.size - 1).bit_length() + 1) // 2)
+        self.buckets: list[list[int]] = [[] for _ in range(self.size)]
+        self.words = [0] * ((self.size >> self.shift) + 1)
+        self.bit = [1 << i for i in range(max(1 << self.shift, len(self.words)))]
+        self.pairs = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
 
     def __missing__(self, piece: str) -> list[int]:
         ids = self.old.get(piece) or self.merge(piece.encode())
@@ -108,23 +69,23 @@ class Bpe(dict):
         after = list(range(1, n + 1))  # where a node's symbol ends: the next node
         before = list(range(-1, n - 1))
         pairs, get = self.pairs, ranks.get
-        pair = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # the rank of a node's symbol with the next one, -1 if none
+        pair = [pairs[a][b] for a, b in pairwise(piece)]  # the rank of a node's symbol with the next one, -1 if none
         pair.append(-1)
         # The queue's push and pop, written out: as calls they take half of the time of a short pre-token.
-        words, buckets, top = self.queue.words, self.queue.buckets, 0
+        words, buckets, bit, shift, top = self.words, self.buckets, self.bit, self.shift, 0
+        low_bits = (1 << shift) - 1
         for i, rank in enumerate(pair):
             if rank >= 0:
-                if buckets[rank]:
-                    buckets[rank].append(i)  # ascending, so a heap
-                else:
-                    buckets[rank].append(i)
-                    words[rank >> 8] |= _BITS[rank & 255]
-                    top |= _BITS[rank >> 8]
+                bucket = buckets[rank]
+                if not bucket:
+                    words[rank >> shift] |= bit[rank & low_bits]
+                    top |= bit[rank >> shift]
+                bucket.append(i)  # ascending, so a heap
         while top:
             word = (top & -top).bit_length() - 1
             bits = words[word]
             low = bits & -bits
-            rank = word << 8 | low.bit_length() - 1
+            rank = word << shift | low.bit_length() - 1
             bucket = buckets[rank]
             if len(bucket) > 1:
                 i = heappop(bucket)
@@ -132,7 +93,7 @@ class Bpe(dict):
                 i = bucket.pop()
                 words[word] = bits = bits ^ low
                 if not bits:
-                    top ^= _BITS[word]
+                    top ^= bit[word]
             if pair[i] != rank:
                 continue  # stale: merged away, or its neighbour has changed
             gone = after[i]
@@ -142,24 +103,26 @@ class Bpe(dict):
                 before[end] = i
                 pair[i] = new = get(piece[i : after[end]], -1)
                 if new >= 0:
-                    if buckets[new]:
-                        heappush(buckets[new], i)
+                    bucket = buckets[new]
+                    if bucket:
+                        heappush(bucket, i)
                     else:
-                        buckets[new].append(i)
-                        words[new >> 8] |= _BITS[new & 255]
-                        top |= _BITS[new >> 8]
+                        bucket.append(i)
+                        words[new >> shift] |= bit[new & low_bits]
+                        top |= bit[new >> shift]
             else:
                 pair[i] = -1
             left = before[i]
             if left >= 0 and (new := get(piece[left:end], -1)) != pair[left]:
                 pair[left] = new
                 if new >= 0:
-                    if buckets[new]:
-                        heappush(buckets[new], left)
+                    bucket = buckets[new]
+                    if bucket:
+                        heappush(bucket, left)
                     else:
-                        buckets[new].append(left)
-                        words[new >> 8] |= _BITS[new & 255]
-                        top |= _BITS[new >> 8]
+                        bucket.append(left)
+                        words[new >> shift] |= bit[new & low_bits]
+                        top |= bit[new >> shift]
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -205,7 +168,8 @@ def encoded(docs: DataFrame, columns: list[str] | None = None, ranks: dict[bytes
 
     The digests are of the decimal ids joined by a space, and of the bytes that decoding those ids gives.
     Null texts count as empty, with no ids. The vocabulary, of fixed size, is sent to the executors by
-    the driver. Repeated rows are encoded each; extra columns are left aside."""
+    the driver. Repeated rows are encoded each, texts of any length whole; extra columns are left aside; an empty table gives an
+    empty result."""
     keep = columns or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast((ranks or load(), pattern or default_pattern()))
     key = uuid.uuid4().hex
@@ -245,5 +209,6 @@ def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: each document's ids, with its id, language and source."""
+    """The last stage: each document's ids, with its id, language and source; other columns, whatever their names, are left aside. Repeated
+    rows are encoded each; an empty table stays empty."""
     return encoded(docs, ["doc_id", "lang", "source"])

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import time
+from itertools import islice, product
 
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,17 +48,35 @@ def test_long_pre_tokens():
     assert took[1] < 12 * took[0]
 
 
-def test_rank_queue():
-    rnd = random.Random(2)
-    queue, held = bpe.RankQueue(50_257), []
-    for _ in range(5_000):
-        if held and rnd.random() < 0.45:
-            held.sort()
-            assert queue.pop() == held.pop(0)
-        else:
-            x = (rnd.choice([rnd.randrange(50_257), rnd.randrange(5)]), rnd.randrange(1000))
-            held.append(x)
-            queue.push(*x)
+def plain(piece, ranks):
+    """The least rank of any pair, the leftmost of equals, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == 1 << 60:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+@pytest.mark.parametrize("size", [300, 65_537, 200_000])
+def test_any_vocabulary(size):
+    """Vocabularies on both sides of what words of 256 bits hold, against the library and by brute force."""
+    rnd = random.Random(size)
+    longer = (bytes(x) for n in range(2, 8) for x in product(b"abcdefgh", repeat=n))
+    tokens = [*(bytes([i]) for i in range(256)), *islice(longer, size - 256)]
+    order = list(range(size))
+    rnd.shuffle(order)  # so that early and late ranks both meet
+    ranks = dict(zip(tokens, order))
+    ours = bpe.Bpe(ranks, r"[a-h]+| +|[^a-h ]+")
+    theirs = tiktoken.Encoding("own", pat_str=r"[a-h]+| +|[^a-h ]+", mergeable_ranks=ranks, special_tokens={})
+    for n in (1, 2, 3, 10, 100, 3000):
+        piece = bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+        want = theirs.encode_ordinary(piece.decode())
+        assert ours.merge(piece) == want and ours.decode(want) == piece
+        if n <= 100:
+            assert plain(piece, ranks) == want or piece in ranks
+        assert not any(ours.words) and not any(ours.buckets)  # the queue is empty again
 
 
 def test_edge_cases(spark):
