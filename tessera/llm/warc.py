@@ -3,12 +3,16 @@
 ARC files start with a version block: `filedesc://name ip date type length`, then `version reserved
 origin` and the names of the fields of a record's header line. Version 1 has URL, IP address, date, content type
 and length; version 2 also result code, checksum, location, offset and file name before the length. A record's block
-has the length that its header declares, then a line feed. The converter reads that and makes the
-records that a WARC writer would have made: name-based identifiers, ISO dates, types by content, SHA-1 digests of the
-payload behind the HTTP headers. Payloads that repeat become revisit records, which keep their HTTP headers only.
+has the length that its header declares, then a line feed. URLs and content types may hold blanks, as they do in old files: a line is read
+by the fields around them. The converter reads that and makes the records that a WARC writer would have made: a warcinfo record of
+the version block, name-based identifiers (of the archive, the record's place in it and what it holds), ISO dates, types by content, the
+address it came from, SHA-1 digests of the payload behind the HTTP headers. Payloads that repeat become revisit records,
+which keep their HTTP headers only. A record that can't be read is reported, with its archive and place, and reading goes on at the
+next header line.
 
 Archives are text files whose line separator is the CRLF CRLF that ends a WARC record, so Spark's own
-writer makes them wherever the cluster's file system is; bytes pass through it unchanged.
+writer makes them wherever the cluster's file system is; bytes pass through it unchanged. That writer compresses a file as
+one gzip stream; where records must be reached one by one, write without compression.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import re
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,51 +43,84 @@ class ArcError(ValueError):
     pass
 
 
-def write_arc(name: str, version: int, records: list[tuple[str, str, bytes]], origin: str = "tessera") -> bytes:
-    """An ARC file of (url, date, block) records, blocks being HTTP responses."""
+#: How a field looks in a header line. Fixed values of the format.
+_FIELD = {"URL": r"(\S.*|)", "IP-address": r"(\S+)", "Archive-date": r"(\d{4,14})", "Content-type": r"(\S.*|-|)", "Archive-length": r"(\d+)"}
+
+
+def write_arc(name: str, version: int, records: list[tuple], origin: str = "tessera") -> bytes:
+    """An ARC file of (url, date, block[, IP address, content type]) records."""
     body = f"{version} 0 {origin}\n{' '.join(FIELDS[version])}\n".encode()
     rest = "text/plain" if version == 1 else f"text/plain 200 - - 0 {name}"
     out = [f"filedesc://{name} 0.0.0.0 {_DATE} {rest} {len(body) + 1}\n".encode() + body + b"\n\n"]
     at = len(out[0])
-    for url, date, block in records:
+    for url, date, block, *more in records:
+        ip, kind = (*more, "0.0.0.0", "text/html")[:2] if len(more) < 2 else more
         if version == 1:
-            line = f"{url} 0.0.0.0 {date} text/html {len(block)}\n"
+            line = f"{url} {ip} {date} {kind} {len(block)}\n"
         else:
-            line = f"{url} 0.0.0.0 {date} text/html 200 {hashlib.md5(block).hexdigest()} - {at} {name} {len(block)}\n"
+            line = f"{url} {ip} {date} {kind} 200 {hashlib.md5(block).hexdigest()} - {at} {name} {len(block)}\n"
         out.append(line.encode() + block + b"\n")
         at += len(out[-1])
     return b"".join(out)
 
 
-def read_arc(data: bytes):
-    """(fields by name, block) of each record of an ARC file, the version block left out.
+def _line(names: list[str]) -> re.Pattern:
+    return re.compile(" ".join(_FIELD.get(n, r"(\S+)") for n in names))
+
+
+def read_arc(data: bytes, problems: list[tuple[int, str]] | None = None):
+    """(fields by name, block, place) of each record of an ARC file; the version block comes first, its fields named as version 1 names them.
+
+    What can't be read is a problem: a file without a version block or of an unknown version, a header line that lacks a field, a declared length
+    that goes past the end. With a list of problems, (place, what) is put there and reading goes on at the next line that is a
+    header line whose length fits; without one, ArcError is raised."""
 
-    Raises ArcError where a header line lacks a field, or a declared length isn't a number or goes past the end."""
-    names, at, first = None, 0, True
+    def bad(at: int, what: str) -> None:
+        if problems is None:
+            raise ArcError(f"{what} at byte {at}")
+        problems.append((at, what))
+
+    def header(at: int):
+        """(match, where the block starts), or None."""
+        eol = data.find(b"\n", at)
+        eol = eol if eol >= 0 else len(data)
+        return line.fullmatch(data[at:eol].decode("utf-8", "surrogateescape").rstrip("\r")), min(eol + 1, len(data))
+
+    if not data.strip(b"\r\n"):
+        return
+    line = _line(FIELDS[1])
+    eol = data.find(b"\n")
+    first = data[: max(0, eol)].decode("utf-8", "surrogateescape").rstrip("\r").split(" ")
+    if not first[0].startswith("filedesc://") or not first[-1].isdigit() or len(first) < 5:
+        bad(0, "no version block")
+        return
+    at = eol + 1 + int(first[-1])
+    head = data[eol + 1 : at].decode("utf-8", "replace").splitlines()
+    number = head[0].split()[:1] if head else []
+    version = int(number[0]) if number and number[0].isdigit() else 0
+    if version not in FIELDS:
+        bad(0, f"version {head[:1]}")
+        return
+    names = head[1].split(" ") if len(head) > 1 and head[1].strip() else FIELDS[version]
+    yield {**dict(zip(FIELDS[1], first, strict=False)), "Archive-length": first[-1]}, data[eol + 1 : at], 0
+    line = _line(names)
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
             at += 1
             continue
-        eol = data.find(b"\n", at)
-        line = data[at : eol if eol >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r").split(" ")
-        if first:
-            if not line[0].startswith("filedesc://") or not line[-1].isdigit():
-                raise ArcError(f"no version block at byte {at}")
-            length = int(line[-1])
-            head = data[eol + 1 : eol + 1 + length].decode("utf-8", "replace").splitlines()
-            version = int(head[0].split()[0]) if head and head[0].split()[:1] and head[0].split()[0].isdigit() else 0
-            if version not in FIELDS:
-                raise ArcError(f"unknown version in {head[:1]}")
-            names = head[1].split(" ") if len(head) > 1 and head[1].strip() else FIELDS[version]
-            at, first = eol + 1 + length, False
+        got, start = header(at)
+        length = int(got[len(names)]) if got else 0
+        if got and start + length <= len(data):
+            yield dict(zip(names, got.groups(), strict=True)), data[start : start + length], at
+            at = start + length
             continue
-        if len(line) != len(names) or not line[-1].isdigit():
-            raise ArcError(f"header line at byte {at} doesn't have the fields {names}")
-        length = int(line[-1])
-        if eol < 0 or eol + 1 + length > len(data):
-            raise ArcError(f"the record at byte {at} declares {length} bytes, more than there are")
-        yield dict(zip(names, line, strict=True)), data[eol + 1 : eol + 1 + length]
-        at = eol + 1 + length
+        bad(at, "a declared length beyond the end" if got else f"no header line of the fields {names}")
+        at = start
+        while at < len(data):
+            got, start = header(at)
+            if got and start + int(got[len(names)]) <= len(data):
+                break
+            at = start
 
 
 def warc_date(arc_date: str) -> str:
@@ -94,32 +132,52 @@ def warc_date(arc_date: str) -> str:
 
 
 _PAGE = re.compile(rb"\r\nX-Page-Id: (-?\d+)\r\n")
+_UNSAFE = re.compile(r"[\x00-\x20\x7f\udc80-\udcff]")
+
+
+def _safe(text: str) -> str:
+    """What may not stand in a header line, percent-encoded; bytes that aren't UTF-8 as they are."""
+    return _UNSAFE.sub(lambda m: f"%{ord(m[0]) & 0xFF:02X}", text)
 
 
-def convert(data: bytes):
-    """(page_id, record_id, type, uri, date, head, payload, sha1) of each record of an ARC file.
+def convert(data: bytes, name: str | None = None, problems: list | None = None):
+    """(page_id, record_id, type, uri, date, ip, content type, warcinfo's id, head, payload, sha1) of each record of an ARC file.
 
-    Blocks that are HTTP responses have type response, and their payload starts behind the headers; any other block is a resource."""
-    for fields, block in read_arc(data):
-        uri, date = fields["URL"], warc_date(fields["Archive-date"])
+    The version block becomes a warcinfo record. Blocks that are HTTP responses have type response, and their payload starts behind the headers; any other
+    block is a resource with the content type that its header line declares. Identifiers are named by the archive (its digest, if it has no name),
+    the record's place, URI, date and digest, so they are the same in every run and no two records share one."""
+    name = name or hashlib.sha1(data).hexdigest()
+    info = None
+    for fields, block, at in read_arc(data, problems):
+        uri, date = _safe(fields["URL"]) or "-", warc_date(fields["Archive-date"])
+        if info is None:
+            uri = uri.removeprefix("filedesc://")
+            version = block.split(b"\n", 1)[0].strip().decode("utf-8", "replace")
+            block = f"software: tessera\r\nformat: WARC File Format 1.1\r\ndescription: converted from the ARC file {uri}, version {version}\r\n".encode()
         split = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") and b"\r\n\r\n" in block else 0
         head, payload = block[:split], block[split:]
         digest = hashlib.sha1(payload).hexdigest()
         page = _PAGE.search(head)
-        page_id = int(page[1]) if page else None
-        record_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{uri} {date} {digest} {page_id}")
-        yield page_id, f"<urn:uuid:{record_id}>", "response" if split else "resource", uri, date, head, payload, digest
+        record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {at} {uri} {date} {digest}')}>"
+        declared = _safe(fields.get("Content-type", "").replace(" ", "")) or "-"
+        if info is None:
+            kind, content, info, own = "warcinfo", "application/warc-fields", record_id, None
+        else:
+            kind, own = ("response" if split else "resource"), info
+            content = "application/http; msgtype=response" if split else "application/octet-stream" if declared in ("-", "no-type") else declared
+        ip = fields.get("IP-address", "-")
+        yield int(page[1]) if page else None, record_id, kind, uri, date, None if ip in ("-", "0.0.0.0") else ip, content, own, head, payload, digest
 
 
 def to_arc(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) as ARC files (name, data), versions 1 and 2 in turn; each file holds about ARC_BYTES."""
 
     def op(batches):
-        k = 0
+        k, task = 0, TaskContext.get().partitionId()
 
         def done():
-            version = 1 + k % 2
-            return pa.RecordBatch.from_arrays([pa.array([f"pages-{k}.arc"]), pa.array([write_arc(f"pages-{k}.arc", version, held)], pa.binary())], ["name", "data"])
+            name = f"pages-{task}-{k}.arc"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([write_arc(name, 1 + k % 2, held)], pa.binary())], ["name", "data"])
 
         held, size = [], 0
         for b in batches:
@@ -127,7 +185,7 @@ def to_arc(pages: DataFrame) -> DataFrame:
                 html = html or b""
                 own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(html)}\r\n\r\n".encode() + html
-                held.append((re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or "-", _DATE, block))
+                held.append((_safe(url or "") or "-", _DATE, block))
                 size += len(block)
                 if size >= ARC_BYTES:
                     yield done()
@@ -139,22 +197,39 @@ def to_arc(pages: DataFrame) -> DataFrame:
     return own.mapInArrow(op, "name string, data binary")
 
 
-_RECORD = "page_id long, record_id string, type string, uri string, date string, head binary, payload binary, sha1 string"
+_RECORD = "page_id long, record_id string, type string, uri string, date string, ip string, content string, info string, head binary, payload binary, sha1 string"
 
 
 def from_arc(archives: DataFrame) -> DataFrame:
-    """The records of ARC files(data): page_id, record_id, type, uri, date, head, payload, sha1."""
+    """The records of ARC files(name, data): page_id, record_id, type, uri, date, ip, content, info (its warcinfo's id), head, payload, sha1.
+
+    What can't be read is left out here and listed by problems_of(). An archive that is null or empty has no records."""
 
     def op(batches):
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string()]
-        names = [x.split()[0] for x in _RECORD.split(", ")]
+        names, kinds = zip(*(x.split() for x in _RECORD.split(", ")), strict=True)
+        types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k] for k in kinds]
         for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = list(convert(data or b""))
+            for name, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows = list(convert(data or b"", name, []))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return archives.select(F.col("name").cast("string").alias("name"), F.col("data").cast("binary").alias("data")).mapInArrow(op, _RECORD)
+
+
+def problems_of(archives: DataFrame) -> DataFrame:
+    """(name, place, problem) of what can't be read in ARC files(name, data)."""
+
+    def op(batches):
+        for b in batches:
+            for name, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found: list[tuple[int, str]] = []
+                for _ in read_arc(data or b"", found):
+                    pass
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array([at for at, _ in found], pa.int64()), pa.array([x for _, x in found])], ["name", "place", "problem"])
 
-    return archives.select(F.col("data").cast("binary").alias("data")).mapInArrow(op, _RECORD)
+    return archives.select(F.col("name").cast("string").alias("name"), F.col("data").cast("binary").alias("data")).mapInArrow(op, "name string, place long, problem string")
 
 
 def deduplicated(records: DataFrame) -> DataFrame:
@@ -164,7 +239,7 @@ def deduplicated(records: DataFrame) -> DataFrame:
     any page_id, all are. Rows that repeat that page_id are responses too. Digests are counted from narrow rows;
     what is joined back is one row per repeated payload, so the payload itself meets a hot digest only in salted parts."""
     size = F.octet_length("payload").alias("n")
-    narrow = records.select("sha1", size, "page_id", "record_id", "uri", "date").where(F.col("n") >= LEAST)
+    narrow = records.select("sha1", size, "page_id", "record_id", "uri", "date", "type").where((F.col("n") >= LEAST) & (F.col("type") != "warcinfo"))
     best = narrow.groupBy("sha1", "n").agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("page_id", "record_id", "uri", "date")).alias("best"))
     best = best.where("copies > 1 and best.page_id is not null").select("sha1", "n", F.col("best.page_id").alias("best_id"), F.col("best.record_id").alias("best_record"), F.col("best.uri").alias("best_uri"), F.col("best.date").alias("best_date"))
     best = stored(best, "responses")
@@ -194,19 +269,20 @@ def to_warc(records: DataFrame):
         ),
     ).otherwise(F.lit(""))
     kind = F.when(again, "revisit").otherwise(F.col("type"))
-    content = F.when(F.col("type") == "response", "application/http; msgtype=response").otherwise("application/octet-stream")
+    line = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}: "), c, F.lit("\r\n")), F.lit(""))
+    target = F.when(F.col("type") == "warcinfo", line("WARC-Filename", F.col("uri"))).otherwise(line("WARC-Target-URI", F.col("uri")))
     return records.withColumn("bits", bits).withColumn("base32", digits).withColumn("block", block).select(
         F.concat(
-            F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), "record_id", F.lit("\r\nWARC-Date: "), "date", F.lit("\r\nWARC-Target-URI: "), "uri",
-            F.lit("\r\nWARC-Payload-Digest: sha1:"), "base32", F.lit("\r\n"), referred, F.lit("Content-Type: "), content,
+            F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), "record_id", F.lit("\r\nWARC-Date: "), "date", F.lit("\r\n"), target, line("WARC-IP-Address", F.col("ip")), line("WARC-Warcinfo-ID", F.col("info")),
+            F.lit("WARC-Payload-Digest: sha1:"), "base32", F.lit("\r\n"), referred, F.lit("Content-Type: "), "content",
             F.lit("\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"), "block",
         ).alias("value")
     )
 
 
-def write_warc(records: DataFrame, path: str, per_file: int) -> None:
-    """records (as deduplicated() gives them) to gzipped WARC files of at most per_file records each."""
-    to_warc(records).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, per_file)).option("compression", "gzip").text(path)
+def write_warc(records: DataFrame, path: str, per_file: int, compression: str = "gzip") -> None:
+    """records (as deduplicated() gives them) to WARC files of at most per_file records each; compression: gzip, one stream a file, or none."""
+    to_warc(records).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, per_file)).option("compression", compression).text(path)
 
 
 def parse_warc(data: bytes):
@@ -245,7 +321,7 @@ def read_warc(spark, path: str) -> DataFrame:
 def _read(headers: dict, block: bytes):
     kind = headers["WARC-Type"]
     digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    split = block.find(b"\r\n\r\n") + 4 if kind != "resource" else 0
+    split = block.find(b"\r\n\r\n") + 4 if kind in ("response", "revisit") else 0
     head = block[:split]
     page = _PAGE.search(head)
     if kind == "revisit":
@@ -268,7 +344,7 @@ def archived(pages: DataFrame) -> DataFrame:
     size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col("html").cast("string"))).alias("s")).first()
     path = scratch(spark, "warc")
     write_warc(deduplicated(records), path, size["n"] * WARC_BYTES // max(1, (size["s"] or 0) + 500 * size["n"]) or 1)
-    return read_warc(spark, path)
+    return read_warc(spark, path).where("record_type <> 'warcinfo'")
 
 
 def op5_arc_to_warc(spark, sf_dir: str) -> DataFrame:
