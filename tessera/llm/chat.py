@@ -77,7 +77,9 @@ def conversations_of(messages: DataFrame, branches: int = 1, loss_roles=LOSS_ROL
     """(tree, branch, score, formatted, loss_spans) of messages(tree, node, parent, score, role, text).
 
     loss_spans: (start, end) of each text of a loss role in formatted, in code points, end exclusive, as it
-    stands there (escaped). Null roles and texts count as empty. A branch's messages meet in one row, as the format asks."""
+    stands there (escaped). Null roles and texts count as empty. A branch's messages meet in one row, as the format asks, however long
+    its texts are; tree and node name a message, so a row that repeats both is joined with each of its like. Extra columns are left
+    aside; an empty table gives an empty result."""
     paths = best_paths(messages.select("tree", "node", "parent", "score"), branches)
     turns = paths.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))

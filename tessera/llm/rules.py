@@ -124,10 +124,10 @@ def binomial_tail(k, n, p: float):
 def thresholds(scored: DataFrame, labels: DataFrame, stratum: str = "stratum", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(stratum, cut_<measure>...) : the certified cutoff of each rule, null where none is.
 
-    scored: a row per document, with doc_id, stratum, base_failed and the ladders' measures. labels(doc_id, quality): rows of quality 1
-    that pass the base rule are the holdout; nothing else was fitted on them. Only these rows' few numbers are shuffled,
+    scored: a row per document, with doc_id, stratum, base_failed and the ladders' measures. labels(doc_id, quality): documents of quality 1
+    (and of no other label) that pass the base rule are the holdout; nothing else was fitted on them. Only these rows' few numbers are shuffled,
     and counted per stratum before that."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1").select("doc_id")
     holdout = scored.where("not base_failed").join(good, "doc_id", "left_semi")
     counts = [F.count(F.lit(1)).alias("n")]
     steps = [(m, i, c) for m, ladder in LADDERS.items() for i, c in enumerate(ladder)]
@@ -189,7 +189,7 @@ m AS (SELECT w.doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_s
 b AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words) AS base_failed,
   CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END AS symbols_per_char, CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_share,
   CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_share, CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS mean_word FROM m),
-h AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+h AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
 k AS (SELECT stratum, s.measure, s.step, s.cut, count(*) AS n, count(*) FILTER (WHERE {value} > s.cut) AS k FROM h, (VALUES {steps}) AS s(measure, step, cut) GROUP BY ALL),
 p AS (SELECT *, CASE WHEN k >= n * {share!r} THEN 1 ELSE
   list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})))) END AS p_value FROM k),

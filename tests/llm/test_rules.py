@@ -75,3 +75,13 @@ def test_edge_cases(spark):
             assert r.kept == (not r.base_failed)
     assert rules.judged(docs.limit(0), labels).count() == 0
     assert rules.judged(docs, labels.limit(0)).count() == len(texts) + 2
+
+
+def test_documents_of_both_labels_are_no_holdout(spark):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    docs = documents(spark, [(i, words(i)) for i in range(40)])
+    scored = rules.shares(rules.measures(docs)).withColumn("stratum", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(i, 0) for i in range(20, 40)], "doc_id long, quality int")
+    one = rules.thresholds(scored, labels, risk=0.9, delta=0.5).collect()
+    assert one == rules.thresholds(scored, labels.where("doc_id < 20"), risk=0.9, delta=0.5).collect()
+    assert one != rules.thresholds(scored, labels.where("quality = 1 and doc_id < 2"), risk=0.9, delta=0.5).collect()
