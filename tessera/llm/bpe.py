@@ -25,7 +25,7 @@ from tessera.llm.shared import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens up to this many characters are remembered, in two generations of CACHED at most in each worker.
-CACHE_CHARS, CACHED = 48, 600_000
+CACHE_CHARS, CACHED = 48, 350_000
 
 
 class Bpe(dict):
@@ -35,7 +35,7 @@ class Bpe(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.old: dict[str, list[int]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
         self.token = [b""] * self.size
@@ -51,8 +51,8 @@ class Bpe(dict):
         self.bit = [1 << i for i in range(max(1 << self.shift, len(self.words)))]
         self.pairs = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.old.get(piece) or self.merge(piece.encode())
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece) or tuple(self.merge(piece.encode()))
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHED:
                 self.old = dict(self)
