@@ -408,7 +408,8 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(h) for h in sets], pa.binary()), pa.array([wide_fingerprint(h).tobytes() for h in sets], pa.binary())], ["doc_id", "digest", "fp"])
 
     prints = stored(texts.mapInArrow(printed, "doc_id long, digest binary, fp binary"), "prints")
-    nodes = stored(prints.groupBy("digest", "fp").agg(F.min("doc_id").alias("id")).select(F.monotonically_increasing_id().alias("node"), "digest", "fp", "id"), "nodes")
+    # Numbers in the order of digests, so that groups are gone through alike in every run.
+    nodes = stored(prints.groupBy("digest", "fp").agg(F.min("doc_id").alias("id")).orderBy("digest").select(F.monotonically_increasing_id().alias("node"), "digest", "fp", "id"), "nodes")
     n = nodes.count()
     pairs = stored(similar_pairs(nodes, n, shards(spark, n * len(_sampled(n, similarity)), 500_000), similarity), "pairs")
     # The shingles of the documents that some pair names, and then the pairs that hold.
