@@ -31,7 +31,7 @@ from tessera.llm.shared import dropped, hex64, shards, stored, table
 BITS = 3
 WIDTH = 3
 SEED = 42
-PIVOTS = 32
+PIVOTS = 16
 BLOCKS = (13, 13, 13, 13, 12)
 #: Groups up to this size are compared in one go; larger ones are first split by further blocks.
 DIRECT = 1024
@@ -160,15 +160,15 @@ def _keys(fp: str):
 
 
 def pivot_table(nodes: DataFrame) -> DataFrame:
-    """nodes(node, fp) with `dist`: the distances to the pivots, a byte each."""
+    """nodes(node, fp) with d0 and d1: the distances to the 16 pivots, a byte each."""
     pivots = _pivots()
 
     def op(batches):
         for b in batches:
-            d = distances(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), pivots)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _rows_of_bytes(d)], ["node", "fp", "dist"])
+            d = np.ascontiguousarray(distances(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), pivots)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d[:, 0]), pa.array(d[:, 1])], ["node", "fp", "d0", "d1"])
 
-    return nodes.select("node", "fp").mapInArrow(op, "node long, fp long, dist binary")
+    return nodes.select("node", "fp").mapInArrow(op, "node long, fp long, d0 long, d1 long")
 
 
 def _rows_of_bytes(a: np.ndarray) -> pa.Array:
@@ -185,14 +185,14 @@ def _bytes_of_rows(column: pa.Array, kind) -> np.ndarray:
 
 
 def links(nodes: DataFrame, partitions: int, bits: int = BITS) -> DataFrame:
-    """Edges (a, b) of nodes(node, fp, dist), fp distinct, that connect what is within bits of each other."""
+    """Edges (a, b) of nodes(node, fp, d0, d1), fp distinct, that connect what is within bits of each other."""
     if bits > BITS:
         raise ValueError(f"the blocks guarantee {BITS} bits at most")
 
     def op(batches):
         held = None
         for b in batches:
-            got = [*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)), _bytes_of_rows(b.column(3), np.int8)]
+            got = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             held = got if held is None else [np.concatenate(p) for p in zip(held, got, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
             if cut:
@@ -202,11 +202,11 @@ def links(nodes: DataFrame, partitions: int, bits: int = BITS) -> DataFrame:
             yield found(held)
 
     def found(cols):
-        key, node, x, dist = cols
-        rows, mates = links_within(key, x.view(np.uint64), dist, bits)
+        key, node, x, *dist = cols
+        rows, mates = links_within(key, x.view(np.uint64), np.stack(dist, axis=1).view(np.int8), bits)
         return pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(node[mates])], ["a", "b"])
 
-    keyed = nodes.select(F.explode(_keys("fp")).alias("key"), "node", "fp", "dist")
+    keyed = nodes.select(F.explode(_keys("fp")).alias("key"), "node", "fp", "d0", "d1")
     return keyed.repartition(partitions, "key").sortWithinPartitions("key", "fp").mapInArrow(op, "a long, b long")
 
 
