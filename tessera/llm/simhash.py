@@ -171,15 +171,8 @@ def pivot_table(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "fp").mapInArrow(op, "node long, fp long, d0 long, d1 long")
 
 
-def _rows_of_bytes(a: np.ndarray) -> pa.Array:
-    """A table of fixed-width numbers as a column of its rows' bytes."""
-    a = np.ascontiguousarray(a)
-    wide = a.dtype.itemsize * a.shape[1]
-    return pa.Array.from_buffers(pa.binary(wide), len(a), [None, pa.py_buffer(a)]).cast(pa.binary())
-
-
 def _bytes_of_rows(column: pa.Array, kind) -> np.ndarray:
-    """The reverse: every row has the same width."""
+    """A column of bytes, every row of the same width, as a table of numbers."""
     wide = len(column[0].as_py()) if len(column) else np.dtype(kind).itemsize
     return np.frombuffer(column.cast(pa.binary(wide)).buffers()[1], kind, len(column) * (wide // np.dtype(kind).itemsize), column.cast(pa.binary(wide)).offset * wide).reshape(len(column), -1)
 
@@ -363,19 +356,23 @@ def similar_pairs(nodes: DataFrame, n: int, partitions: int, similarity: float =
     radius = int(RADIUS * 64 * WORDS)
     pivots = np.stack([_pivots(SIMILAR_PIVOTS * WORDS)[k::SIMILAR_PIVOTS] for k in range(SIMILAR_PIVOTS)])
     power = np.int64(1) << np.arange(sample.shape[1], dtype=np.int64)
+    # The fingerprint in words, and the distances to the pivots, four to a number.
+    names = ["key", "node", *(f"f{k}" for k in range(WORDS)), *(f"d{k}" for k in range(SIMILAR_PIVOTS // 4))]
 
     def keyed(batches):
         for b in batches:
             x = _bytes_of_rows(b.column(1), np.uint64)
-            dist = _rows_of_bytes(np.stack([_apart(x, p) for p in pivots], axis=1).astype(np.int16))
+            dist = np.stack([_apart(x, p) for p in pivots], axis=1).astype(np.int16).view(np.int64)
+            own_columns = [pa.array(c) for c in np.concatenate([x.view(np.int64), dist], axis=1).T.copy()]
             bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
             for k, own in enumerate(sample):
-                yield pa.RecordBatch.from_arrays([pa.array(bits[:, own] @ power + (np.int64(k) << 40)), b.column(0), b.column(1), dist], ["key", "node", "fp", "dist"])
+                yield pa.RecordBatch.from_arrays([pa.array(bits[:, own] @ power + (np.int64(k) << 40)), b.column(0), *own_columns], names)
 
     def op(batches):
         held = None
         for b in batches:
-            got = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), _bytes_of_rows(b.column(2), np.uint64), _bytes_of_rows(b.column(3), np.int16)]
+            key, node, *numbers = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            got = [key, node, np.stack(numbers[:WORDS], axis=1).view(np.uint64), np.stack(numbers[WORDS:], axis=1).view(np.int16)]
             held = got if held is None else [np.concatenate(p) for p in zip(held, got, strict=True)]
             edges, kept = forest_within(held[0], held[2], held[3], radius)
             yield out(held[1], edges)
@@ -386,7 +383,7 @@ def similar_pairs(nodes: DataFrame, n: int, partitions: int, similarity: float =
         a, b = node[e[:, 0]], node[e[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    rows = nodes.select("node", "fp").mapInArrow(keyed, "key long, node long, fp binary, dist binary")
+    rows = nodes.select("node", "fp").mapInArrow(keyed, ", ".join(f"{c} long" for c in names))
     return rows.repartition(partitions, "key").sortWithinPartitions("key", "node").mapInArrow(op, "a long, b long").distinct()
 
 
