@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import table
+from tessera.llm.shared import held, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens up to this many characters are remembered, in two generations of CACHED at most in each worker.
-CACHE_CHARS, CACHED = 48, 350_000
+CACHE_CHARS, CACHED = 48, 250_000
 
 
 class Bpe(dict):
@@ -136,17 +136,6 @@ class Bpe(dict):
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_ENCODERS: dict[str, Bpe] = {}
-
-
-def _encoder(key: str, sent) -> Bpe:
-    """The worker's encoder for a query's vocabulary; it outlives a task, and only the last one is kept."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Bpe(*sent.value)
-    return _ENCODERS[key]
-
-
 def load(path: str | None = None) -> dict[bytes, int]:
     """The ranks in a .tiktoken file; by default the public 50k vocabulary."""
     if path is None:
@@ -178,7 +167,7 @@ def encoded(docs: DataFrame, columns: list[str] | None = None, ranks: dict[bytes
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def op(batches):
-        bpe = _encoder(key, sent)
+        bpe = held(key, lambda: Bpe(*sent.value))  # it outlives a task
         for b in batches:
             n, sha, back, own = [], [], [], []
             for text in b.column(b.num_columns - 1).to_pylist():

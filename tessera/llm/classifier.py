@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import packed, table
+from tessera.llm.shared import packed, table, tidy
 
 #: At most so many labelled documents are fitted on: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -174,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # bounded by `sample`
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
+    @tidy
     def op(batches):
         for b in batches:
             x = statistics(b.column(1).cast(pa.binary()).to_pylist())
@@ -195,6 +196,7 @@ def scores(docs: DataFrame, forest: Forest, columns: list[str] | None = None) ->
     kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = docs.select(*keep).schema.add("score", "double")
 
+    @tidy
     def op(batches):
         for b in batches:
             s = broadcast.value.score(statistics(b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()))

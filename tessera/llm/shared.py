@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +107,36 @@ def shards(spark: SparkSession, rows_or_bytes: int, per_shard: int) -> int:
 def hex64(c) :
     """A bigint's 64 bits as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(c)), 16, "0")
+
+
+#: What a Python worker keeps from one task to the next, by name.
+HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What make() gives, made once in a worker and kept until something else is held or a tidy() task runs."""
+    if name not in HELD:
+        HELD.clear()
+        HELD[name] = make()
+    return HELD[name]
+
+
+def tidy(op):
+    """op for mapInArrow; workers serve one stage after the other, so before it what earlier stages held goes, and after it the memory
+    that it took is given back to the machine."""
+
+    @wraps(op)
+    def run(batches):
+        HELD.clear()
+        _trim()
+        yield from op(batches)
+        _trim()
+
+    return run
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; elsewhere nothing is done
+    if trim:
+        trim(0)

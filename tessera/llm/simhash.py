@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import dropped, hex64, shards, stored, table
+from tessera.llm.shared import dropped, hex64, shards, stored, table, tidy
 
 BITS = 3
 WIDTH = 3
@@ -73,6 +73,7 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, fp bigint) for each row of docs(doc_id, text)."""
 
+    @tidy
     def op(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
@@ -163,6 +164,7 @@ def pivot_table(nodes: DataFrame) -> DataFrame:
     """nodes(node, fp) with d0 and d1: the distances to the 16 pivots, a byte each."""
     pivots = _pivots()
 
+    @tidy
     def op(batches):
         for b in batches:
             d = np.ascontiguousarray(distances(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), pivots)).view(np.int64)
@@ -182,6 +184,7 @@ def links(nodes: DataFrame, partitions: int, bits: int = BITS) -> DataFrame:
     if bits > BITS:
         raise ValueError(f"the blocks guarantee {BITS} bits at most")
 
+    @tidy
     def op(batches):
         held = None
         for b in batches:
@@ -359,6 +362,7 @@ def similar_pairs(nodes: DataFrame, n: int, partitions: int, similarity: float =
     # The fingerprint in words, and the distances to the pivots, four to a number.
     names = ["key", "node", *(f"f{k}" for k in range(WORDS)), *(f"d{k}" for k in range(SIMILAR_PIVOTS // 4))]
 
+    @tidy
     def keyed(batches):
         for b in batches:
             x = _bytes_of_rows(b.column(1), np.uint64)
@@ -368,6 +372,7 @@ def similar_pairs(nodes: DataFrame, n: int, partitions: int, similarity: float =
             for k, own in enumerate(sample):
                 yield pa.RecordBatch.from_arrays([pa.array(bits[:, own] @ power + (np.int64(k) << 40)), b.column(0), *own_columns], names)
 
+    @tidy
     def op(batches):
         held = None
         for b in batches:
@@ -399,6 +404,7 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    @tidy
     def printed(batches):
         for b in batches:
             sets = [shingles(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()]
@@ -413,6 +419,7 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(named, "node", "left_semi").select("node", F.col("digest").alias("wanted"), F.col("id").alias("wanted_id"))
 
+    @tidy
     def hashed(batches):
         for b in batches:
             sets = [shingles(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()]
@@ -423,6 +430,7 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
     found = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["wanted_id"]).select("node", "text", "wanted").mapInArrow(hashed, "node long, hashes binary")
     sets = stored(found.dropDuplicates(["node"]), "shingles")
 
+    @tidy
     def verified(batches):
         for b in batches:
             ok = []
