@@ -13,9 +13,12 @@ on, each with its round. Likeness estimates the resemblance of two such sets.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import shards, table
@@ -24,7 +27,7 @@ from tessera.llm.shared import shards, table
 BINS, FIRST = 64, 2
 EMPTY = 0xFFFF
 #: Bytes of text in one range, code points parsed together. A range is sorted (Spark spills) and streamed, so beyond
-#: MOST_RANGES ranges just grow: bounds and first rows are constants in the plan, one number per range.
+#: MOST_RANGES ranges just grow: bounds and first rows are constants in the plan, a few numbers per range.
 TASK_BYTES, TOGETHER, MOST_RANGES = 32 << 20, 1 << 20, 20_000
 _U = np.uint64
 
@@ -157,67 +160,117 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
-def _bounds(ids: DataFrame, parts: int) -> list[int]:
-    """Cut points that deal doc_ids, descending, to about `parts` equal ranges; at most parts - 1 numbers come to the driver."""
-    got = ids.where("doc_id is not null").agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else None
-    return sorted(set(got or []))
+def _cuts(own: DataFrame, parts: int) -> tuple[list[int], dict]:
+    """(cut points of doc_id, cut points of h and their salts per hot id) for about `parts` equal ranges.
+
+    An id (or null) that fills two ranges or more gets ranges of its own, cut evenly by the hash of the text; a text that fills two
+    or more under such an id is dealt to that many by salt. At most parts numbers of each kind come to the driver."""
+    if parts < 2:
+        return [], {}
+    got = own.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 20 * parts)).alias("q"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
+    times = Counter(got["q"] or [])
+    each = max(got["n"] / parts, 1.0)
+    hot: dict = {v: k + 1 for v, k in times.items() if k > 1 and k * each >= 2}
+    if got["n"] - got["ids"] >= 2 * each:
+        hot[None] = int((got["n"] - got["ids"]) / each)
+    cuts = sorted(set(times) | {v - 1 for v in hot if v is not None and v > -(1 << 63)})
+    if not hot:
+        return cuts, {}
+    among = F.col("doc_id").isin([v for v in hot if v is not None]) | (F.col("doc_id").isNull() if None in hot else F.lit(False))
+    copies = own.where(among).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * each).collect()
+    pieces = {}
+    for v, k in hot.items():
+        heavy = {r["h"]: max(2, int(r["n"] / each)) for r in copies if r["doc_id"] == v}
+        at = {-(1 << 63) + (i << 64) // k for i in range(1, k)} | set(heavy) | {h - 1 for h in heavy if h > -(1 << 63)}
+        pieces[v] = [(h, heavy.get(h, 1)) for h in sorted(at | {(1 << 63) - 1})]
+    return cuts, pieces
+
+
+def _numbers(values: list) -> Column:
+    """Numbers as one constant of the plan, whatever their count."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _below(cuts: Column, start: Column, size: Column, most: int, value: Column) -> Column:
+    """How many of cuts[start : start + size], ascending and at most `most`, are below value: a binary search."""
+    steps = F.array(*(F.lit(1 << k).cast("bigint") for k in reversed(range(most.bit_length()))))
+    step_to = lambda at, step: F.when((at + step <= size) & (F.get(cuts, (start + at + step - 1).cast("int")) < value), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0).cast("bigint"), step_to)
+
+
+def _ranges(own: DataFrame, parts: int) -> tuple[DataFrame, int, list]:
+    """own with `part`, its range in order; their number; and for each whether it holds one id only."""
+    cuts, pieces = _cuts(own, parts)
+    # Ranges by descending id, each up to its cut (that of the largest ids has none); null ids last, with the smallest ids unless
+    # either fill ranges of their own.
+    held = [[], *(pieces.get(c, []) for c in reversed(cuts)), pieces.get(None, [])]
+    of, starts, flat, salts, single = [], [], [], [], []
+    for k, some in enumerate(held):
+        joins = k == len(held) - 1 and not some and not held[-2]
+        of.append(of[-1] if joins else len(single))
+        starts.append(len(flat))
+        for h, width in some:
+            flat.append(h)
+            salts.append((len(single), width))
+            single += [True] * width
+        if not some and not joins:
+            single.append(False)
+    sizes, n = [len(some) for some in held], len(cuts) + 1
+    whole = _below(_numbers(cuts), F.lit(0), F.lit(len(cuts)), len(cuts), F.col("doc_id")) if cuts else F.lit(0).cast("bigint")
+    ranged = own.withColumn("at", F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(n - 1 - whole).cast("int"))
+    part = F.get(_numbers(of), F.col("at"))
+    if flat:
+        start, size = F.get(_numbers(starts), F.col("at")), F.get(_numbers(sizes), F.col("at"))
+        ranged = ranged.withColumn("piece", F.when(size > 0, start + _below(_numbers(flat), start, size, max(sizes), F.col("h"))).cast("int"))
+        width = F.get(_numbers([w for _, w in salts]), F.col("piece"))
+        part = F.when(F.col("piece").isNull(), part).otherwise(F.get(_numbers([p for p, _ in salts]), F.col("piece")) + F.pmod(F.monotonically_increasing_id(), width))
+    return ranged.select(part.cast("int").alias("part"), "doc_id", "h", "text"), len(single), single
 
 
 def fingerprint_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """docs(doc_id, text) with each row's own fingerprint, its edited text's, and the next row's likeness.
 
-    Rows stand by descending doc_id (repeated ids by text; null ids last), and after the last comes the first. Null texts
-    count as empty. Rows are dealt to ranges of doc_id; each range also gets the row that follows its last,
-    so every text moves once, and no task sees more than its range. Gives doc_id, n_chars, edited (text), fingerprint, edited_fingerprint,
-    near_edited and near_next. An empty table gives an empty result; one row follows itself."""
+    Rows stand by descending doc_id (null ids last; rows of one id by the XXH64 of their texts); after the last comes the first.
+    Null texts count as empty. Rows are dealt to ranges of that order, rows of an id that fills several to several; each range also
+    gets the row that follows its last, so every text moves once, and no task sees more than its range.
+    Gives doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited and near_next. Other columns are dropped,
+    whatever their names. An empty table gives an empty result; one row follows itself."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     total = own.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    bounds = _bounds(own.select("doc_id"), parts or min(MOST_RANGES, shards(spark, total, TASK_BYTES)))
-    parts = len(bounds) + 1
-    # Range 0 has the largest ids. Null ids follow the smallest.
-    ranged = own.withColumn("part", F.when(F.col("doc_id").isNull(), parts - 1).otherwise(_range_of(bounds)).cast("int"))
-    # The first row of each range: at most one id per range comes to the driver.
-    heads = {r["part"]: r["top"] for r in ranged.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
-    there = sorted(p for p in heads if heads[p] is not None)
-    last = max(heads, default=0)  # where null ids are, if all are null
-    before = {p: there[k - 1] if k else last for k, p in enumerate(there)}
-    first = F.array(*(F.lit(heads.get(p)).cast("long") for p in range(parts)))
-    to = F.array(*(F.lit(before.get(p)).cast("int") for p in range(parts)))
-    tops = F.when(F.get(first, F.col("part")) == F.col("doc_id"), F.get(to, F.col("part")))
-    twice = ranged.withColumn("copy", F.explode(F.when(tops.isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("extra")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.struct(tops.alias("part"), F.lit(1).alias("extra"))))))
-    dealt = twice.select("copy.part", "copy.extra", "doc_id", "text").repartitionById(parts, F.col("part"))
-    ordered = dealt.sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    ranged, parts, single = _ranges(own, parts or min(MOST_RANGES, shards(spark, total, TASK_BYTES)))
+    # The first row of each range that has any: an id and, where all have that id, a hash come to the driver.
+    least = ranged.groupBy("part").agg(F.max("doc_id").alias("top"), *[F.min("h").alias("low")] * any(single)).collect()
+    heads = {r["part"]: r for r in least}
+    there = sorted(heads)
+    before = {p: there[k - 1] for k, p in enumerate(there)}
+    at, places = F.col("part"), range(parts)
+    to = F.get(_numbers([before.get(p) for p in places]), at)
+    first = ranged.where(F.col("doc_id").eqNullSafe(F.get(_numbers([heads[p]["top"] if p in heads else None for p in places]), at)))
+    if any(single):
+        low = F.get(_numbers([heads[p]["low"] if p in heads and single[p] else None for p in places]), at)
+        first = first.where(low.isNull() | (F.col("h") == low))
+    first = first.groupBy("part").agg(F.min(F.struct("h", "text")).alias("row"), F.max("doc_id").alias("doc_id"))
+    follow = first.select(to.cast("int").alias("part"), F.lit(1).alias("extra"), "doc_id", "row.h", "row.text")
+    dealt = ranged.select("part", F.lit(0).alias("extra"), "doc_id", "h", "text").unionByName(follow).repartitionById(parts, at)
+    ordered = dealt.sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "h", "text").select("part", "extra", "doc_id", "text")
     return ordered.mapInArrow(_pairs, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _range_of(bounds: list[int]):
-    """The range of doc_id, 0 having the largest ids: a binary search over the sorted bounds."""
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*(F.lit(int(b)).cast("long") for b in bounds))
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
-    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
-    return F.lit(len(bounds)) - below
-
-
 def _pairs(batches):
-    """Rows of one range in order, then the row that follows the last (extra = 1); without any id, the first one again."""
+    """Rows of one range in order, then the row that follows the last (extra = 1)."""
     held: list[tuple] = []
-    first = None
     size = 0
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[1] and held and held[-1][1] and row[0] == held[-1][0]:
-                continue  # of rows that repeat the following id, the first
-            first = first or row
             held.append(row)
             size += len(row[3])
             if size >= TOGETHER and len(held) > 1:
                 yield _paired(held)
                 held, size = held[-1:], len(held[-1][3])
     if held:
-        yield _paired(held if held[-1][1] else [*held, (first[0], 1, *first[2:])])
+        yield _paired(held)
 
 
 def _paired(held: list[tuple]):

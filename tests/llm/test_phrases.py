@@ -122,3 +122,21 @@ def test_edge_cases(spark):
     assert [r[5:] for r in result(P.fingerprint_pairs(docs.where("doc_id = 7")))] == [(1.0, 1.0)]
     assert len(result(P.fingerprint_pairs(docs.where("doc_id is null")))) == 1
     assert np.array_equal(P.fingerprints([""])[0], np.full(P.BINS, P.EMPTY))
+
+
+def test_hot_ids_and_copies(spark):
+    """A third of the rows without an id, a third under one id, and of these half equal: every row has the next one in the order."""
+    rnd = random.Random(10)
+    texts = ["".join(rnd.choice("abcdef ") for _ in range(rnd.randrange(0, 40))) for _ in range(120)]
+    rows = [(None, t) for t in texts[:40]] + [(None, "the same text")] * 60 + [(50, t) for t in texts[40:70]] + [(50, "copied copied")] * 70 + [(i, t) for i, t in enumerate(texts[70:])]
+    docs = documents(spark, rows)
+    h = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    for some in (rows, rows[:100], rows[100:], rows[130:200]):
+        want = sorted(plain(sorted(some, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]]))), key=str)
+        df = documents(spark, some)
+        for parts in (1, 4, 25, 90):
+            assert sorted(result(P.fingerprint_pairs(df, parts=parts)), key=str) == want
+    own = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h")
+    ranged, n, _ = P._ranges(own, 25)
+    sizes = [r["count"] for r in ranged.groupBy("part").count().collect()]
+    assert max(sizes) <= 4 * len(rows) / 25 and len(sizes) <= n
