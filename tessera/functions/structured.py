@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +12,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Indented JSON --------------------------------------------------------------------------------------------------
+
+
+def _number(x: float) -> str:
+    """A double as ECMAScript writes it: the shortest digits that give it back, with an exponent outside 1e-6 to 1e21."""
+    if x in (float("inf"), float("-inf")):
+        return "null"
+    if x == 0:
+        return "0"
+    if 1e-6 <= abs(x) < 1e21:
+        text = format(Decimal(repr(x)), "f")
+        return text.rstrip("0").rstrip(".") if "." in text else text
+    digits, _, power = f"{Decimal(repr(x)).normalize():e}".partition("e")
+    return f"{digits}e{int(power):+d}"
+
+
+def _index(key: str) -> bool:
+    return key.isascii() and key.isdigit() and (key == "0" or key[0] != "0") and int(key[:11]) < 2**32 - 1
+
+
+def _indented(x, blank: str = "") -> str:
+    if isinstance(x, float):
+        return _number(x)
+    if not isinstance(x, (dict, list)):
+        return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(x, ensure_ascii=False))
+    more = blank + "  "
+    if isinstance(x, list):
+        inside = [_indented(v, more) for v in x]
+    else:  # keys that are array indices stand first
+        keys = [*sorted(filter(_index, x), key=int), *(k for k in x if not _index(k))]
+        inside = [f"{_indented(k)}: {_indented(x[k], more)}" for k in keys]
+    left, right = "[]" if isinstance(x, list) else "{}"
+    return left + "".join(f"{',' * (i > 0)}\n{more}{v}" for i, v in enumerate(inside)) + f"\n{blank}" * bool(inside) + right
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def pretty_json(c) -> Column:
+    """JSON indented by two blanks, as ECMAScript's JSON.stringify does; what isn't JSON passes as it is."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            try:
+                return _indented(json.loads(x, parse_int=float, parse_constant=_no_constant))
+            except (ValueError, RecursionError):
+                return x
+
+        return s.map(one)
+
+    return run(c)
+
+
 # Partial JSON ---------------------------------------------------------------------------------------------------
 
 

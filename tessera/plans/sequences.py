@@ -289,11 +289,16 @@ def _(t):
     return B.split_sequences(rows, 8).select("batch", "pos", "ubatch")
 
 
-@query("prompt_packing", "W16")
+def _greedy(name, value, full):
+    """SQL of a greedy rule: a source's documents in order; `full` says that the next one, of that value, starts a new number."""
+    return f"WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, {value} AS v, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), s AS (SELECT d.*, 0::BIGINT AS {name}, v AS held, 1 AS k FROM d WHERE r = 1 UNION ALL SELECT d.*, s.{name} + ({full})::INT, CASE WHEN {full} THEN d.v ELSE s.held + d.v END, CASE WHEN {full} THEN 1 ELSE s.k + 1 END FROM s JOIN d ON d.source IS NOT DISTINCT FROM s.source AND d.r = s.r + 1) SELECT source, doc_id, n_chars, {name} FROM s"
+
+
+@query("prompt_packing", "W16", _greedy("batch", "n_chars", "s.held + d.v > 20000 OR s.k >= 8"))
 def _(t):
     return B.pack(t.spread("documents").select("source", "doc_id", "n_chars"), "n_chars", 20_000, 8, "source", "doc_id")
 
 
-@query("shard_plan", "W17 K11")
+@query("shard_plan", "W17 K11", _greedy("shard", "(n_chars + 31) // 32 * 32", "s.held > 0 AND s.held + d.v > 50000"))
 def _(t):
     return B.shards_by_bytes(t.spread("documents").select("source", "doc_id", "n_chars"), "n_chars", 50_000, "doc_id", "source")

@@ -466,7 +466,7 @@ def _(t):
     return X.run(X.gathered(t.spark.readStream.schema("task_id long, idx long, kind string, text string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)), "append", "gather")
 
 
-@query("stream_queue", "X1 X2 X7")
+@query("stream_queue", "X1 X2 X7", "WITH RECURSIVE e AS (SELECT user_id % 4 AS server, event_id AS task_id, epoch_us(ts) AS due, round(value * 60 * 1e6)::BIGINT AS lasts, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS r FROM events), s AS (SELECT e.*, due AS begun, 0::BIGINT AS a, due + lasts AS b FROM e WHERE r = 1 UNION ALL SELECT e.*, greatest(e.due, least(s.a, s.b)), greatest(s.a, s.b), greatest(e.due, least(s.a, s.b)) + e.lasts FROM s JOIN e ON e.server = s.server AND e.r = s.r + 1) SELECT server, task_id, (begun - due) / 1e6 AS waited FROM s")
 def _(t):
     e = X.events(t.spark, t.sf_dir).select((F.col("user_id") % 4).alias("server"), "ts", F.col("event_id").alias("task_id"), (F.col("value") * 60).alias("seconds"))
     return X.run(X.slot_queue(e, 2), "append", "queue")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import structured as G
 from tessera.functions import template as J
 from tessera.functions import text as T
 from tessera.registry import query
@@ -86,9 +87,9 @@ def _(t):
     return o.select("o_orderkey", T.file_size(F.col("n")).alias("size"), T.rounded_count(F.col("n")).alias("params"), T.duration(F.col("ms")).alias("took"))
 
 
-@query("pretty_json", "C19")
+@query("pretty_json", "C19", """SELECT event_id, CASE WHEN json_valid(props) THEN '{' || chr(10) || array_to_string(list_transform(json_keys(props), lambda k: '  "' || k || '": ' || json_extract(props, '$.' || k)::VARCHAR), ',' || chr(10)) || chr(10) || '}' ELSE props END AS pretty FROM events""")
 def _(t):
-    return t("events").select("event_id", F.coalesce(F.to_json(F.try_parse_json("props"), {"pretty": "true"}), "props").alias("pretty"))
+    return t("events").select("event_id", G.pretty_json(F.col("props").cast("string")).alias("pretty"))
 
 
 @query(

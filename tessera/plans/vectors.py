@@ -40,7 +40,11 @@ for _name, _sql in _UNARY_SQL.items():
 _arrays("tensor_log_sqrt", "tensor.log tensor.sqrt", lambda e: V.map_unary("log", V.map_unary("sqrt", F.transform(e, lambda x: x * x + 0.1))), "list_transform(e, lambda x: ln(sqrt(x * x + 0.1)))")
 
 
-@query("tensor_gelu_erf", "tensor.gelu_erf tensor.geglu_erf")
+# The error function by its series of positive terms, which sums to full precision within 60 terms for |x| < 4.
+_GELU_ERF = "list_transform({0}, lambda x: 0.5 * x * (1 + CASE WHEN x = 0 THEN 0 ELSE sign(x) * 2 / sqrt(pi()) * exp(-x * x / 2) * list_sum(list_transform(range(0, 60), lambda n: exp((2 * n + 1) * ln(abs(x) / sqrt(2)) + 2 * n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2)))) END))"
+
+
+@query("tensor_gelu_erf", "tensor.gelu_erf tensor.geglu_erf", f"WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), g AS (SELECT vec_id, e, {_GELU_ERF.format('e')} AS g FROM a) SELECT vec_id, list_transform(g, lambda v: round(v, 6) + 0.0) AS out, list_transform(range(1, len(e) // 2 + 1), lambda i: round(g[i] * e[len(e) // 2 + i], 6) + 0.0) AS gated FROM g")
 def _(t):
     e = t("embeddings").select("vec_id", V.doubles("embedding").alias("e"))
     return e.select("vec_id", _rounded(V.map_unary("gelu_erf", F.col("e"))).alias("out"), _rounded(V.gated("geglu_erf", F.col("e"))).alias("gated"))
@@ -200,7 +204,7 @@ def _(t):
     return _final(M.penalties(_cand(t), _history(t), 64, 1.2, 0.3, 0.5))
 
 
-@query("sample_dry", "M12")
+@query("sample_dry", "M12", f"WITH {_CAND}, {_HIST}, h AS (SELECT ctx, list(id ORDER BY pos) AS h FROM hist WHERE pos >= 36 GROUP BY ctx), m AS (SELECT ctx, h[i + 1] AS id, max(n) AS n FROM h, range(1, 64) a(i), range(0, 64) b(n) WHERE n <= i AND h[i - n + 1:i] = h[64 - n + 1:64] GROUP BY 1, 2), k AS (SELECT ctx, id, CASE WHEN n >= 2 THEN logit - pow(1.75, n - 2) ELSE logit END AS logit FROM cand LEFT JOIN m USING (ctx, id)), t AS (SELECT *, max(logit) OVER (PARTITION BY ctx) AS top FROM k) SELECT ctx, id, round(exp(logit - top) / sum(exp(logit - top)) OVER (PARTITION BY ctx), 6) AS p FROM t")
 def _(t):
     return _final(M.dry(_cand(t), _history(t)))
 

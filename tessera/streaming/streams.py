@@ -117,21 +117,21 @@ def gathered(df: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
 def slot_queue(df: DataFrame, slots: int = 1) -> DataFrame:
     """tasks(server, ts, task_id, seconds) of a server with some slots, first come first served: when each starts and how long it waits.
 
-    State: when each slot is free again. Within a micro-batch a server's tasks are taken in the order of time."""
+    Times are whole microseconds, so sums are exact. State: when each slot is free again. Within a micro-batch a server's tasks are taken in the order of time."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        free = sorted(state.get[0]) if state.exists else [0.0] * slots
+        free = sorted(state.get[0]) if state.exists else [0] * slots
         pdf = pd.concat(list(parts)).sort_values(["at", "task_id"])
         start = []
-        for at, seconds in zip(pdf["at"], pdf["seconds"], strict=True):
+        for at, lasts in zip(pdf["at"].tolist(), pdf["lasts"].tolist(), strict=True):
             begin = max(at, free[0])
-            free = sorted([*free[1:], begin + seconds])
+            free = sorted([*free[1:], begin + lasts])
             start.append(begin)
         state.update((free,))
-        yield pd.DataFrame({"server": key[0], "task_id": pdf["task_id"].to_numpy(), "waited": [round(s - a, 6) for s, a in zip(start, pdf["at"], strict=True)]})
+        yield pd.DataFrame({"server": key[0], "task_id": pdf["task_id"].to_numpy(), "waited": [(s - a) / 1e6 for s, a in zip(start, pdf["at"].tolist(), strict=True)]})
 
-    rows = df.select("server", "task_id", "seconds", (F.unix_micros("ts") / 1e6).alias("at"))
-    return rows.groupBy("server").applyInPandasWithState(step, "server long, task_id long, waited double", "free array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = df.select("server", "task_id", F.round(F.col("seconds") * 1e6).cast("bigint").alias("lasts"), F.unix_micros("ts").alias("at"))
+    return rows.groupBy("server").applyInPandasWithState(step, "server long, task_id long, waited double", "free array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def pair_counts(df: DataFrame, key: str, token: str) -> DataFrame:

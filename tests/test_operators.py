@@ -1,7 +1,10 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import vector as V
 from tessera.operators import batching as B
 from tessera.operators import compare as C
 from tessera.operators import ngram as N
@@ -147,3 +150,11 @@ def test_gathered_state_ends(spark, tmp_path):
         spark.createDataFrame([p], "task_id long, idx long, kind string, text string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s").coalesce(1).write.parquet(f"{tmp_path}/p{i}/x")
     stream = spark.readStream.schema("task_id long, idx long, kind string, text string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
     assert {r.task_id: r.text for r in X.run(X.gathered(stream)).collect()} == {1: "ab", 3: "c", 4: "d"}
+
+
+def test_erf(spark):
+    xs = [0.0, -0.0, 1e-300, 0.1, -0.5, 1.0, 2.9999, 3.0, -3.0001, 4.5, 6.0, -30.0, float("inf"), *(i / 37 - 4 for i in range(300))]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", V.erf(F.col("x")).alias("y")).collect()
+    assert all(r.y == pytest.approx(math.erf(r.x), abs=1e-13) for r in got)
+    rows = spark.createDataFrame([(float("nan"),), (None,)], "x double").select(V.erf(F.col("x")).alias("y")).collect()
+    assert math.isnan(rows[0].y) and rows[1].y is None

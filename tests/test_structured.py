@@ -63,3 +63,15 @@ def test_pretokens(spark):
     assert get("digits")[5:11] == [" ", "1", "2", "3", "4", "5"]
     for n in G.PRETOKENS:
         assert "".join(get(n)) == "I'll go  to 12345!\n\n é漢字 x"
+
+
+def test_pretty_json(spark):
+    cases = {
+        '{"b": [1, 2.50, {"x": null}], "a": {}, "2": [], "1": true}': '{\n  "1": true,\n  "2": [],\n  "b": [\n    1,\n    2.5,\n    {\n      "x": null\n    }\n  ],\n  "a": {}\n}',
+        "[1e21, 1e-7, 12345678901234567890, 0.00001, -0, 1e999, 1.5e300]": "[\n  1e+21,\n  1e-7,\n  12345678901234567000,\n  0.00001,\n  0,\n  null,\n  1.5e+300\n]",
+        '"\\u00e9\\ud800\\n"': '"é\\ud800\\n"',
+        "[NaN]": "[NaN]", "no json": "no json", "": "", "[" * 100_000: "[" * 100_000, "  7 ": "7",
+    }
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "s string").select("s", G.pretty_json("s").alias("p"))
+    got = {r.s: r.p for r in df.collect()}
+    assert got == {**cases, None: None}
