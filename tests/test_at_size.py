@@ -17,6 +17,6 @@ def dealt(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before[1])
 
 
-@pytest.mark.parametrize("name", ["json_arrays"])
+@pytest.mark.parametrize("name", ["json_arrays", "metric_series"])
 def test_every_document_has_its_own_file(dealt, sf_dir, name):
     assert oracle.compare(entry.queries()[name](dealt, sf_dir), oracle.connection(sf_dir), entry.oracle_sql()[name]) is None
