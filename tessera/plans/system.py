@@ -408,17 +408,13 @@ def _(t):
 
 @query("sqlite_table", "S1 S6 K2", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part")
 def _(t):
-    """A table written to an SQLite file, sniffed and read back by row ranges; small, as such files are."""
-    import sqlite3
-    import tempfile
-
-    if not t.spark.sparkContext.master.startswith("local"):
-        raise ValueError("an SQLite file must lie where executors see it; this query makes one beside the driver")
-    path = tempfile.mkdtemp(prefix="tessera-") + "/part.db"
-    with sqlite3.connect(path) as con:
-        con.execute("CREATE TABLE part (p_partkey INTEGER, p_name TEXT, p_size INTEGER)")
-        con.executemany("INSERT INTO part VALUES (?, ?, ?)", (tuple(r) for r in t("part").select(*_PART.names).toLocalIterator()))
-    return S.load_any(t.spark, path, _PART)
+    """A table written to SQLite files in the folder that driver and executors share, sniffed and read back by row ranges."""
+    path = scratch.path(t.spark, "sqlite")
+    if not path.startswith(("file:", "/")):
+        raise ValueError("SQLite opens files only: spark.checkpoint.dir must be a folder that is mounted everywhere")
+    path = "/" + path.removeprefix("file:").lstrip("/")
+    W.sqlite(t("part").select(*_PART.names), path, "part")
+    return S.load_any(t.spark, path, _PART, "part")
 
 
 # Streams, each against the answer of a batch

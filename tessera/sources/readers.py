@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import io
+import os
 import wave
+from contextlib import closing
 
 import numpy as np
 import pandas as pd
@@ -133,7 +136,7 @@ def synthetic_prompts(spark: SparkSession, n: int, low: int, high: int, seed: in
 
 
 class SqliteSource(DataSource):
-    """A table of an SQLite file, split by rowid. Options: path (on a folder that all executors see), table, schema (DDL), partitions."""
+    """A table of an SQLite file, or of all such files of a folder, split by rowid. Options: path (where all executors see it), table, schema (DDL), partitions (of a file)."""
 
     @classmethod
     def name(cls) -> str:
@@ -144,7 +147,7 @@ class SqliteSource(DataSource):
             return self.options["schema"]
         import sqlite3
 
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as con:
+        with closing(sqlite3.connect(f"file:{sqlite_files(self.options['path'])[0]}?mode=ro", uri=True)) as con:
             columns = con.execute(f"PRAGMA table_info({self.options['table']})").fetchall()
         if not columns:
             raise SchemaError(f"no table {self.options['table']}")
@@ -158,28 +161,37 @@ class _SqliteReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.table, self.names, self.n = options["path"], options["table"], schema.names, int(options.get("partitions", 4))
 
-    def _query(self, sql):
+    def _query(self, path, sql):
         import sqlite3
 
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
+        with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
             yield from con.execute(sql)
 
     def partitions(self):
-        lo, hi = next(self._query(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {self.table}"))
-        step = max(1, -(-(hi - lo + 1) // self.n))
-        return [InputPartition((a, min(a + step, hi + 1))) for a in range(lo, hi + 1, step)] or [InputPartition((0, 0))]
+        out = []
+        for path in sqlite_files(self.path):
+            lo, hi = next(self._query(path, f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{self.table}"'))
+            step = max(1, -(-(hi - lo + 1) // self.n))
+            out += [InputPartition((path, a, min(a + step, hi + 1))) for a in range(lo, hi + 1, step)]
+        return out or [InputPartition((None, 0, 0))]
 
     def read(self, partition):
-        lo, hi = partition.value
+        path, lo, hi = partition.value
         columns = ", ".join(f'"{c}"' for c in self.names)
-        yield from self._query(f"SELECT {columns} FROM {self.table} WHERE rowid >= {lo} AND rowid < {hi}")
+        if path:
+            yield from self._query(path, f'SELECT {columns} FROM "{self.table}" WHERE rowid >= {lo} AND rowid < {hi}')
+
+
+def sqlite_files(path: str) -> list[str]:
+    """The file at a path, or the files of a folder."""
+    return sorted(glob.glob(f"{glob.escape(path)}/*.db")) if os.path.isdir(path) else [path]
 
 
 def sqlite_tables(path: str) -> list[str]:
     """The tables of a file; a file without a schema is an error."""
     import sqlite3
 
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+    with closing(sqlite3.connect(f"file:{sqlite_files(path)[0]}?mode=ro", uri=True)) as con:
         if con.execute("PRAGMA schema_version").fetchone()[0] == 0:
             raise SchemaError(f"{path} has no schema")
         return [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
@@ -191,8 +203,8 @@ def sqlite(spark: SparkSession, path: str, table: str, partitions: int = 4) -> D
 
 
 def sniff(path: str) -> str:
-    """Sqlite, json, jsonl or csv, by the first bytes of a file."""
-    with open(path, "rb") as f:
+    """Sqlite, json, jsonl or csv, by the first bytes of a file, or of the first SQLite file of a folder."""
+    with open(sqlite_files(path)[0], "rb") as f:
         head = f.read(4096).lstrip(b"\xef\xbb\xbf")
     if head.startswith(b"SQLite format 3\0"):
         return "sqlite"

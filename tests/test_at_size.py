@@ -1,8 +1,11 @@
 """Queries whose work is dealt to many tasks, as on larger tables."""
 
+import glob
+
 import pytest
 
 import __spark_entry__ as entry
+from tessera import scratch
 from tests import oracle
 
 
@@ -20,3 +23,10 @@ def dealt(spark):
 @pytest.mark.parametrize("name", ["json_arrays", "metric_series"])
 def test_every_document_has_its_own_file(dealt, sf_dir, name):
     assert oracle.compare(entry.queries()[name](dealt, sf_dir), oracle.connection(sf_dir), entry.oracle_sql()[name]) is None
+
+
+def test_sqlite_files_lie_where_executors_see_them(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "path", lambda spark, name: f"file://{tmp_path}/{name}")
+    got = entry.queries()["sqlite_table"](spark, sf_dir)
+    assert oracle.compare(got, oracle.connection(sf_dir), entry.oracle_sql()["sqlite_table"]) is None
+    assert glob.glob(f"{tmp_path}/**/*.db", recursive=True)
