@@ -317,8 +317,8 @@ def _root(up: dict[int, int], i: int) -> int:
 
 
 def forest_within(key: np.ndarray, x: np.ndarray, dist: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(edges, kept rows): under each key of the sorted keys, edges between rows within the radius that connect all such rows, nearest first;
-    of the last key's rows, one stays for each tree."""
+    """(edges, roots): under each key of the sorted keys, edges between rows within the radius that connect all such rows, nearest first;
+    of the last key's rows, one for each tree."""
     end = _ends(key)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.repeat(np.diff(np.r_[first, len(key)]), np.diff(np.r_[first, len(key)]))
@@ -341,7 +341,7 @@ def forest_within(key: np.ndarray, x: np.ndarray, dist: np.ndarray, radius: int)
     for lo in first[size[first] > SMALL].tolist():
         rows = np.arange(lo, end[lo])
         reps = rows[:0]
-        for part in range(0, len(rows), CHUNK):  # a chunk, and of each tree before it one row
+        for part in range(0, len(rows), CHUNK):  # a chunk, and of each tree before it one row, which finds most links
             own = np.r_[reps, rows[part : part + CHUNK]]
             for i, j in _forest(x[own], radius):
                 i, j = int(own[i]), int(own[j])
@@ -349,6 +349,15 @@ def forest_within(key: np.ndarray, x: np.ndarray, dist: np.ndarray, radius: int)
                 a, b = _root(up, i), _root(up, j)
                 up[max(a, b)] = min(a, b)
             reps = np.array([i for i in own.tolist() if _root(up, i) == i], np.int64)
+        # Other rows of a tree may be near rows that this one isn't: of two trees, one isn't the largest, so its rows are held against all.
+        tree = np.array([_root(up, i) for i in rows.tolist()])
+        for i in rows[tree != rows[np.bincount(tree - lo).argmax()]].tolist() if len(rows) > CHUNK else []:
+            d = _apart(x[rows], x[i])
+            for k in np.argsort(d, kind="stable")[: int((d <= radius).sum())].tolist():
+                a, b = _root(up, i), _root(up, int(rows[k]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    edges.append((i, int(rows[k])))
     last = range(int(first[-1]), len(key)) if len(first) else []
     return edges, np.array([i for i in last if _root(up, i) == i], np.int64)
 
@@ -379,9 +388,15 @@ def similar_pairs(nodes: DataFrame, n: int, partitions: int, similarity: float =
             key, node, *numbers = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             got = [key, node, np.stack(numbers[:WORDS], axis=1).view(np.uint64), np.stack(numbers[WORDS:], axis=1).view(np.int16)]
             held = got if held is None else [np.concatenate(p) for p in zip(held, got, strict=True)]
-            edges, kept = forest_within(held[0], held[2], held[3], radius)
-            yield out(held[1], edges)
-            held = [h[kept] for h in held]  # the last key may go on: a row of each of its trees stands for the others
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
+            if cut:
+                yield found([h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        if held is not None and len(held[0]):
+            yield found(held)
+
+    def found(cols):
+        return out(cols[1], forest_within(cols[0], cols[2], cols[3], radius)[0])
 
     def out(node, edges):
         e = np.array(edges, np.int64).reshape(-1, 2)
@@ -392,6 +407,24 @@ def similar_pairs(nodes: DataFrame, n: int, partitions: int, similarity: float =
     return rows.repartition(partitions, "key").sortWithinPartitions("key", "node").mapInArrow(op, "a long, b long").distinct()
 
 
+def linked(sets: list[np.ndarray], known: list[tuple[int, int]], similarity: float) -> np.ndarray:
+    """For each set of hashes, the first one reachable by links of sets with a Jaccard similarity of at least `similarity`; known: some of these links."""
+    m, size = len(sets), np.array([len(h) for h in sets])
+    lab = np.arange(m)
+    if known:
+        lab = _unite(lab, *np.array(known, np.int64).T)
+    _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows, first, at = np.repeat(np.arange(m), size)[np.argsort(ids, kind="stable")], np.cumsum(count) - count, np.r_[0, np.cumsum(size)]
+    # Of two trees, one isn't the largest, so the sets of the others are held against all.
+    for i in np.flatnonzero(lab != np.bincount(lab).argmax()).tolist():
+        own = ids[at[i] : at[i + 1]]
+        n = count[own]
+        both = np.bincount(rows[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=m)
+        mates = np.flatnonzero(both >= similarity * (size[i] + size - both) - 1e-9)
+        lab = _unite(lab, np.full(len(mates), i), mates)
+    return lab
+
+
 def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, digest, component_id) for each row of docs(doc_id, text) that has a doc_id: documents are linked whose sets of word
     shingles have a Jaccard similarity of at least `similarity`; component_id is the smallest doc_id reachable.
@@ -399,7 +432,8 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
     ASCII letters count alike in either case. Texts with fewer words than a shingle are one shingle; texts without words (null and empty
     ones too) are alike. Rows that repeat a doc_id are rows of their own, told apart by the digest of their shingles. A pair at the
     bound shares a key with a chance of RECALL, a more similar one with a greater one; each group of a key gives a
-    forest of its nearest pairs, whose shingles are then compared exactly. An empty table gives an empty result; extra columns
+    forest of its nearest pairs, whose shingles are then compared exactly. Where a pair of a forest doesn't hold, the sets of all that the
+    forests connect come to one task, which finds every link between them. An empty table gives an empty result; extra columns
     are left aside."""
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -438,13 +472,28 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    edges = stored(left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"), "links")
-    for done in (pairs, sets):
+    edges = stored(left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long, ok boolean"), "links")
+    dropped(pairs)
+    # Whatever the forests connect, as components; those with a pair that doesn't hold are gone through again, set by set.
+    comp = stored(components(edges.select("a", "b")), "near")
+    broken = stored(comp.join(edges.where("not ok").select(F.col("a").alias("node")), "node", "left_semi").select("component").distinct(), "broken")
+
+    def again(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        node, mates = t.column("node").to_numpy(), t.column("mates").to_pylist()
+        known = [(i, int(np.searchsorted(node, b))) for i, own in enumerate(mates) for b in own or ()]
+        lab = linked([np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()], known, similarity)
+        return pa.table({"node": node, "component": node[lab]})
+
+    mates = edges.where("ok").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("mates"))
+    whole = comp.join(broken, "component", "left_semi").join(sets, "node").join(mates, "node", "left")
+    mended = stored(whole.groupBy("component").applyInArrow(again, "node long, component long"), "mended")
+    for done in (sets, edges):
         dropped(done)
-    comp = components(edges)
+    comp = comp.join(broken, "component", "left_anti").select("node", "component").unionByName(mended)
     named = nodes.join(comp, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     known = named.join(least, "component").select("digest", "component_id")

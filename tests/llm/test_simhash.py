@@ -187,3 +187,50 @@ def test_chunks_of_a_large_group(monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 16)
     monkeypatch.setattr(simhash, "SMALL", 4)
     test_forest_takes_nearest_pairs()
+
+
+def test_links_beside_a_pair_that_does_not_hold():
+    """Sets in a row, each like the next; known links are few or none."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        base = rng.integers(0, 2**63, 400).astype(np.uint64)
+        sets = [np.unique(np.r_[base[a : a + 100], rng.choice(base, 5)]) for a in rng.integers(0, 300, 60)]
+        similar = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9
+        hits = [(i, j) for i in range(60) for j in range(i) if similar(sets[i], sets[j])]
+        want = list(range(60))
+        for _ in range(60):
+            for i, j in hits:
+                want[i] = want[j] = min(want[i], want[j])
+        assert simhash.linked(sets, hits[:: rng.integers(1, 9)], 0.8).tolist() == want
+        assert simhash.linked(sets, [], 0.8).tolist() == want
+
+
+def test_no_row_of_a_tree_is_lost_to_later_chunks(monkeypatch):
+    """Rows in a row, 10 bits from one to the next, dealt to chunks at random: each is near its neighbours alone."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    x = np.zeros((20, simhash.WORDS), np.uint64)
+    for k in range(1, 20):
+        x[k] = x[k - 1]
+        x[k, k % simhash.WORDS] ^= np.uint64(1023 << (10 * (k // simhash.WORDS)))
+    for seed in range(20):
+        x = x[np.random.default_rng(seed).permutation(20)]
+        edges, _ = simhash.forest_within(np.zeros(20, np.int64), x, np.zeros((20, 4), np.int16), 10)
+        assert len(edges) == 19
+
+
+def test_similar_documents_beside_one_that_is_not(spark):
+    """Two texts are linked, and a third one, nearer to both by fingerprint, to neither."""
+    rnd = random.Random(5)
+    texts = {}
+    for g in range(60):
+        base = [f"v{rnd.randrange(10**6)}" for _ in range(220)]
+        for k in range(12):
+            own = list(base)
+            at = rnd.randrange(30, 60)
+            for i in range(at, at + rnd.randrange(5, 22)):
+                own[i] = f"v{rnd.randrange(10**6)}"
+            texts[100 * g + k] = " ".join(own)
+    want = plain_similar(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, list(texts.items())).repartition(5)).collect()}
+    assert got == want
