@@ -1,8 +1,8 @@
 """Secret scans with a worklist that unwraps nested encodings.
 
 A text is scanned as it stands. Then each piece of it that looks encoded is unwrapped and put on a
-worklist: percent escapes and Unicode escapes by line, base64 runs (plain and URL-safe) by run,
-zlib, gzip and raw deflate streams inside base64. Each layer is scanned and unwrapped in turn until
+worklist: percent escapes and Unicode escapes by line (by block of lines where base64 may be folded), base64
+runs (plain and URL-safe) by run, zlib, gzip and raw deflate streams among the bytes of base64, of escapes and of other streams. Each layer is scanned and unwrapped in turn until
 none yields anything new. A digest of each layer seen stops cycles and repeated work. Every layer
 carries, for each of its characters, the range of the original text it came from, so what is found
 in a layer is reported at its place in the original.
@@ -13,7 +13,11 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import itertools
+import mmap
 import re
+import tempfile
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -40,7 +44,16 @@ _BASE64 = [re.compile(a + "{16,}={0,2}") for a in _ALPHABETS]
 _FOLDED = [re.compile(rf"(?:{a}{{60,76}}\r?\n)+{a}{{1,76}}={{0,2}}") for a in _ALPHABETS]
 #: What a match may go on through: characters of the patterns, of escapes and of base64, and a folded line's end.
 _HELD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"': %\\{}\r")
-_FOLD = re.compile(r".*[A-Za-z0-9+/_-]{60}\r?\n\Z", re.S)
+_FOLD = re.compile(r".*[A-Za-z0-9+/_%\\{}-]{60}\r?\n\Z", re.S)
+#: How a gzip stream begins, and a zlib one.
+_MARKS = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes((a, b))) for a in range(8, 128, 16) for b in range(256) if (a << 8 | b) % 31 == 0), re.S)
+#: Runs of escaped bytes on a line, by layer; how an escape or a character stands in them; what shows that a run has escapes of bytes.
+_BYTE_RUNS = {
+    "url": (re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+"), re.compile(r"%([0-9A-Fa-f]{2})|(.)", re.S), "%"),
+    "unicode": (re.compile(r"(?:\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|u\{0*[0-9A-Fa-f]{1,2}\}|[abfnrtv0\\'\"/])|[ -\[\]-~])+"), re.compile(r"\\(?:x|u00|u\{0*)([0-9A-Fa-f]{1,2})\}?|(\\?.)", re.S), "\\"),
+}
+#: What may stand around a stream of escaped bytes that has no mark.
+_AROUND = b" =:,;&?#\"'()[]{}<>|"
 #: A compressed stream is scanned in chunks of about so many characters.
 CHUNK = 1 << 20
 #: Compressed bytes taken at a time.
@@ -220,17 +233,124 @@ def _runs(text: str, patterns) -> list[tuple[int, int, bool]]:
     return list(out)
 
 
+def _gathered(parts) -> bytes:
+    """Bytes in pieces as one; long ones lie in a file that has no name."""
+    held, size = [], 0
+    for p in parts:
+        held.append(p)
+        size += len(p)
+        if size > 16 * CHUNK:
+            with tempfile.TemporaryFile() as f:
+                f.writelines(held)
+                f.writelines(parts)
+                f.flush()
+                return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    return b"".join(held)
+
+
+def _promising(head: bytes) -> bool:
+    """Whether a stream may begin so."""
+    for bits in _formats(head[:2]):
+        try:
+            if zlib.decompressobj(bits).decompress(head):
+                return True
+        except zlib.error:
+            pass
+    return False
+
+
+def _unpacked(raw, whole: bool):
+    """(layer, text) of the compressed streams in raw, in chunks, and of those that what they hold consists of."""
+    name, seen = "deflate", set()
+    while raw and (key := hashlib.blake2b(raw, digest_size=16).digest()) not in seen:
+        seen.add(key)
+        some = False
+        for inner in _chunks(raw, whole):
+            some = True
+            yield name, inner
+        parts = _inflated(raw, whole) if some else iter(())
+        head = next(parts, b"")
+        while 0 < len(head) < 64 and (more := next(parts, b"")):
+            head += more
+        raw = _gathered(itertools.chain((head,), parts)) if _promising(head) else b""
+        name, whole = f"{name}+deflate", False
+
+
+def _whole(raw: bytes, pos: int, bits: int) -> int | None:
+    """The end of a stream at pos that holds something and goes to its end; small pieces first, as noise breaks soon."""
+    d, size, step = zlib.decompressobj(bits), 0, 64
+    try:
+        while pos < len(raw) and not d.eof:
+            size += len(d.decompress(raw[pos : pos + step]))
+            pos, step = pos + step, PIECE
+    except zlib.error:
+        return None
+    return min(pos, len(raw)) - len(d.unused_data) if size and d.eof else None
+
+
+def _marked(raw: bytes):
+    """Where gzip and zlib streams stand in bytes, (begin, end); a gzip stream may be broken."""
+    pos = 0
+    while m := _MARKS.search(raw, pos):
+        end = _whole(raw, m.start(), 31 if m[0][0] == 31 else 15)
+        if end is None and m[0][0] == 31 and any(out for out, _ in _stream(raw, m.start(), 31)):
+            end = len(raw)
+        if end:
+            yield m.start(), end
+        pos = end or m.start() + 1
+
+
+def _unmarked(raw: bytes):
+    """Likewise for raw streams, which begin and end at the ends of the bytes or at what may stand around them."""
+    for a in [0, *(k + 1 for k in range(len(raw) - 1) if raw[k] in _AROUND)]:
+        end = _whole(raw, a, -15)
+        if end and (end == len(raw) or raw[end] in _AROUND):
+            yield a, end
+
+
+_SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0"))
+
+
+def _escaped_streams(text: str, name: str):
+    """(begin, end, bytes) of the compressed streams that stand as escaped bytes in a text."""
+    runs, part, mark = _BYTE_RUNS[name]
+    for run in runs.finditer(text):
+        if mark not in run[0]:
+            continue
+        value = lambda m: int(m[1], 16) if m[1] else _SHORT.get(m[2][1], ord(m[2][1])) if len(m[2]) > 1 else ord(m[2])
+        raw = urllib.parse.unquote_to_bytes(run[0]) if name == "url" else bytes(value(m) for m in part.finditer(run[0]))
+        found = [*_marked(raw), *_unmarked(raw)]
+        if found:
+            at = np.fromiter((m.start() for m in part.finditer(run[0])), np.int64, len(raw))
+            at = np.append(at, len(run[0])) + run.start()
+            yield from ((int(at[a]), int(at[b]), raw[a:b]) for a, b in found)
+
+
+def _blocks(text: str):
+    """(place, block) of a text's lines; lines between which base64 may be folded stay together."""
+    at, held, size = 0, [], 0
+    for line in text.split("\n"):
+        if held and not (_FOLD.match(held[-1][-61:] + "\n") and line[:1] in _HELD and line[:1] not in " :=\"'\r"):
+            yield at, "\n".join(held)
+            at, held, size = at + size, [], 0
+        held.append(line)
+        size += len(line) + 1
+    yield at, "\n".join(held)
+
+
 def _layers(text: str):
     """Each piece of a text that unwraps: (name, inner text, lo, hi), ranges of the inner characters in the text."""
     if "%" in text or "\\" in text:
-        at = 0
-        for line in text.split("\n"):
-            if _ESCAPED.search(line):
+        for at, block in _blocks(text):
+            if _ESCAPED.search(block):
                 for name, unwrap in (("url", _percent), ("unicode", _unicode)):
-                    inner, lo, hi = unwrap(line)
-                    if inner != line:
-                        yield name, inner, lo + at, hi + at
-            at += len(line) + 1
+                    inner, lo, hi = unwrap(block)
+                    if inner == block:
+                        continue
+                    yield name, inner, lo + at, hi + at
+                    for a, b, raw in _escaped_streams(block, name):
+                        for packed_as, inner in _unpacked(raw, True):
+                            yield f"{name}+{packed_as}", inner, np.broadcast_to(a + at, len(inner)), np.broadcast_to(b + at, len(inner))
     # A run of one alphabet may be glued to words by the other's characters, so runs of each are read as well.
     runs = [(text[a:b], range(a, b), whole) for a, b, whole in _runs(text, _BASE64)]
     for a, b, whole in _runs(text, _FOLDED) if "\n" in text else ():
@@ -245,8 +365,13 @@ def _layers(text: str):
         where = np.asarray(at)  # where each character of the run stands
         last = np.cumsum(width)
         yield "base64", inner, where[(last - width) * 4 // 3], where[np.minimum(len(where), -(-last * 4 // 3)) - 1] + 1
-        for inner in _chunks(raw, whole):  # no character has a place of its own in the compressed stream
-            yield "base64+deflate", inner, np.broadcast_to(at[0], len(inner)), np.broadcast_to(at[-1] + 1, len(inner))
+        some = False
+        for packed_as, inner in _unpacked(raw, whole):  # no character has a place of its own in the compressed stream
+            some = True
+            yield f"base64+{packed_as}", inner, np.broadcast_to(at[0], len(inner)), np.broadcast_to(at[-1] + 1, len(inner))
+        for a, b in () if some else _marked(raw):
+            for packed_as, inner in _unpacked(raw[a:b], True):
+                yield f"base64+{packed_as}", inner, np.broadcast_to(at[a * 4 // 3], len(inner)), np.broadcast_to(at[min(len(at), -(-b * 4 // 3)) - 1] + 1, len(inner))
 
 
 def all_spans(text: str) -> list[tuple[int, int, int, str]]:

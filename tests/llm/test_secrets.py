@@ -276,3 +276,36 @@ def test_a_long_line_of_escapes_is_cheap():
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     assert any(k == 0 for _, k, _, _ in secrets.all_spans(line))
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
+
+
+def test_streams_in_streams_and_in_escapes():
+    key = b"some words and password=hunter2hunter2 and more"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    packed = lambda raw, bits: (lambda c: c.compress(raw) + c.flush())(zlib.compressobj(9, zlib.DEFLATED, bits))
+    long = " ".join(map(str, range(9000))).encode()
+    cases = []
+    for bits in (31, 15, -15):
+        raw = packed(key, bits)
+        cases += [b64(packed(raw, 31)), b64(packed(packed(raw, 15), 31)), b64(gzip.compress(packed(long + key, bits))), urllib.parse.quote_from_bytes(raw, safe=""), "".join(f"%{x:02x}" for x in raw), "".join(f"\\x{x:02x}" for x in raw), "".join(f"\\u{x:04x}" for x in raw), repr(raw)[2:-1], urllib.parse.quote_from_bytes(packed(raw, 31))]
+        if bits > 0:
+            cases += ["path/" + b64(packed(long + key, bits)), b64(b"salt and head " + raw + b" tail")]
+    for wrapped in cases:
+        for before, after in (("See ", " there"), ("é data=", "&x=1"), ('"', '"')):
+            text = before + wrapped + after
+            got = [s for s in secrets.all_spans(text) if s[3]]
+            assert got and all(len(before) <= a < b <= len(before) + len(wrapped) for a, _, b, _ in got), wrapped[:80]
+            assert "hunter2" not in secrets.redacted(text, got)
+    quine = gzip.compress(gzip.compress(b"\0" * 9))
+    assert secrets.all_spans(b64(quine)) == []
+
+
+def test_folded_base64_with_escapes():
+    key = "some words before it\npassword=hunter2hunter2 ??>>~~ " + "and many more words ??>>~~ " * 10
+    for end in ("\n", "\r\n"):
+        for shift in range(0, 60, 9):
+            run = base64.b64encode(("x" * shift + key).encode()).decode()
+            folded = end.join(run[i : i + 64] for i in range(0, len(run), 64))
+            for escaped in (folded.replace("+", "%2B").replace("/", "%2F").replace("=", "%3D"), folded.replace("a", "%2561"), folded.replace("b", "\\u0062")):
+                assert any(k == 0 for _, k, _, _ in secrets.all_spans(f"Attached:\n{escaped}\nthe end")), (shift, escaped[:99])
+                inside = base64.b64encode(zlib.compress(f"Attached:\n{escaped}\nthe end".encode())).decode()
+                assert secrets.all_spans(inside)
