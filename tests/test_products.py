@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.functions import vector as V
@@ -62,3 +63,20 @@ def test_places(spark):
     got = [r.v for r in spark.createDataFrame([(x,) for x in at], "x double").select(V.places("x", 6).alias("v")).collect()]
     want = [oracle.duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in at]
     assert all(alike(g, w) and (g is None or repr(g + 0.0) == repr(w + 0.0)) for g, w in zip(got, want, strict=True)), list(zip(got, want))
+
+
+# --- similarities
+
+
+@pytest.mark.parametrize("limit", [5, 1000])
+def test_similarities(spark, limit):
+    """Any number of queries, as cosine() has it for each pair."""
+    q, c = table(spark, ["i", "embedding"], 3, [1, 2, None])[1], table(spark, ["j", "embedding"], 4, None)[1]
+    want = q.select("i", F.col("embedding").alias("q")).crossJoin(c).select("i", "j", V.cosine(F.col("q"), F.col("embedding"))).collect()
+    same([tuple(r) for r in V.similarities(q, c, limit).collect()], [tuple(r) for r in want])
+
+
+def test_similarity_matrix_is_no_nested_loop(spark, sf_dir):
+    df = entry.queries()["similarity_matrix"](spark, sf_dir)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert oracle.compare(df, oracle.connection(sf_dir), entry.oracle_sql()["similarity_matrix"]) is None
