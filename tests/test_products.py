@@ -45,6 +45,15 @@ def test_matmul(spark, limit, ids):
     same([tuple(r) for r in V.matmul(a, b, limit).collect()], want)
 
 
+def test_long_queries_are_sent_in_parts(spark, monkeypatch):
+    a, b = table(spark, "ix", 1, None)[1], table(spark, "jy", 2, None)[1]
+    want = [tuple(r) for r in V.matmul(a, b).collect()]
+    monkeypatch.setattr(V, "_HELD", 30)
+    df = V.matmul(a, b)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") > 2
+    same([tuple(r) for r in df.collect()], want)
+
+
 def test_matmul_of_nothing(spark):
     a, b = table(spark, "ix", 1, None)[1], table(spark, "jy", 2, None)[1]
     assert V.matmul(a, b.limit(0)).count() == 0 == V.matmul(a.limit(0), b).count()
